@@ -45,7 +45,8 @@ def source_targets(sizes: DataFrame, cycle: tuple[float, ...] = CYCLE, total: fl
     ahead, rest = filling.rowsBetween(Window.unboundedPreceding, -1), filling.rowsBetween(0, Window.unboundedFollowing)
     every = Window.partitionBy()
     rows = rows.withColumn("level", (F.lit(float(total)) * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(ahead), F.lit(0.0))) / F.sum("weight").over(rest))
-    rows = rows.withColumn("level", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(every))
+    # The first source in this order that is not above its cap has the level; later ones only less.
+    rows = rows.withColumn("level", F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(every))
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight")))
     return rows.select("source_key", "source_size", "weight", target.cast("double").alias("target"))
 
@@ -67,26 +68,28 @@ def _draw(quota: np.ndarray, shards: int, seed: int) -> list[tuple[int, int, int
     return out
 
 
-def _mixed(x: Column, *salt: Column | int) -> Column:
-    return F.xxhash64(x, *[s if isinstance(s, Column) else F.lit(s) for s in salt])
+def _mixed(x: Column, k: int, *salts: Column) -> Column:
+    return F.xxhash64(x, F.lit(k), *salts)
 
 
-def permuted(q: Column, n: Column, *salt: Column | int) -> Column:
-    """A pseudorandom permutation of 0 .. n-1 at q, for each salt: three Feistel-like rounds
-    of modular additions on the digits (q div r, q mod r), r the root of n rounded up, are
-    a permutation of 0 .. r*r-1; values from n on step on until they fall below n."""
-    root = F.ceil(F.sqrt(n)).cast("long")
+def permuted(df: DataFrame, q: Column, n: Column, salts: list[Column], out: str) -> DataFrame:
+    """df with `out`: a pseudorandom permutation of 0 .. n-1 at q, for each salt.
 
-    def turn(x: Column) -> Column:
-        for k in range(3):
-            hi, lo = F.floor(x / root).cast("long"), x % root
-            x = lo * root + F.pmod(hi + F.pmod(_mixed(lo, k, *salt), root), root)
-        return x
+    Three Feistel-like rounds of modular additions on the digits (q div r, q mod r), r the root
+    of n rounded up, permute 0 .. r*r-1; values from n on walk on until they fall below n.
+    Rounds are columns of their own, so none is computed more than once."""
 
+    def turn(x: Column, k: int) -> Column:
+        root = F.col("_root")
+        lo = x % root
+        return lo * root + F.pmod(F.floor(x / root).cast("long") + F.pmod(_mixed(lo, k, *salts), root), root)
+
+    df = df.withColumn("_root", F.ceil(F.sqrt(n)).cast("long")).withColumn("_x0", turn(q, 0))
+    df = df.withColumn("_x1", turn(F.col("_x0"), 1)).withColumn("_x2", turn(F.col("_x1"), 2))
     # r*r - n < 2r: few values leave, and those walk on; all but the smallest n need few steps.
-    first = turn(q)
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), first, lambda x, _: F.when(x >= n, turn(x)).otherwise(x))
-    return F.when(first < n, first).otherwise(walked)
+    again = lambda x: F.aggregate(F.array(F.lit(0), F.lit(1), F.lit(2)), x, lambda y, k: (y % F.col("_root")) * F.col("_root") + F.pmod(F.floor(y / F.col("_root")).cast("long") + F.pmod(F.xxhash64(y % F.col("_root"), k, *salts), F.col("_root")), F.col("_root")))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.col("_x2"), lambda x, _: F.when(x >= n, again(x)).otherwise(x))
+    return df.withColumn(out, F.when(F.col("_x2") < n, F.col("_x2")).otherwise(walked)).drop("_root", "_x0", "_x1", "_x2")
 
 
 def mixture(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, total: float = 1.5, most: float = 2.0, block: int = 128, fewest: int = 64, shard_slots: int = 1 << 16, seed: int = 11) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -122,7 +125,7 @@ def mixture(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, total: float = 1.
     runs = runs.select("shard", "source_no", F.explode(F.sequence(lo, F.least(lo + chunk, F.col("first") + F.col("n")) - 1)).alias("slot"))
     runs = runs.join(targets.select("source_no", "blocks"), "source_no")
     epoch = F.floor(F.col("slot") / F.col("blocks")).cast("long")
-    slots = runs.withColumn("block_no", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("source_no"), epoch, seed)).drop("blocks")
+    slots = permuted(runs, F.col("slot") % F.col("blocks"), F.col("blocks"), [F.col("source_no"), epoch, F.lit(seed)], "block_no").drop("blocks")
 
     known = base.join(targets.select("source_key", "source_no", "source_size", "target", "blocks"), "source_key")
     narrow = known.select("row", "doc_id", "source_no", "size", "text_hash", "source_size", "blocks").where("size > 0")
