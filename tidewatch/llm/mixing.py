@@ -137,7 +137,7 @@ def mixture(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, total: float = 1.
     begin = F.greatest("before", edge(F.col("block_no")))
     end = F.least(F.col("before") + F.col("size"), edge(F.col("block_no") + 1))
     pieces = at.select("row", "source_no", "block_no", (begin - F.col("before")).alias("start"), (end - begin).alias("words")).where("words > 0")
-    return known.drop("source_key", "text_hash", "blocks"), pieces, slots
+    return known.withColumnRenamed("text_hash", "tie").drop("source_key", "blocks"), pieces, slots
 
 
 def taken_words(documents: DataFrame, pieces: DataFrame, slots: DataFrame) -> DataFrame:
@@ -147,6 +147,20 @@ def taken_words(documents: DataFrame, pieces: DataFrame, slots: DataFrame) -> Da
     return documents.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
 
 
+def resampled(docs: DataFrame, **how) -> DataFrame:
+    """docs as whole documents in the mixture's proportions: a document of which the slots take
+    `taken` of its `size` words appears floor(taken / size) times, and once more with the chance
+    of the remainder, drawn from a hash of its id and text."""
+    documents, pieces, slots = mixture(docs, **how)
+    counted = taken_words(documents, pieces, slots).where("taken > 0")
+    share = F.col("taken") / F.col("size")
+    draw = F.pmod(F.xxhash64("doc_id", "tie", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
+    times = (F.floor(share) + F.when(draw < share - F.floor(share), 1).otherwise(0)).cast("int")
+    counted = counted.withColumn("times", times).where("times > 0").groupBy("doc_id", "tie").agg(F.max("times").alias("times"))
+    out = docs.withColumn("_tie", F.xxhash64("text")).join(counted.withColumnsRenamed({"doc_id": "_id", "tie": "_tie2"}), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_tie") == F.col("_tie2")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = taken_words(*mixture(table(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licences, mixing, packing, simhash, substrings, token_files, warc, winnowing
+from . import hnsw, licences, mixing, packing, simhash, substrings, token_files, toxicity, warc, winnowing
 
 QUERIES = {
     "op1_curve_packing": packing.op1_curve_packing,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_token_files": token_files.op5_token_files,
     "op6_winnowing": winnowing.op6_winnowing,
     "op7_repeated_passages": substrings.op7_repeated_passages,
+    "op8_hnsw": hnsw.op8_hnsw,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc_salvage": warc.op10_warc_salvage,
 }
 

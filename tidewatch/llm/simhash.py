@@ -210,6 +210,118 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, b
     return fps.join(classes, "fp")
 
 
+WIDE_SHINGLE, WIDE_WORDS, LEAST = 5, 4, 0.8
+
+
+def wide_fingerprint(raw: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """A SimHash of 256 bits, as four unsigned longs, over XXH3-128 at two seeds."""
+    words = raw.lower().split()
+    if not words:
+        return np.zeros(WIDE_WORDS, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(1, len(words) - shingle + 1)
+    cuts = [joined[a:b] for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())]
+    digest = xxhash.xxh3_128_digest
+    h = np.frombuffer(b"".join([digest(c, 1) + digest(c, 2) for c in cuts]), np.uint8).reshape(n, 32)
+    if n < 64:
+        ones = np.unpackbits(h, axis=1, bitorder="little").sum(axis=0)
+    else:
+        ones = np.concatenate([np.bincount(h[:, k], minlength=256) @ _BIT for k in range(32)])
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
+
+
+def _most_bits(least: float) -> int:
+    """Of 128 bits, how many may differ: the mean for Jaccard similarity `least` (cosine
+    2J/(1+J) of the sets) and two standard deviations more."""
+    share = np.arccos(2 * least / (1 + least)) / np.pi
+    return int(128 * share + 2 * np.sqrt(128 * share * (1 - share)))
+
+
+def similar_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, component_id for every row: groups of documents whose five-word shingles are
+    alike (Jaccard `least` or more, as the 256-bit SimHash estimates it).
+
+    Each of eight 32-bit words of a fingerprint is replicated to its Hamming anchors (see
+    above); fingerprints that meet at an anchor are compared on 128 of the other bits.  A pair
+    at the limit differs in 1 or 2 of a word's bits often enough that one of eight meets; links
+    are transitive.  An anchor's fingerprints are compared in chunks of LARGE, of which one for
+    each linked set is held against the next chunk."""
+    most = _most_bits(least)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            fp = np.stack([wide_fingerprint(t.encode()) for t in b.column("text").to_pylist()]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WIDE_WORDS)]], names=["doc_id", "f0", "f1", "f2", "f3"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    four = ["f0", "f1", "f2", "f3"]
+    fps = stage(rows.mapInArrow(sketch, "doc_id long, f0 long, f1 long, f2 long, f3 long").withColumn("node", F.xxhash64(*four)), "similar-fps")
+    distinct = stage(fps.groupBy("node", *four).agg(F.min("doc_id").alias("first")), "similar-distinct")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 5_000):
+                part = batch.slice(lo, 5_000)
+                node = part.column(0).to_numpy()
+                f = [part.column(k + 1).to_numpy().view(np.uint64) for k in range(WIDE_WORDS)]
+                for k in range(WIDE_WORDS):
+                    anchor, at = anchors(f[k])
+                    c1, c2 = f[(k + 1) % WIDE_WORDS], f[(k + 2) % WIDE_WORDS]
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor | (k << 32)), pa.array(node[at]), pa.array(c1[at].view(np.int64)), pa.array(c2[at].view(np.int64))], names=["anchor", "node", "c1", "c2"])
+
+    def near(i: np.ndarray, j: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(c1[i] ^ c1[j]).astype(np.int16) + np.bitwise_count(c2[i] ^ c2[j]) <= most
+
+    def linked(group, node, c1, c2):
+        """A spanning forest of the links inside each group of sorted rows."""
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size = np.diff(np.concatenate([start, [len(group)]]))
+        a, b = [], []
+        small = np.repeat(size <= SMALL, size)
+        for lag in range(1, int(min(SMALL, size.max()))):
+            at = np.flatnonzero((group[lag:] == group[:-lag]) & small[lag:])
+            at = at[near(at, at + lag, c1, c2)]
+            a.append(node[at])
+            b.append(node[at + lag])
+        for lo, n in zip(start[size > SMALL], size[size > SMALL]):
+            for base in range(lo, lo + n, 256):
+                i = np.arange(base, min(base + 256, lo + n))[:, None]
+                r, c = np.nonzero(near(i, np.arange(base, lo + n)[None, :], c1, c2))
+                x, y = _forest(node[base + r], node[base + c])
+                a.append(x)
+                b.append(y)
+        return _forest(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        held = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 2
+        for batch in batches:
+            new = [batch.column(k).to_numpy() for k in range(4)]
+            new[2:] = [x.view(np.uint64) for x in new[2:]]
+            cols = [np.concatenate([x, y]) for x, y in zip(held, new)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1], side="left")) if len(cols[0]) else 0
+            if cut:
+                yield out(*linked(*[x[:cut] for x in cols]))
+            held = [x[cut:] for x in cols]
+            if len(held[0]) > LARGE:
+                member, root = linked(*held)
+                yield out(member, root)
+                stay = ~np.isin(held[1], member)  # one for each linked set
+                held = [x[stay] for x in held] if stay.sum() <= LARGE // 2 else [x[stay][-LARGE // 2 :] for x in held]
+        if len(held[0]):
+            yield out(*linked(*held))
+
+    dealt = distinct.select("node", *four).mapInArrow(spread, "anchor long, node long, c1 long, c2 long").repartition("anchor").sortWithinPartitions("anchor", "node")
+    edges = dealt.mapInArrow(compare, "a long, b long").distinct()
+    roots = components(edges, "similar").withColumnRenamed("root", "top")
+    roots = stage(distinct.join(roots, "node", "left").select("node", "first", F.coalesce("top", "node").alias("top")), "similar-roots")
+    smallest = roots.groupBy("top").agg(F.min("first").alias("component_id"))
+    classes = stage(roots.join(smallest, "top").select("node", "component_id"), "similar-classes")
+    return fps.join(classes, "node").select("doc_id", "component_id")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -11,15 +11,19 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
-# A run of Latin letters, then closing punctuation: two pieces under both models.
-_STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)\Z")
+# A run of Latin letters, then closing punctuation if any: one or two pieces under both models.
+# "\0" ahead marks a cut that has no space before it.
+_PLAIN = re.compile(r"(\0?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z")
+_LINES = re.compile(r"\S+(?:\n\S+)+\Z")
 _WIDE = re.compile(r"\s ")
+_WIDE_ASCII = [chr(c) + " " for c in (*range(0x09, 0x0E), *range(0x1C, 0x21))]
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 _LOADED: dict[tuple[str, int], "MemoTokenizer"] = {}
@@ -34,59 +38,71 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level models write for each byte: printable Latin-1 characters for
+    themselves, characters from U+0100 on for the rest in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
+class _Memo(dict):
+    """cut -> its ids' bytes; unseen cuts are encoded when asked for."""
+
+    def __init__(self, lib, code: str, spaced: bool):
+        super().__init__()
+        self.lib, self.model, self.code, self.spaced = lib, lib.model, code, spaced
+        self.lead = " " if spaced else ""
+        self.letters = _byte_letters()
+        self.ends = {"": b""}
+        self.newline = self.piece("\n") if spaced else b""
+
+    def piece(self, piece: str) -> bytes:
+        mapped = piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def __missing__(self, cut: str) -> bytes:
+        m = _PLAIN.match(cut)
+        if m:
+            bare, word, end = m.groups()
+            if end:
+                if end not in self.ends:
+                    self.ends[end] = self.piece(end)
+                ids = self[bare + word] + self.ends[end]
+            elif self.spaced:
+                ids = self.piece(word if bare else " " + word)
+            else:
+                ids = self.piece(word.lower())
+        elif "\n" in cut and self.spaced and _LINES.match(cut):
+            # A line end between two characters that aren't white space is a piece of its own.
+            first, *rest = cut.split("\n")
+            ids = self.newline.join([self[first], *[self["\0" + x] for x in rest]])
+        else:
+            text = cut[1:] if cut[:1] == "\0" else self.lead + cut
+            ids = array(self.code, self.lib.encode(text, add_special_tokens=False).ids).tobytes()
+        self[cut] = ids
+        return ids
+
+
 class MemoTokenizer:
     """encode(texts) -> one numpy id array per text, equal to the library's ids.
 
-    `memo` bounds the number of remembered cuts (two generations of half of it).
+    `memo` bounds the number of remembered cuts; when it is reached, the memo starts anew.
+    Plain words go straight to the library's model, other cuts through its whole pipeline.
     Special-token strings inside a text are ordinary text.
     """
 
-    def __init__(self, name: str, memo: int = 1_200_000):
+    def __init__(self, name: str, memo: int = 600_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.lib = Tokenizer.from_file(tokenizer_path(name))
         self.lib.encode_special_tokens = True
-        self.dtype = np.dtype("<u2") if self.lib.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        small = self.lib.get_vocab_size() <= 1 << 16
+        self.dtype = np.dtype("<u2") if small else np.dtype("<u4")
         self.spaced = "Lowercase" not in str(self.lib.normalizer)  # a leading space is part of a piece
-        self.half = max(1, memo // 2)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _library(self, cuts: list[str]) -> list[bytes]:
-        found = self.lib.encode_batch_fast(cuts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
-
-    def _learn(self, cuts: set[str]) -> None:
-        """Put every cut of the set into the memo."""
-        new, old = self.new, self.old
-        if len(new) + len(cuts) > self.half:
-            old, new = new, {}
-            self.old, self.new = old, new
-        stems: dict[str, tuple[str, str]] = {}
-        unseen = set()
-        for c in cuts:
-            got = old.get(c)
-            if got is not None:
-                new[c] = got
-            elif m := _STEM.match(c):
-                stems[c] = (m[1], "\0" + m[2])
-                unseen.update(stems[c])
-            else:
-                unseen.add(c)
-        ask = []
-        for c in unseen:
-            if c not in new:
-                if (got := old.get(c)) is None:
-                    ask.append(c)
-                else:
-                    new[c] = got
-        # "\0" marks a cut that is encoded without the leading space.
-        lead = " " if self.spaced else ""
-        for c, ids in zip(ask, self._library([c[1:] if c[:1] == "\0" else lead + c for c in ask])):
-            new[c] = ids
-        for c, (a, b) in stems.items():
-            new[c] = new[a] + new[b]
+        self.most = memo
+        self.memo = _Memo(self.lib, "H" if small else "I", self.spaced)
 
     def _cuts(self, text: str) -> list[str]:
         """Cuts in memo form: plain ones follow a space, "\0..." ones don't."""
@@ -97,7 +113,7 @@ class MemoTokenizer:
             except UnicodeEncodeError:
                 pass
             cuts = text.replace("\n", " ").split(" ")
-        elif _WIDE.search(text) or text[:1] == " ":
+        elif text[:1] == " " or (any(w in text for w in _WIDE_ASCII) if text.isascii() else _WIDE.search(text)):
             cuts = [c[1:] if c[:1] == " " else "\0" + c for c in _CUT.split(text)]
         else:
             cuts = text.split(" ")
@@ -105,31 +121,20 @@ class MemoTokenizer:
         return cuts
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self._cuts(t) if t else [] for t in texts]
-        words = set().union(*split) if split else set()
-        # Texts that hold the marker itself, or very many new cuts, go to the library whole.
-        unseen = words.difference(self.new)
-        if len(unseen) > self.half:
-            return [self._whole(t) for t in texts]
-        self._learn(unseen)
-        if len(unseen) != len(words) and not words <= self.new.keys():
-            self._learn(words.difference(self.new))  # the memo turned over meanwhile
-        if not words <= self.new.keys():
-            return [self._whole(t) for t in texts]
-        get = self.new.__getitem__
-        out = []
-        for t, cuts in zip(texts, split):
-            if t and "\0" in t:
-                out.append(self._whole(t))
+        out, memo = [], self.memo
+        for t in texts:
+            if len(memo) > self.most:
+                memo.clear()
+            if not t:
+                out.append(np.zeros(0, self.dtype))
+            elif "\0" in t:  # holds the marker itself
+                out.append(np.array(self.lib.encode(t, add_special_tokens=False).ids, self.dtype))
             else:
-                out.append(np.frombuffer(b"".join(map(get, cuts)), self.dtype))
+                out.append(np.frombuffer(b"".join(map(memo.__getitem__, self._cuts(t))), self.dtype))
         return out
 
-    def _whole(self, text: str | None) -> np.ndarray:
-        return np.array(self.lib.encode(text or "", add_special_tokens=False).ids, self.dtype)
-
 
-def load(name: str, memo: int = 1_200_000) -> MemoTokenizer:
+def load(name: str, memo: int = 600_000) -> MemoTokenizer:
     """The worker's own tokenizer, loaded once per process."""
     key = (name, memo)
     if key not in _LOADED:
