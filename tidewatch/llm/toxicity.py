@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import slices, table, text_or_empty
 
 VOCABULARY, LEAST_DOCS, GRAM_SLOTS, EMBED, HIDDEN, LENGTH = 1 << 13, 3, 1 << 12, 12, 12, 48
-TRAIN_DOCS, STEPS = 3000, 480
+TRAIN_DOCS, STEPS = 2000, 300
 _CLEAN = bytes.maketrans(b".,;:!?\"'()[]{}<>|*_#", b" " * 20)
 
 
