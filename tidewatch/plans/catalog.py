@@ -14,7 +14,7 @@ SERVICE_METRICS = ("cpu_percent", "latency_p99")
 # The canonical events in SQL; every query below starts from it.
 EVENTS_SQL = """
 ev AS (SELECT event_type AS service_id, CAST(event_id AS VARCHAR) AS span_id, event_id AS arrival_seq, user_id,
-              CAST(epoch_ms(ts) AS BIGINT) AS timestamp_ms, coalesce(value, 0.0) AS cpu_percent,
+              epoch_us(ts) // 1000 AS timestamp_ms, coalesce(value, 0.0) AS cpu_percent,
               coalesce(CAST(json_extract_string(props, '$.k') AS DOUBLE), 0.0) AS latency_p99,
               coalesce(value, 0.0) / 1000 AS error_rate,
               coalesce(CAST(json_extract_string(props, '$.k') AS DOUBLE), 0.0) * 2 + coalesce(value, 0.0) AS request_rate
@@ -185,7 +185,7 @@ def confusion_metrics(spark, sf_dir):
 
 def inject_clamp(spark, sf_dir):
     kinds = F.array(*[F.lit(k) for k in ("CPU_SPIKE", "LATENCY_BURST", "ERROR_RATE_SPIKE", "REQUEST_DROP")])
-    rows = _events(spark, sf_dir).withColumns({"kind": F.get(kinds, (F.col("arrival_seq") % 4).cast("int")), "factor": (F.col("arrival_seq") % 10) / 10})
+    rows = _events(spark, sf_dir).withColumns({"kind": F.get(kinds, (F.col("arrival_seq") % 4).cast("int")), "factor": (F.col("arrival_seq") % 10) / 10 + 0.0137})
     return generator.clamped(generator.injected(rows, "kind", "factor")).select("arrival_seq", "cpu_percent", "latency_p99", "error_rate", "request_rate")
 
 
@@ -278,7 +278,7 @@ REGISTRY: dict[str, tuple] = {
     "sigmoid_scores": (sigmoid_scores, f"WITH {EVENTS_SQL} SELECT arrival_seq, round(1 / (1 + exp(5 * (cpu_percent / 100 - 0.5))), 6) AS score, CASE greatest(abs(cpu_percent), abs(latency_p99), abs(error_rate), abs(request_rate)) WHEN abs(cpu_percent) THEN 'CPU_SPIKE' WHEN abs(latency_p99) THEN 'LATENCY_BURST' WHEN abs(error_rate) THEN 'ERROR_RATE_SPIKE' ELSE 'REQUEST_DROP' END AS anomaly_type FROM ev"),
     "model_counts": (model_counts, f"WITH {EVENTS_SQL}, q AS (SELECT *, {NUMBERED} FROM ev) SELECT service_id, CASE WHEN start >= 59 THEN 'TRANSFORMER' ELSE 'ISOLATION_FOREST' END AS model_used, count(*) AS n FROM q GROUP BY 1, 2"),
     "confusion_metrics": (confusion_metrics, f"WITH {EVENTS_SQL}, q AS (SELECT service_id, count(*) FILTER (arrival_seq % 5 = 0 AND cpu_percent > 50) AS tp, count(*) FILTER (arrival_seq % 5 <> 0 AND cpu_percent > 50) AS fp, count(*) FILTER (arrival_seq % 5 = 0 AND cpu_percent <= 50) AS fn, count(*) FILTER (arrival_seq % 5 <> 0 AND cpu_percent <= 50) AS tn FROM ev GROUP BY 1), p AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM q) SELECT service_id, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM p"),
-    "inject_clamp": (inject_clamp, f"WITH {EVENTS_SQL}, q AS (SELECT *, arrival_seq % 4 AS k, (arrival_seq % 10) / 10 AS f FROM ev) SELECT arrival_seq, round(least(100.0, greatest(0.0, CASE WHEN k = 0 THEN least(100.0, cpu_percent * (2.5 + 1.5 * f)) ELSE cpu_percent END)), 4) AS cpu_percent, round(greatest(0.0, CASE WHEN k = 1 THEN latency_p99 * (5 + 10 * f) ELSE latency_p99 END), 4) AS latency_p99, round(least(1.0, greatest(0.0, CASE WHEN k = 2 THEN least(1.0, error_rate * (10 + 40 * f)) ELSE error_rate END)), 6) AS error_rate, round(greatest(0.0, CASE WHEN k = 3 THEN request_rate * (CAST(0.05 AS DOUBLE) + CAST(0.15 AS DOUBLE) * f) ELSE request_rate END), 4) AS request_rate FROM q"),
+    "inject_clamp": (inject_clamp, f"WITH {EVENTS_SQL}, q AS (SELECT *, arrival_seq % 4 AS k, (arrival_seq % 10) / 10 + CAST(0.0137 AS DOUBLE) AS f FROM ev) SELECT arrival_seq, round(least(100.0, greatest(0.0, CASE WHEN k = 0 THEN least(100.0, cpu_percent * (2.5 + 1.5 * f)) ELSE cpu_percent END)), 4) AS cpu_percent, round(greatest(0.0, CASE WHEN k = 1 THEN latency_p99 * (5 + 10 * f) ELSE latency_p99 END), 4) AS latency_p99, round(least(1.0, greatest(0.0, CASE WHEN k = 2 THEN least(1.0, error_rate * (10 + 40 * f)) ELSE error_rate END)), 6) AS error_rate, round(greatest(0.0, CASE WHEN k = 3 THEN request_rate * (CAST(0.05 AS DOUBLE) + (CAST(0.2 AS DOUBLE) - CAST(0.05 AS DOUBLE)) * f) ELSE request_rate END), 4) AS request_rate FROM q"),
     "cascade_bfs": (cascade_bfs, f"WITH {EDGES_SQL} SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM (SELECT src AS root, dst AS node, 1 AS depth FROM e UNION ALL SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src) WHERE root <> node GROUP BY 1, 2"),
     "components": (components, f"WITH RECURSIVE {EDGES_SQL}, u AS (SELECT src, dst FROM e WHERE src % 4 = dst % 4 UNION SELECT dst, src FROM e WHERE src % 4 = dst % 4), t AS (SELECT src AS node, src AS reached FROM u UNION SELECT t.node, u.dst FROM t JOIN u ON t.reached = u.src) SELECT node, min(reached) AS component FROM t GROUP BY 1"),
     "topk_scores": (topk_scores, f"WITH {A_SQL}, q AS (SELECT service_id, round(anomaly_score, 3) AS anomaly_score, row_number() OVER (PARTITION BY service_id ORDER BY round(anomaly_score, 3) DESC, timestamp_ms, span_id) AS rank FROM an) SELECT service_id, rank, anomaly_score FROM q WHERE rank <= 3"),
