@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def greedy_chain(df: DataFrame, key: str, order: str, t: str, gap: int, strict: bool = False, out: str = "fired") -> DataFrame:
@@ -22,7 +23,7 @@ def greedy_chain(df: DataFrame, key: str, order: str, t: str, gap: int, strict:
     crossings before the row, so rows between two crossings share it, the crossing one
     included in the earlier).  `strict` crosses at > gap, else at >= gap."""
     cols = [c for c in df.columns]
-    schema = df.schema.add(out, "boolean").add(f"{out}_anchor", "long").add(f"{out}_no", "long")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.BooleanType()), T.StructField(f"{out}_anchor", T.LongType()), T.StructField(f"{out}_no", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, anchor, number = object(), None, 0
