@@ -5,7 +5,8 @@ runs of ASCII digits to one 0, everything else but letters and digits to a space
 as the set of its word bigrams.  A line carries a licence if the Dice coefficient of its
 bigrams and a template's is `least` or more.  2*min(a,b)/(a+b) bounds the coefficient, so
 only templates whose size lies within least/(2-least) .. (2-least)/least of the line's are
-compared, and lines that no template's size allows are left out before bigrams are made.
+compared, and lines that no template's size allows are left out before bigrams are made.  Lines
+without any of the words that every match must have (see telling_words) are left out first.
 
 The templates are a fixed table in this module: it is broadcast, and doesn't grow with data.
 
@@ -17,6 +18,8 @@ null licence; repeated rows appear each; an empty table gives no row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,26 @@ def bigrams(plain: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).when(n == 1, words).otherwise(F.array_distinct(pairs))
 
 
+def telling_words(known: dict[str, str], least: float) -> str:
+    """A pattern that any line with a licence matches.
+
+    A coefficient of `least` takes least/(2-least) of a template's bigrams to be in the line.
+    Words are chosen, longest first, until the bigrams without any of them are fewer: then the
+    line has one of the words, literally but for the case of ASCII letters."""
+    chosen: set[str] = set()
+    for wording in known.values():
+        words = re.sub(r"[^a-z0-9]+", " ", re.sub("[0-9]+", "0", wording.lower())).split()
+        grams = set(zip(words, words[1:])) if len(words) > 1 else {(words[0],)}
+        for w in sorted({w for w in words if w.isalpha()}, key=lambda w: (-len(w), w)):
+            if len([g for g in grams if not chosen & set(g)]) < least / (2 - least) * len(grams):
+                break
+            chosen.add(w)
+        else:
+            if len([g for g in grams if not chosen & set(g)]) >= least / (2 - least) * len(grams):
+                return "(?s).*"  # a template without enough plain words: any line may have it
+    return "(?i)" + "|".join(sorted(chosen))
+
+
 def templates(spark: SparkSession, known: dict[str, str]) -> DataFrame:
     """(licence, t_grams, t_size)"""
     rows = spark.createDataFrame(sorted(known.items()), "licence string, wording string")
@@ -70,9 +93,10 @@ def matches(docs: DataFrame, least: float = LEAST, known: dict[str, str] | None
     wanted = templates(spark, known or TEMPLATES)
     low, high = least / (2 - least), (2 - least) / least
     reach = wanted.agg(F.min("t_size").alias("lo"), F.max("t_size").alias("hi")).first()
-    lines = docs.select("row", F.posexplode(F.split("text", r"\r\n|\r|\n", -1)).alias("line_no", "line"))
+    telling = telling_words(known or TEMPLATES, least)
+    lines = docs.where(F.col("text").rlike(telling)).select("row", F.posexplode(F.split("text", r"\r\n|\r|\n", -1)).alias("line_no", "line"))
     # A set of bigrams is no larger than the number of blanks in a normalised line (or one).
-    plain = lines.select("row", "line_no", normalised(F.col("line")).alias("plain")).where("plain <> ''")
+    plain = lines.where(F.col("line").rlike(telling)).select("row", "line_no", normalised(F.col("line")).alias("plain")).where("plain <> ''")
     plain = plain.where(F.greatest(F.length("plain") - F.length(F.translate("plain", " ", "")), F.lit(1)) >= reach["lo"] * low)
     grams = plain.select("row", "line_no", bigrams(F.col("plain")).alias("grams")).withColumn("size", F.size("grams")).where(F.col("size").between(reach["lo"] * low, reach["hi"] * high))
     # Broadcast: the template table is fixed in this module.
