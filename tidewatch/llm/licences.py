@@ -23,9 +23,10 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import stage, table, text_or_empty
 
 LEAST = 0.6
+COMMON = {"a", "and", "are", "at", "by", "for", "in", "is", "it", "of", "or", "that", "the", "this", "to", "with", "you"}
 
 # Notices by which works commonly name their licence.
 TEMPLATES = {
@@ -64,20 +65,20 @@ def telling_words(known: dict[str, str], least: float) -> str:
     """A pattern that any line with a licence matches.
 
     A coefficient of `least` takes least/(2-least) of a template's bigrams to be in the line.
-    Words are chosen, longest first, until the bigrams without any of them are fewer: then the
+    Words are chosen, longest first and COMMON ones last, until the bigrams without any of them are fewer: then the
     line has one of the words, literally but for the case of ASCII letters."""
     chosen: set[str] = set()
     for wording in known.values():
         words = re.sub(r"[^a-z0-9]+", " ", re.sub("[0-9]+", "0", wording.lower())).split()
         grams = set(zip(words, words[1:])) if len(words) > 1 else {(words[0],)}
-        for w in sorted({w for w in words if w.isalpha()}, key=lambda w: (-len(w), w)):
+        for w in sorted({w for w in words if w.isalpha()}, key=lambda w: (w in COMMON, -len(w), w)):
             if len([g for g in grams if not chosen & set(g)]) < least / (2 - least) * len(grams):
                 break
             chosen.add(w)
         else:
             if len([g for g in grams if not chosen & set(g)]) >= least / (2 - least) * len(grams):
                 return "(?s).*"  # a template without enough plain words: any line may have it
-    return "(?i)" + "|".join(sorted(chosen))
+    return "(?i)(?<![a-z])(?:" + "|".join(sorted(chosen)) + ")(?![a-z])"
 
 
 def templates(spark: SparkSession, known: dict[str, str]) -> DataFrame:
@@ -108,6 +109,8 @@ def matches(docs: DataFrame, least: float = LEAST, known: dict[str, str] | None
 def scan(docs: DataFrame, least: float = LEAST, known: dict[str, str] | None = None) -> DataFrame:
     """doc_id, licence, dice (of the best line), licence_lines (lines with a match) for every row."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    # Staged with the texts that may match alone, so that a row keeps its number.
+    rows = stage(rows.withColumn("text", F.when(F.col("text").rlike(telling_words(known or TEMPLATES, least)), F.col("text"))), "licence-rows")
     best = matches(rows, least, known).groupBy("row", "line_no").agg(F.max(F.struct("dice", F.col("licence"))).alias("_"), F.max("dice").alias("dice"), F.collect_list(F.struct("dice", "licence")).alias("all"))
     # At most one entry a template is collected for a line.
     best = best.select("row", "dice", F.array_min(F.transform(F.filter("all", lambda x: x["dice"] == F.col("dice")), lambda x: x["licence"])).alias("licence"))
