@@ -6,7 +6,7 @@ Phrases are recurring if different texts have them.  Documents with recurring ph
 dealt out by their text's digest; each task compiles Aho-Corasick automata over the word
 codes of the recurring phrases of its documents (a shard for each slice of some MB), streams
 the documents through them, and so finds every occurrence.  Only windows around occurrences
-are hashed in full (96 bits) and matched between documents; a window whose words also start
+are hashed in full (95 bits) and matched between documents; a window whose words also start
 in a document with a smaller doc_id is removed.
 
 Exact copies are settled by digest first: all words of a later copy are removed if it has a
