@@ -228,7 +228,10 @@ def build_index(found: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
         g = Graph(np.stack(pdf["vector"].to_numpy()).astype(np.float64)).build()
         return pd.DataFrame({"shard": [int(pdf["shard"][0])], "dim": [int(pdf["dim"][0])], "n": [len(pdf)], "keys": [pdf["key"].tolist()], "vectors": [g.x.astype("<f8").tobytes()], "near": [[x.astype("<i4").tobytes() for x in g.near]], "levels": [g.levels.astype("<i4").tobytes()], "entry": [g.entry]})
 
-    return stage(dealt.select("shard", "dim", "key", "vector").groupBy("dim", "shard").applyInPandas(build, "shard long, dim int, n long, keys array<binary>, vectors binary, near array<binary>, levels binary, entry long"), "hnsw-index")
+    # A task for each shard: adaptive execution would put small ones together, one after another.
+    shards = dims.agg(F.sum("shards")).first()[0] or 1
+    dealt = dealt.select("shard", "dim", "key", "vector").repartition(int(shards), "dim", "shard")
+    return stage(dealt.groupBy("dim", "shard").applyInPandas(build, "shard long, dim int, n long, keys array<binary>, vectors binary, near array<binary>, levels binary, entry long"), "hnsw-index")
 
 
 def _restored(row: dict) -> Graph:
@@ -252,7 +255,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM
     empty = {"n": "long", "keys": "array<binary>", "vectors": "binary", "near": "array<binary>", "levels": "binary", "entry": "long"}
     asked = asked.select("dim", "shard", F.lit(1).alias("kind"), F.col("key").alias("query_key"), "vector", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()])
     held = index.select("dim", "shard", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("query_key"), F.lit(None).cast("array<double>").alias("vector"), *empty)
-    dealt = held.unionByName(asked).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind")
+    dealt = held.unionByName(asked).repartition(max(1, index.count()), "dim", "shard").sortWithinPartitions("dim", "shard", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, keys, wait = None, [], []
