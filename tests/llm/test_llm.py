@@ -326,3 +326,49 @@ def test_toxicity_learns_and_its_gradients_are_right(docs, empty):
         down = loss()
         small.p[k][at] = old
         assert abs((up - down) / 2e-2 - g[k][at]) < 2e-3
+
+
+@pytest.mark.parametrize("large, block", [(20_000, 1_000), (3, 2)])
+def test_similar_groups_against_brute_force(spark, empty, monkeypatch, large, block):
+    monkeypatch.setattr(simhash, "LARGE", large)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    r = random.Random(11)
+    texts = []
+    for k in range(24):
+        base = [r.choice(WORDS) for _ in range(r.randint(60, 300))]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 9, 12)[: k % 5]:  # some likenesses above the limit, some below
+            copy = list(base)
+            for at in r.sample(range(len(base)), edits):
+                copy[at] = "new"
+            texts.append(" \n".join(copy).upper())
+    line = "same words again and again here " * 40
+    texts += [line + "one tail", line + "another end of a text", None, "", " ", "two words", "Two WORDS", "a " * 3000]
+    rows = [(i, t, None, None, None, 7, 8) for i, t in enumerate(texts)] + [(3, texts[3], None, None, None, 1, 1), (None, texts[5], None, None, None, 1, 1)]
+    got = simhash.similar_groups(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+
+    def classes(least):
+        top = list(range(len(texts)))
+        for i in range(len(texts)):
+            for j in range(i):
+                if sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) > 0:
+                    top = [min(top[i], top[j]) if x in (top[i], top[j]) else x for x in top]
+        return top
+
+    # No link below the limit; every link well above it (at the limit, some pairs never meet).
+    loose, tight, found = classes(0.8), classes(0.9), {}
+    for x in got:
+        found.setdefault(x.component_id, set()).add(5 if x.doc_id is None else x.doc_id)
+    own = {i: c for c, members in found.items() for i in members}
+    assert sorted(own) == list(range(len(texts))) and len(got) == len(texts) + 2
+    assert all(c == min(members) for c, members in found.items())
+    assert all(len({loose[i] for i in members}) == 1 for members in found.values())
+    assert all(own[i] == own[tight[i]] for i in own)
+    assert sum(own[i] != loose[i] for i in own) <= 2
+    assert simhash.similar_groups(empty).count() == 0

@@ -211,54 +211,122 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, b
 
 
 WIDE_SHINGLE, WIDE_WORDS, LEAST = 5, 4, 0.8
+BLOCK, BLOCK_BYTES = 1_000, 32 << 20
 
 
-def wide_fingerprint(raw: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
-    """A SimHash of 256 bits, as four unsigned longs, over XXH3-128 at two seeds."""
+def shingle_set(raw: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """The distinct shingles' XXH3-128 at two seeds, as rows of four unsigned longs in ascending
+    order of the first; a row for the whole text if it has fewer words, none if it has none."""
     words = raw.lower().split()
     if not words:
-        return np.zeros(WIDE_WORDS, np.uint64)
+        return np.zeros((0, WIDE_WORDS), np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
-    cuts = [joined[a:b] for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())]
+    cuts = {joined[a:b] for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())}
     digest = xxhash.xxh3_128_digest
-    h = np.frombuffer(b"".join([digest(c, 1) + digest(c, 2) for c in cuts]), np.uint8).reshape(n, 32)
+    h = np.frombuffer(b"".join([digest(c, 1) + digest(c, 2) for c in cuts]), "<u8").reshape(-1, WIDE_WORDS)
+    return h[np.argsort(h[:, 0], kind="stable")]
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """A SimHash of 256 bits, as four unsigned longs, over a shingle set."""
+    n = len(h)
+    bytes_ = np.ascontiguousarray(h).view(np.uint8).reshape(n, 32)
     if n < 64:
-        ones = np.unpackbits(h, axis=1, bitorder="little").sum(axis=0)
+        ones = np.unpackbits(bytes_, axis=1, bitorder="little").sum(axis=0)
     else:
-        ones = np.concatenate([np.bincount(h[:, k], minlength=256) @ _BIT for k in range(32)])
+        ones = np.concatenate([np.bincount(bytes_[:, k], minlength=256) @ _BIT for k in range(32)])
     return np.packbits(2 * ones > n, bitorder="little").view("<u8")
 
 
-def _most_bits(least: float) -> int:
-    """Of 128 bits, how many may differ: the mean for Jaccard similarity `least` (cosine
-    2J/(1+J) of the sets) and two standard deviations more."""
+def _most_bits(least: float, bits: int, deviations: float) -> int:
+    """Of `bits`, how many may differ: the mean for Jaccard similarity `least` (cosine
+    2J/(1+J) of the sets) and some standard deviations more."""
     share = np.arccos(2 * least / (1 + least)) / np.pi
-    return int(128 * share + 2 * np.sqrt(128 * share * (1 - share)))
+    return int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
+
+
+def _dealt_pairs(df: DataFrame, key: str, blocks: str) -> DataFrame:
+    """df with `i`, `j`: members of a group of over one block are dealt to blocks by node, and
+    repeated so that any two of them share one (key, i, j)."""
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col(blocks))
+    others = F.expr(f"CASE WHEN {blocks} = 1 THEN array(0L) ELSE filter(sequence(0L, {blocks} - 1), x -> x <> _own) END")
+    out = df.withColumn("_own", own).withColumn("_other", F.explode(others))
+    return out.withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other")).drop("_own", "_other", blocks)
+
+
+def _confirmed(node: np.ndarray, f: np.ndarray, sets: list[np.ndarray], least: float, most: int) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs with Jaccard `least` or more: pairs of near fingerprints,
+    nearest first, are counted exactly unless a forest already joins them."""
+    size = np.array([len(s) for s in sets])
+    n, far = len(node), []
+    for lo in range(0, n, 256):
+        part = f[lo : lo + 256, None, :] ^ f[None, lo:, :]
+        bits = np.bitwise_count(part).sum(axis=2, dtype=np.int16)
+        i, j = np.nonzero(bits <= most)
+        d = bits[i, j]
+        i, j = i + lo, j + lo
+        keep = (i < j) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9)
+        far.append(np.stack([d[keep], i[keep], j[keep]]).astype(np.int32))
+    pairs = np.concatenate(far, axis=1)
+    pairs = pairs[:, np.argsort(pairs[0], kind="stable")]
+    top = list(range(n))
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
 
+    a, b = [], []
+    for i, j in zip(pairs[1].tolist(), pairs[2].tolist()):
+        x, y = find(i), find(j)
+        if x == y:
+            continue
+        both = np.concatenate([sets[i], sets[j]])
+        both.sort()
+        common = int((both[1:] == both[:-1]).sum())
+        if common * (1 + least) >= least * len(both) - 1e-9:
+            top[max(x, y)] = min(x, y)
+            a.append(int(node[i]))
+            b.append(int(node[j]))
+    return a, b
 
-def similar_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, component_id for every row: groups of documents whose five-word shingles are
-    alike (Jaccard `least` or more, as the 256-bit SimHash estimates it).
 
-    Each of eight 32-bit words of a fingerprint is replicated to its Hamming anchors (see
-    above); fingerprints that meet at an anchor are compared on 128 of the other bits.  A pair
-    at the limit differs in 1 or 2 of a word's bits often enough that one of eight meets; links
-    are transitive.  An anchor's fingerprints are compared in chunks of LARGE, of which one for
-    each linked set is held against the next chunk."""
-    most = _most_bits(least)
+def similar_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, component_id for every row: groups of documents that Jaccard similarities of
+    `least` or more, counted on their sets of five-word shingles, link.
+
+    Texts of equal shingle sets are one node.  Candidates: each of eight 32-bit words of a
+    node's 256-bit SimHash is replicated to its Hamming anchors (see above); nodes that meet at
+    an anchor are compared on 128 of the other bits, and a forest of the near ones leaves the
+    task.  A pair at the limit differs in 1 or 2 of a word's bits often enough that one of eight
+    meets.  Check: inside each tree's nodes, pairs of near fingerprints are counted exactly.
+    Anchors of over LARGE nodes, and trees of over BLOCK nodes or BLOCK_BYTES of shingles, are
+    cut into blocks of which any two meet in a task, so no task holds a whole group.
+
+    Wordless texts are one node; null doc_ids take their group's smallest doc_id."""
+    large, block = LARGE, BLOCK
+    most = _most_bits(least, 128, 2)
+    confirm = _most_bits(least, 256, 3)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            fp = np.stack([wide_fingerprint(t.encode()) for t in b.column("text").to_pylist()]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WIDE_WORDS)]], names=["doc_id", "f0", "f1", "f2", "f3"])
+            node, size, fp = [], [], []
+            for t in b.column("text").to_pylist():
+                h = shingle_set(t.encode())
+                node.append(xxhash.xxh3_64_intdigest(np.ascontiguousarray(h[:, 0]).tobytes()))
+                size.append(len(h))
+                fp.append(wide_fingerprint(h))
+            f = np.stack(fp).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), *[pa.array(np.ascontiguousarray(f[:, k])) for k in range(WIDE_WORDS)]], names=["doc_id", "node", "size", "f0", "f1", "f2", "f3"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     four = ["f0", "f1", "f2", "f3"]
-    fps = stage(rows.mapInArrow(sketch, "doc_id long, f0 long, f1 long, f2 long, f3 long").withColumn("node", F.xxhash64(*four)), "similar-fps")
-    distinct = stage(fps.groupBy("node", *four).agg(F.min("doc_id").alias("first")), "similar-distinct")
+    fps = stage(rows.mapInArrow(sketch, "doc_id long, node long, size long, f0 long, f1 long, f2 long, f3 long"), "similar-fps")
+    distinct = stage(fps.groupBy("node", "size", *four).agg(F.min("doc_id").alias("first")), "similar-distinct")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,28 +362,76 @@ def similar_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
                 b.append(y)
         return _forest(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)))
 
+    found_names = ["a", "b", "anchor", "c1", "c2"]
+
+    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int64())] * 3], names=found_names)
+
+    def hot(cols: list[np.ndarray]) -> pa.RecordBatch:
+        anchor, node, c1, c2 = cols
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(node), pa.array(anchor), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64))], names=found_names)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-        held = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 2
+        held, over = None, None
         for batch in batches:
-            new = [batch.column(k).to_numpy() for k in range(4)]
-            new[2:] = [x.view(np.uint64) for x in new[2:]]
-            cols = [np.concatenate([x, y]) for x, y in zip(held, new)]
+            cols = [batch.column(k).to_numpy() for k in range(4)]
+            cols[2:] = [x.view(np.uint64) for x in cols[2:]]
+            if held is not None:
+                cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
+            if over is not None and len(cols[0]):  # the rest of an anchor already found too large
+                cut = int(np.searchsorted(cols[0], over, side="right"))
+                if cut:
+                    yield hot([x[:cut] for x in cols])
+                cols = [x[cut:] for x in cols]
+                over = over if not len(cols[0]) else None
             cut = int(np.searchsorted(cols[0], cols[0][-1], side="left")) if len(cols[0]) else 0
             if cut:
                 yield out(*linked(*[x[:cut] for x in cols]))
             held = [x[cut:] for x in cols]
-            if len(held[0]) > LARGE:
-                member, root = linked(*held)
-                yield out(member, root)
-                stay = ~np.isin(held[1], member)  # one for each linked set
-                held = [x[stay] for x in held] if stay.sum() <= LARGE // 2 else [x[stay][-LARGE // 2 :] for x in held]
-        if len(held[0]):
+            if len(held[0]) > large:
+                over = held[0][0]
+                yield hot(held)
+                held = [x[:0] for x in held]
+        if held is not None and len(held[0]):
             yield out(*linked(*held))
 
     dealt = distinct.select("node", *four).mapInArrow(spread, "anchor long, node long, c1 long, c2 long").repartition("anchor").sortWithinPartitions("anchor", "node")
-    edges = dealt.mapInArrow(compare, "a long, b long").distinct()
-    roots = components(edges, "similar").withColumnRenamed("root", "top")
+    found = stage(dealt.mapInArrow(compare, "a long, b long, anchor long, c1 long, c2 long"), "similar-found")
+    edges = found.where("anchor is null").select("a", "b")
+
+    def across(group: pa.Table) -> pa.Table:
+        node, c1, c2 = (group.column(c).to_numpy() for c in ("node", "c1", "c2"))
+        a, b = linked(np.zeros(len(node), np.int64), node, c1.view(np.uint64), c2.view(np.uint64))
+        return pa.table({"a": a, "b": b})
+
+    crowd = found.where("anchor is not null").select("anchor", F.col("a").alias("node"), "c1", "c2")
+    crowds = crowd.groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(max(1, large // 2))).alias("blocks"))
+    apart = _dealt_pairs(crowd.join(crowds, "anchor"), "anchor", "blocks")
+    edges = edges.union(apart.groupBy("anchor", "i", "j").applyInArrow(across, "a long, b long"))
+    trees = components(edges.distinct(), "similar-trees").withColumnRenamed("root", "tree")
+    members = stage(distinct.join(trees, "node"), "similar-members")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            cells = [np.ascontiguousarray(shingle_set(t.encode())[:, 0]).tobytes() for t in b.column("text").to_pylist()]
+            node = np.array([xxhash.xxh3_64_intdigest(c) for c in cells], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(cells, pa.binary())], names=["node", "cells"])
+
+    # One row of each member node is read again: any row of its smallest doc_id.
+    asked = members.select(F.col("first").alias("doc_id")).distinct()
+    again = rows.alias("r").join(asked.alias("a"), F.col("r.doc_id").eqNullSafe(F.col("a.doc_id")), "left_semi")
+    cells = again.mapInArrow(sets, "node long, cells binary").groupBy("node").agg(F.first("cells").alias("cells"))
+    share = members.groupBy("tree").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("size") * 8 / F.lit(BLOCK_BYTES))).alias("blocks"))
+    jobs = _dealt_pairs(members.select("node", "tree", *four).join(share, "tree"), "tree", "blocks").join(cells, "node")
+
+    def check(group: pa.Table) -> pa.Table:
+        f = np.stack([group.column(c).to_numpy() for c in four], axis=1).view(np.uint64)
+        held = [np.frombuffer(c, np.uint64) for c in group.column("cells").to_pylist()]
+        a, b = _confirmed(group.column("node").to_numpy(), f, held, least, confirm)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    links_ = stage(jobs.groupBy("tree", "i", "j").applyInArrow(check, "a long, b long"), "similar-links")
+    roots = components(links_.distinct(), "similar").withColumnRenamed("root", "top")
     roots = stage(distinct.join(roots, "node", "left").select("node", "first", F.coalesce("top", "node").alias("top")), "similar-roots")
     smallest = roots.groupBy("top").agg(F.min("first").alias("component_id"))
     classes = stage(roots.join(smallest, "top").select("node", "component_id"), "similar-classes")
