@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import chain, dedup, graph, sequence, tumbling, watermark, zscore
+from ..models import autoencoders, forest, gateway
+from ..operators import chain, dedup, granger, graph, sequence, tumbling, watermark, zscore
 from ..sources import generator, normalize
 
 HOUR, DAY = 3_600_000, 86_400_000
@@ -217,6 +218,41 @@ def service_registry(spark, sf_dir):
     return generator.services(spark)
 
 
+FOREST_FEATURES = ["f_mean", "f_std", "f_p95", "f_p99", "f_max", "f_error", "f_request"]
+
+
+def _train_forest(rows: DataFrame) -> tuple[DataFrame, forest.Forest]:
+    blocks = sequence.summary(sequence.numbered_blocks(rows, "service_id", "arrival_seq"), ["service_id", "block"])
+    return blocks, forest.train(blocks, FOREST_FEATURES)
+
+
+def iforest_scores(spark, sf_dir):
+    blocks, model = _train_forest(_events(spark, sf_dir))
+    out = forest.with_decision(blocks, model, FOREST_FEATURES).withColumn("score", sequence.sigmoid_score(F.col("decision")))
+    return out.select("service_id", "block", F.round("decision", 6).alias("decision"), F.round("score", 6).alias("score"), (F.col("decision") < 0).alias("outlier"))
+
+
+def autoencoder_windows(spark, sf_dir):
+    rows = sequence.chronological_split(_events(spark, sf_dir), "service_id", "arrival_seq")
+    train, val = rows.where("part = 'train'"), rows.where("part = 'val'")
+    fitted = autoencoders.fit(autoencoders.Transformer(), train, val, "service_id", "arrival_seq", most=512, epochs=3)
+    return gateway.score(rows, gateway.Gateway(fitted, None), "service_id", "arrival_seq").where("model_used <> 'NONE'").select("service_id", "arrival_seq", F.round("reconstruction_error", 4).alias("reconstruction_error"), "is_anomaly")
+
+
+def gateway_scores(spark, sf_dir):
+    rows = _events(spark, sf_dir)
+    _, model = _train_forest(rows)
+    fitted = autoencoders.fit(autoencoders.Linear(), rows, None, "service_id", "arrival_seq")
+    out = gateway.score(rows, gateway.Gateway(fitted, model), "service_id", "arrival_seq")
+    return out.select("service_id", "arrival_seq", "n_buf", "model_used", F.round("anomaly_score", 4).alias("anomaly_score"), "is_anomaly", "anomaly_type")
+
+
+def granger_pairs(spark, sf_dir):
+    hours = _events(spark, sf_dir).groupBy("service_id", F.expr(f"timestamp_ms div {6 * HOUR}").alias("slot")).agg(F.avg("cpu_percent").alias("cpu"))
+    pairs = spark.createDataFrame([("view", "click"), ("click", "signup"), ("signup", "purchase"), ("view", "error")], "src string, dst string")
+    return granger.tests(hours, pairs, "service_id", "slot", "cpu").withColumns({"f_stat": F.round("f_stat", 4), "p_value": F.round("p_value", 4)})
+
+
 _CHAIN = """
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY arrival_seq) AS rn FROM src),
 c AS (SELECT k, rn, arrival_seq, timestamp_ms, timestamp_ms AS anchor, true AS fired, CAST(NULL AS BIGINT) AS tested, CAST(0 AS BIGINT) AS no FROM r WHERE rn = 1
@@ -283,6 +319,10 @@ REGISTRY: dict[str, tuple] = {
     "components": (components, f"WITH RECURSIVE {EDGES_SQL}, u AS (SELECT src, dst FROM e WHERE src % 4 = dst % 4 UNION SELECT dst, src FROM e WHERE src % 4 = dst % 4), t AS (SELECT src AS node, src AS reached FROM u UNION SELECT t.node, u.dst FROM t JOIN u ON t.reached = u.src) SELECT node, min(reached) AS component FROM t GROUP BY 1"),
     "topk_scores": (topk_scores, f"WITH {A_SQL}, q AS (SELECT service_id, round(anomaly_score, 3) AS anomaly_score, row_number() OVER (PARTITION BY service_id ORDER BY round(anomaly_score, 3) DESC, timestamp_ms, span_id) AS rank FROM an) SELECT service_id, rank, anomaly_score FROM q WHERE rank <= 3"),
     "labelled_series": (labelled_series, None),
+    "iforest_scores": (iforest_scores, None),
+    "autoencoder_windows": (autoencoder_windows, None),
+    "gateway_scores": (gateway_scores, None),
+    "granger_pairs": (granger_pairs, None),
     "service_registry": (service_registry, None),
 }
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -89,3 +89,36 @@ def sliding_detector(events: DataFrame, window_ms: int = 300_000, slide_ms: int
     keep = "last long, held array<struct<t:long,cpu:double,latency:double,error:double,request:double>>"
     shape = "service_id string, span_id string, timestamp_ms long, n long, " + ", ".join(f"z_{n} double" for n in names)
     return events.groupBy("service_id").applyInPandasWithState(score, shape, keep, "append", GroupStateTimeout.NoTimeout)
+
+
+def hashed_normal(*columns: str, seed: int = 42) -> Column:
+    """A standard normal number that depends on the columns' values and the seed alone."""
+    share = lambda k: (F.pmod(F.xxhash64(*columns, F.lit(seed + k)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    return F.sqrt(-2 * F.log(share(0))) * F.cos(2 * F.pi() * share(1))
+
+
+def ar1(steps: DataFrame, key: str = "service_id", order: str = "step", rho: float = 0.9, seed: int = 42) -> DataFrame:
+    """(key, order, x) with x[t] = rho * x[t-1] + sqrt(1 - rho^2) * e[t], of unit variance, for
+    a stream of ticks; the state is the last x."""
+    scale = float(np.sqrt(1 - rho * rho))
+    ticks = steps.select(key, order, (scale * hashed_normal(key, order, seed=seed)).alias("e"))
+    types = dict(steps.dtypes)
+    shape = f"`{key}` {types[key]}, `{order}` {types[order]}, x double"
+
+    def run(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        x = state.get[0] if state.exists else 0.0
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        out = []
+        for e in rows["e"]:
+            x = rho * x + e
+            out.append(x)
+        state.update((x,))
+        yield rows[[key, order]].assign(x=out)
+
+    return ticks.groupBy(key).applyInPandasWithState(run, shape, "x double", "append", GroupStateTimeout.NoTimeout)
+
+
+def live_load(spark: SparkSession, n_services: int = 100, rows_per_second: int = 100, seed: int = 42) -> DataFrame:
+    """An endless stream (service_id, step, x): one tick per service in turn, each with its AR(1) load."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+    return ar1(ticks.select((F.col("value") % n_services).alias("service_id"), F.expr(f"value div {n_services}").alias("step")), seed=seed)
