@@ -372,3 +372,26 @@ def test_similar_groups_against_brute_force(spark, empty, monkeypatch, large, bl
     assert all(own[i] == own[tight[i]] for i in own)
     assert sum(own[i] != loose[i] for i in own) <= 2
     assert simhash.similar_groups(empty).count() == 0
+
+
+@pytest.mark.parametrize("large, block, part", [(20_000, 1_000, 1_000_000), (3, 2, 300)])
+def test_similar_groups_find_every_link_at_the_limit(spark, monkeypatch, large, block, part):
+    monkeypatch.setattr(simhash, "LARGE", large)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "PART", part, raising=False)
+    r = random.Random(5)
+    make = lambda n: [r.choice(WORDS) for _ in range(n)]
+    pairs = []
+    for k in range(60):  # prefixes of 8 of 9 words share 4 of 5 shingles; and longer texts at 0.8
+        pairs.append((k_ := make(9), k_[:8]))
+        pairs.append((k_ := make(14), k_[:12]))
+        pairs.append((k_ := make(94), k_[:76]))
+    for _ in range(60):  # one word changed in the middle: 5 shingles of each are its own
+        base = make(49)
+        pairs.append((base, [*base[:20], "new", *base[21:]]))
+    pairs += [(k_ := make(9), k_[:7]) for _ in range(20)]  # 3 of 5: below the limit
+    crowd = make(120)
+    texts = [" ".join(t) for p in pairs for t in p] + [" ".join([*crowd[:k], "x", *crowd[k + 1 :]]) for k in range(60)]
+    got = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    want = {i: i - i % 2 for i in range(480)} | {i: i for i in range(480, 520)} | {i: 520 for i in range(520, 580)}
+    assert {x.doc_id: x.component_id for x in got} == want

@@ -210,42 +210,43 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, b
     return fps.join(classes, "fp")
 
 
-WIDE_SHINGLE, WIDE_WORDS, LEAST = 5, 4, 0.8
+WIDE_SHINGLE, BITMAP, LEAST = 5, 4, 0.8
 BLOCK, BLOCK_BYTES = 1_000, 32 << 20
+PART = 1_000_000
+FOUR = ["f0", "f1", "f2", "f3"]
+PREFIX = "token long, node long, size long, place long, f0 long, f1 long, f2 long, f3 long"
 
 
 def shingle_set(raw: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
-    """The distinct shingles' XXH3-128 at two seeds, as rows of four unsigned longs in ascending
-    order of the first; a row for the whole text if it has fewer words, none if it has none."""
+    """The distinct shingles' XXH3-64 in ascending order; that of the whole text if it has fewer
+    words, none if it has none."""
     words = raw.lower().split()
     if not words:
-        return np.zeros((0, WIDE_WORDS), np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
-    cuts = {joined[a:b] for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())}
-    digest = xxhash.xxh3_128_digest
-    h = np.frombuffer(b"".join([digest(c, 1) + digest(c, 2) for c in cuts]), "<u8").reshape(-1, WIDE_WORDS)
-    return h[np.argsort(h[:, 0], kind="stable")]
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())), np.uint64, n))
 
 
-def wide_fingerprint(h: np.ndarray) -> np.ndarray:
-    """A SimHash of 256 bits, as four unsigned longs, over a shingle set."""
-    n = len(h)
-    bytes_ = np.ascontiguousarray(h).view(np.uint8).reshape(n, 32)
-    if n < 64:
-        ones = np.unpackbits(bytes_, axis=1, bitorder="little").sum(axis=0)
-    else:
-        ones = np.concatenate([np.bincount(bytes_[:, k], minlength=256) @ _BIT for k in range(32)])
-    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
+def set_node(h: np.ndarray) -> int:
+    """A shingle set's number, as a signed long."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))
+
 
+def parity_bitmap(h: np.ndarray) -> np.ndarray:
+    """256 bits, as four unsigned longs, each flipped by the shingles of its slot: two sets'
+    bitmaps differ in no more bits than the sets differ in shingles."""
+    odd = np.bincount((h >> np.uint64(17)).astype(np.int64) & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
-def _most_bits(least: float, bits: int, deviations: float) -> int:
-    """Of `bits`, how many may differ: the mean for Jaccard similarity `least` (cosine
-    2J/(1+J) of the sets) and some standard deviations more."""
-    share = np.arccos(2 * least / (1 + least)) / np.pi
-    return int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
+
+def _may_reach(least: float, n1: np.ndarray, n2: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """False only where sets of sizes n1, n2 whose bitmaps differ in `bits` are below Jaccard `least`."""
+    total = n1 + n2
+    return (np.minimum(n1, n2) * (1 + least) >= least * total - 1e-6) & (bits * (1 + least) <= (1 - least) * total + 1e-6)
 
 
 def _dealt_pairs(df: DataFrame, key: str, blocks: str) -> DataFrame:
@@ -257,18 +258,18 @@ def _dealt_pairs(df: DataFrame, key: str, blocks: str) -> DataFrame:
     return out.withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other")).drop("_own", "_other", blocks)
 
 
-def _confirmed(node: np.ndarray, f: np.ndarray, sets: list[np.ndarray], least: float, most: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the pairs with Jaccard `least` or more: pairs of near fingerprints,
-    nearest first, are counted exactly unless a forest already joins them."""
-    size = np.array([len(s) for s in sets])
+def _confirmed(node: np.ndarray, f: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs with Jaccard `least` or more: pairs that sizes and bitmaps
+    allow, nearest first, are counted exactly unless a forest already joins them."""
+    size = np.array([len(s) for s in sets], np.int64)
     n, far = len(node), []
     for lo in range(0, n, 256):
         part = f[lo : lo + 256, None, :] ^ f[None, lo:, :]
         bits = np.bitwise_count(part).sum(axis=2, dtype=np.int16)
-        i, j = np.nonzero(bits <= most)
+        i, j = np.nonzero(_may_reach(least, size[lo : lo + 256, None], size[None, lo:], bits))
         d = bits[i, j]
         i, j = i + lo, j + lo
-        keep = (i < j) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9)
+        keep = i < j
         far.append(np.stack([d[keep], i[keep], j[keep]]).astype(np.int32))
     pairs = np.concatenate(far, axis=1)
     pairs = pairs[:, np.argsort(pairs[0], kind="stable")]
@@ -295,54 +296,133 @@ def _confirmed(node: np.ndarray, f: np.ndarray, sets: list[np.ndarray], least: f
     return a, b
 
 
-def similar_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, component_id for every row: groups of documents that Jaccard similarities of
-    `least` or more, counted on their sets of five-word shingles, link.
+def _grouped(part: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """A row for each number in `part`, with the columns' values of it as bytes."""
+    order = np.argsort(part, kind="stable")
+    own, start = np.unique(part[order], return_index=True)
+    cut = [*start.tolist(), len(part)]
+    cells = [[c[order[a:b]].tobytes() for a, b in zip(cut, cut[1:])] for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), *[pa.array(c, pa.binary()) for c in cells]], names=names)
 
-    Texts of equal shingle sets are one node.  Candidates: each of eight 32-bit words of a
-    node's 256-bit SimHash is replicated to its Hamming anchors (see above); nodes that meet at
-    an anchor are compared on 128 of the other bits, and a forest of the near ones leaves the
-    task.  A pair at the limit differs in 1 or 2 of a word's bits often enough that one of eight
-    meets.  Check: inside each tree's nodes, pairs of near fingerprints are counted exactly.
-    Anchors of over LARGE nodes, and trees of over BLOCK nodes or BLOCK_BYTES of shingles, are
-    cut into blocks of which any two meet in a task, so no task holds a whole group.
 
-    Wordless texts are one node; null doc_ids take their group's smallest doc_id."""
-    large, block = LARGE, BLOCK
-    most = _most_bits(least, 128, 2)
-    confirm = _most_bits(least, 256, 3)
+def _joined(group: pa.Table, column: str) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column(column).to_pylist()), np.int64)
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            node, size, fp = [], [], []
+
+def prefixes(rows: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+    """(token, node, size, place, f0..f3): the shingles of each set that another set has too and
+    that lie among its first size - ceil(least * size) + 1, rarest first (then by hash).
+
+    Sets of Jaccard `least` or more share one of these, as each has ceil(least * size) of its
+    shingles in common with the other and all sets are put in the same order.  Shingles are
+    dealt by hash in parts of about PART, counted there, and those of two sets or more dealt by
+    node; both ways as bytes, a row for a part."""
+    parts = 1 + int(distinct.agg(F.sum("size")).first()[0] or 0) // PART
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 8_000_000):
+            found = {}
             for t in b.column("text").to_pylist():
                 h = shingle_set(t.encode())
-                node.append(xxhash.xxh3_64_intdigest(np.ascontiguousarray(h[:, 0]).tobytes()))
-                size.append(len(h))
-                fp.append(wide_fingerprint(h))
-            f = np.stack(fp).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), *[pa.array(np.ascontiguousarray(f[:, k])) for k in range(WIDE_WORDS)]], names=["doc_id", "node", "size", "f0", "f1", "f2", "f3"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    four = ["f0", "f1", "f2", "f3"]
-    fps = stage(rows.mapInArrow(sketch, "doc_id long, node long, size long, f0 long, f1 long, f2 long, f3 long"), "similar-fps")
-    distinct = stage(fps.groupBy("node", "size", *four).agg(F.min("doc_id").alias("first")), "similar-distinct")
+                found[set_node(h)] = h
+            token = np.concatenate(list(found.values()))
+            node = np.repeat(np.array(list(found), np.int64), [len(h) for h in found.values()])
+            yield _grouped((token % np.uint64(parts)).astype(np.int64), [token.view(np.int64), node], ["part", "token", "node"])
+
+    def count(group: pa.Table) -> pa.Table:
+        token, node = _joined(group, "token"), _joined(group, "node")
+        order = np.lexsort((node, token))
+        token, node = token[order], node[order]
+        once = np.ones(len(token), bool)  # a set that several rows have counts once
+        once[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+        token, node = token[once], node[once]
+        start = np.flatnonzero(np.concatenate([np.ones(min(1, len(token)), bool), token[1:] != token[:-1]]))
+        number = np.diff(np.concatenate([start, [len(token)]]))
+        number = np.repeat(number, number)
+        at = np.flatnonzero(number > 1)
+        return pa.Table.from_batches([_grouped(node[at] % parts, [token[at], node[at], number[at]], ["bucket", "token", "node", "number"])])
+
+    def choose(known: pa.Table, shared: pa.Table) -> pa.Table:
+        token, node, number = (_joined(shared, c) for c in ("token", "node", "number"))
+        order = np.lexsort((token, number, node))
+        token, node = token[order], node[order]
+        ids = known.column("node").to_numpy()
+        rank = np.argsort(ids)
+        at = rank[np.searchsorted(ids, node, sorter=rank)]
+        size = known.column("size").to_numpy()[at]
+        own, start, many = np.unique(node, return_index=True, return_counts=True)
+        # Shingles that no other set has come first.
+        place = size - np.repeat(many, many) + np.arange(len(node)) - np.repeat(start, many)
+        keep = np.flatnonzero(place <= size - np.ceil(least * size - 1e-9))
+        cols = {"token": token[keep], "node": node[keep], "size": size[keep], "place": place[keep]}
+        return pa.table(cols | {f: known.column(f).to_numpy()[at[keep]] for f in FOUR})
+
+    dealt = rows.select("text").mapInArrow(deal, "part long, token binary, node binary")
+    shared = dealt.groupBy("part").applyInArrow(count, "bucket long, token binary, node binary, number binary")
+    known = distinct.select("node", "size", *FOUR).withColumn("bucket", F.pmod("node", F.lit(parts)))
+    return known.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(choose, PREFIX)
+
+
+def similar_rows(rows: DataFrame, least: float = LEAST) -> DataFrame:
+    """row, doc_id, node, top for every row of `rows` (row, doc_id, text; read several times, so
+    rows must keep their numbers): rows of one top are linked by Jaccard similarities of `least`
+    or more, counted on their sets of five-word shingles.
+
+    Texts of equal shingle sets are one node.  Candidates are complete: nodes that share a
+    shingle of both prefixes (see above) and that sizes, places and bitmaps don't rule out by
+    proof; a forest of them leaves the task.  Check: inside each tree's nodes, pairs that sizes
+    and bitmaps allow are counted exactly.  Shingles of over LARGE prefixes, and trees of over
+    BLOCK nodes or BLOCK_BYTES of shingles, are cut into blocks of which any two meet in a task,
+    so no task holds a whole group."""
+    large, block = LARGE, BLOCK
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 5_000):
-                part = batch.slice(lo, 5_000)
-                node = part.column(0).to_numpy()
-                f = [part.column(k + 1).to_numpy().view(np.uint64) for k in range(WIDE_WORDS)]
-                for k in range(WIDE_WORDS):
-                    anchor, at = anchors(f[k])
-                    c1, c2 = f[(k + 1) % WIDE_WORDS], f[(k + 2) % WIDE_WORDS]
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor | (k << 32)), pa.array(node[at]), pa.array(c1[at].view(np.int64)), pa.array(c2[at].view(np.int64))], names=["anchor", "node", "c1", "c2"])
-
-    def near(i: np.ndarray, j: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(c1[i] ^ c1[j]).astype(np.int16) + np.bitwise_count(c2[i] ^ c2[j]) <= most
-
-    def linked(group, node, c1, c2):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            sets_ = [shingle_set(t.encode()) for t in b.column("text").to_pylist()]
+            f = np.stack([parity_bitmap(h) for h in sets_]).view(np.int64)
+            node, size = [set_node(h) for h in sets_], [len(h) for h in sets_]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), *[pa.array(np.ascontiguousarray(f[:, k])) for k in range(BITMAP)]], names=["row", "doc_id", "node", "size", *FOUR])
+
+    fps = stage(rows.select("row", "doc_id", "text").mapInArrow(sketch, "row long, doc_id long, node long, size long, f0 long, f1 long, f2 long, f3 long"), "similar-fps")
+    distinct = stage(fps.groupBy("node", "size", *FOUR).agg(F.min("row").alias("first")), "similar-distinct")
+
+    def near(i: np.ndarray, j: np.ndarray, size: np.ndarray, place: np.ndarray, f: np.ndarray) -> np.ndarray:
+        # At the first shingle that both have, no more than the rest of either can be common.
+        rest = np.minimum(size[i] - place[i], size[j] - place[j])
+        ok = rest * (1 + least) >= least * (size[i] + size[j]) - 1e-6
+        return ok & _may_reach(least, size[i], size[j], np.bitwise_count(f[i] ^ f[j]).sum(axis=-1, dtype=np.int64))
+
+    def crowded(node: np.ndarray, *of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A forest of the links of one large group: some nodes are compared with all others
+        first, and then only nodes that no forest joins yet."""
+        n, a, b = len(node), [], []
+        left = np.ones(n, bool)
+        for _ in range(32):
+            if not left.any():
+                break
+            i = int(np.argmax(left))
+            j = np.flatnonzero(near(np.array([i]), np.arange(n), *of))
+            left[j] = left[i] = False
+            a.append(np.full(len(j), node[i]))
+            b.append(node[j])
+        x, y = _forest(np.concatenate(a), np.concatenate(b))
+        a, b, order = [x], [y], np.argsort(x)
+        at = np.minimum(np.searchsorted(x[order], node), max(0, len(x) - 1))
+        top = np.where(x[order][at] == node, y[order][at], node) if len(x) else node
+        lines = max(1, 500_000 // n)  # pairs compared at once
+        for base in range(0, n, lines):
+            i = np.arange(base, min(base + lines, n))
+            j = np.arange(base, n)
+            if (top[base:] == top[base]).all():
+                break
+            r, c = np.nonzero(top[i][:, None] != top[j][None, :])
+            ok = near(i[r], j[c], *of)
+            x, y = _forest(node[i[r[ok]]], node[j[c[ok]]])
+            a.append(x)
+            b.append(y)
+        return np.concatenate(a), np.concatenate(b)
+
+    def linked(group, node, *of):
         """A spanning forest of the links inside each group of sorted rows."""
         start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         size = np.diff(np.concatenate([start, [len(group)]]))
@@ -350,35 +430,37 @@ def similar_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
         small = np.repeat(size <= SMALL, size)
         for lag in range(1, int(min(SMALL, size.max()))):
             at = np.flatnonzero((group[lag:] == group[:-lag]) & small[lag:])
-            at = at[near(at, at + lag, c1, c2)]
+            at = at[near(at, at + lag, *of)]
             a.append(node[at])
             b.append(node[at + lag])
         for lo, n in zip(start[size > SMALL], size[size > SMALL]):
-            for base in range(lo, lo + n, 256):
-                i = np.arange(base, min(base + 256, lo + n))[:, None]
-                r, c = np.nonzero(near(i, np.arange(base, lo + n)[None, :], c1, c2))
-                x, y = _forest(node[base + r], node[base + c])
-                a.append(x)
-                b.append(y)
+            x, y = crowded(node[lo : lo + n], *[c[lo : lo + n] for c in of])
+            a.append(x)
+            b.append(y)
         return _forest(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)))
 
-    found_names = ["a", "b", "anchor", "c1", "c2"]
+    names = ["token", "node", "size", "place", *FOUR]
+
+    def arrays(group: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+        """token, node, size, place, bitmaps"""
+        token, node, size, place, *f = (group.column(c).to_numpy() for c in names)
+        return [token, node, size, place, np.stack(f, axis=1).view(np.uint64)]
 
     def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int64())] * 3], names=found_names)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int64())] * 7], names=["a", "b", *(c for c in names if c != "node")])
 
     def hot(cols: list[np.ndarray]) -> pa.RecordBatch:
-        anchor, node, c1, c2 = cols
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(node), pa.array(anchor), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64))], names=found_names)
+        token, node, size, place, f = cols
+        f = f.view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (node, node, token, size, place, *(np.ascontiguousarray(f[:, k]) for k in range(BITMAP)))], names=["a", "b", *(c for c in names if c != "node")])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, over = None, None
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(4)]
-            cols[2:] = [x.view(np.uint64) for x in cols[2:]]
+            cols = arrays(batch)
             if held is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
-            if over is not None and len(cols[0]):  # the rest of an anchor already found too large
+            if over is not None and len(cols[0]):  # the rest of a shingle already found too large
                 cut = int(np.searchsorted(cols[0], over, side="right"))
                 if cut:
                     yield hot([x[:cut] for x in cols])
@@ -395,47 +477,57 @@ def similar_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
         if held is not None and len(held[0]):
             yield out(*linked(*held))
 
-    dealt = distinct.select("node", *four).mapInArrow(spread, "anchor long, node long, c1 long, c2 long").repartition("anchor").sortWithinPartitions("anchor", "node")
-    found = stage(dealt.mapInArrow(compare, "a long, b long, anchor long, c1 long, c2 long"), "similar-found")
-    edges = found.where("anchor is null").select("a", "b")
+    dealt = prefixes(rows, distinct, least).repartition("token").sortWithinPartitions("token", "node")
+    found = stage(dealt.mapInArrow(compare, "a long, b long, token long, size long, place long, f0 long, f1 long, f2 long, f3 long"), "similar-found")
+    edges = found.where("token is null").select("a", "b")
 
     def across(group: pa.Table) -> pa.Table:
-        node, c1, c2 = (group.column(c).to_numpy() for c in ("node", "c1", "c2"))
-        a, b = linked(np.zeros(len(node), np.int64), node, c1.view(np.uint64), c2.view(np.uint64))
+        _, node, *of = arrays(group)
+        a, b = linked(np.zeros(len(node), np.int64), node, *of)
         return pa.table({"a": a, "b": b})
 
-    crowd = found.where("anchor is not null").select("anchor", F.col("a").alias("node"), "c1", "c2")
-    crowds = crowd.groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(max(1, large // 2))).alias("blocks"))
-    apart = _dealt_pairs(crowd.join(crowds, "anchor"), "anchor", "blocks")
-    edges = edges.union(apart.groupBy("anchor", "i", "j").applyInArrow(across, "a long, b long"))
+    crowd = found.where("token is not null").drop("b").withColumnRenamed("a", "node")
+    crowds = crowd.groupBy("token").agg(F.ceil(F.count("*") / F.lit(max(1, large // 2))).alias("blocks"))
+    apart = _dealt_pairs(crowd.join(crowds, "token"), "token", "blocks")
+    edges = edges.union(apart.groupBy("token", "i", "j").applyInArrow(across, "a long, b long"))
     trees = components(edges.distinct(), "similar-trees").withColumnRenamed("root", "tree")
     members = stage(distinct.join(trees, "node"), "similar-members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            cells = [np.ascontiguousarray(shingle_set(t.encode())[:, 0]).tobytes() for t in b.column("text").to_pylist()]
-            node = np.array([xxhash.xxh3_64_intdigest(c) for c in cells], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(cells, pa.binary())], names=["node", "cells"])
-
-    # One row of each member node is read again: any row of its smallest doc_id.
-    asked = members.select(F.col("first").alias("doc_id")).distinct()
-    again = rows.alias("r").join(asked.alias("a"), F.col("r.doc_id").eqNullSafe(F.col("a.doc_id")), "left_semi")
-    cells = again.mapInArrow(sets, "node long, cells binary").groupBy("node").agg(F.first("cells").alias("cells"))
+            cells = [shingle_set(t.encode()).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(cells, pa.binary())], names=["first", "cells"])
+
+    # One row of each member node is read again.
+    again = rows.join(members.select(F.col("first").alias("row")), "row", "left_semi").select("row", "text")
+    cells = again.mapInArrow(sets, "first long, cells binary")
     share = members.groupBy("tree").agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("size") * 8 / F.lit(BLOCK_BYTES))).alias("blocks"))
-    jobs = _dealt_pairs(members.select("node", "tree", *four).join(share, "tree"), "tree", "blocks").join(cells, "node")
+    jobs = _dealt_pairs(members.select("node", "first", "tree", *FOUR).join(share, "tree"), "tree", "blocks").join(cells, "first")
 
     def check(group: pa.Table) -> pa.Table:
-        f = np.stack([group.column(c).to_numpy() for c in four], axis=1).view(np.uint64)
+        f = np.stack([group.column(c).to_numpy() for c in FOUR], axis=1).view(np.uint64)
         held = [np.frombuffer(c, np.uint64) for c in group.column("cells").to_pylist()]
-        a, b = _confirmed(group.column("node").to_numpy(), f, held, least, confirm)
+        a, b = _confirmed(group.column("node").to_numpy(), f, held, least)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     links_ = stage(jobs.groupBy("tree", "i", "j").applyInArrow(check, "a long, b long"), "similar-links")
     roots = components(links_.distinct(), "similar").withColumnRenamed("root", "top")
-    roots = stage(distinct.join(roots, "node", "left").select("node", "first", F.coalesce("top", "node").alias("top")), "similar-roots")
-    smallest = roots.groupBy("top").agg(F.min("first").alias("component_id"))
-    classes = stage(roots.join(smallest, "top").select("node", "component_id"), "similar-classes")
-    return fps.join(classes, "node").select("doc_id", "component_id")
+    tops = distinct.select("node").join(roots, "node", "left").select("node", F.coalesce("top", "node").alias("top"))
+    return fps.select("row", "doc_id", "node").join(tops, "node").select("row", "doc_id", "node", "top")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number `row`, staged so that rows keep it."""
+    return stage(docs.withColumn("row", F.monotonically_increasing_id()), "similar-rows")
+
+
+def similar_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, component_id for every row: the groups of similar_rows by smallest doc_id.
+
+    Wordless texts are one node; null doc_ids take their group's smallest doc_id."""
+    found = stage(similar_rows(numbered(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))), least), "similar-classes")
+    smallest = found.groupBy("top").agg(F.min("doc_id").alias("component_id"))
+    return found.join(smallest, "top").select("doc_id", "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
