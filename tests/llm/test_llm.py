@@ -395,3 +395,16 @@ def test_similar_groups_find_every_link_at_the_limit(spark, monkeypatch, large,
     got = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
     want = {i: i - i % 2 for i in range(480)} | {i: i for i in range(480, 520)} | {i: 520 for i in range(520, 580)}
     assert {x.doc_id: x.component_id for x in got} == want
+
+
+def test_toxicity_reads_long_words_whole():
+    r = random.Random(2)
+    base = "".join(r.choice("abcdefghij") for _ in range(400))
+    net = toxicity.Network({b"a": 1}, 1)
+    for n in (3, 63, 64, 65, 66, 67, 126, 127, 400):
+        pieces = toxicity.words_of(f"x {base[:n]} y")[1:-1]
+        assert max(map(len, pieces)) <= 64 and b"".join(p[2 * (k > 0) :] for k, p in enumerate(pieces)) == base[:n].encode()
+        inside = {p[k : k + 3] for p in pieces for k in range(len(p) - 2)}
+        assert {base[k : k + 3].encode() for k in range(n - 2)} <= inside
+    got = toxicity.Scorer(net).logits([base, base[:100] + "vile" + base[104:], base[:390] + "vile" + base[394:], "語" * 90, "語" * 89 + "毒"])
+    assert len(set(got.tolist())) == 5 and toxicity.words_of("a " * 70) == [b"a"] * 70

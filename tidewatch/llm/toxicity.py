@@ -1,6 +1,8 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling.
 
-Inputs are words: each word's vector is its embedding, if it is of the vocabulary (words of
+Inputs are words; one of over 64 bytes (scripts without blanks, joined words) is cut into
+pieces of 64 that overlap by two, words of their own, so that every trigram of a text is in
+some window.  Each word's vector is its embedding, if it is of the vocabulary (words of
 some training texts), plus the mean of embeddings of its hashed character trigrams, so unseen
 spellings still say something.  A window of
 `length` words goes through a forward and a backward GRU; attention pools the states to one
@@ -30,18 +32,22 @@ from pyspark.sql import functions as F
 
 from .common import slices, table, text_or_empty
 
+PIECE = 64
 VOCABULARY, LEAST_DOCS, GRAM_SLOTS, EMBED, HIDDEN, LENGTH = 1 << 13, 3, 1 << 12, 12, 12, 48
 TRAIN_DOCS, STEPS = 2000, 300
 _CLEAN = bytes.maketrans(b".,;:!?\"'()[]{}<>|*_#", b" " * 20)
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(_CLEAN).split()
+    words = (text or "").lower().encode().translate(_CLEAN).split()
+    if words and len(max(words, key=len)) > PIECE:
+        return [w[k : k + PIECE] for w in words for k in range(0, max(1, len(w) - 2), PIECE - 2)]
+    return words
 
 
 def _features(words: list[bytes], vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word numbers, gram slots of all words in a row, number of grams of each word)."""
-    padded = [b"^" + w[:64] + b"$" for w in words]
+    padded = [b"^" + w + b"$" for w in words]
     size = np.fromiter(map(len, padded), np.int64, len(padded))
     raw = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint32)
     mixed = raw[:-2] * np.uint32(0x9E3779B1) + raw[1:-1] * np.uint32(0x85EBCA77) + raw[2:] * np.uint32(0xC2B2AE3D)
