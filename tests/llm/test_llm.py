@@ -408,3 +408,23 @@ def test_toxicity_reads_long_words_whole():
         assert {base[k : k + 3].encode() for k in range(n - 2)} <= inside
     got = toxicity.Scorer(net).logits([base, base[:100] + "vile" + base[104:], base[:390] + "vile" + base[394:], "語" * 90, "語" * 89 + "毒"])
     assert len(set(got.tolist())) == 5 and toxicity.words_of("a " * 70) == [b"a"] * 70
+
+
+def test_licences_inside_lines_and_over_line_breaks(spark):
+    filler = " ".join(f"q{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300))
+    gpl = "This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n"
+    rows = [
+        (1, "Released under the MIT License. See the LICENSE file for more details."),
+        (2, f"{filler} licensed under the Apache License, Version 2.0. {filler}"),
+        (3, gpl + filler),
+        (4, f"{filler}\nReleased under the\r\nMIT License."),
+        (5, f"Licensed under CC BY-NC 4.0.\nand released\nunder the MIT License.\n{filler}"),
+        (6, f"a license of {filler} version {filler}"),
+        (7, "Licensed under CC BY-NC 4.0 now."),
+        (8, "under the License\nReleased under the MIT License.\nunder the MIT"),
+    ]
+    got = {r.doc_id: (r.licence, r.dice, r.licence_lines) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("MIT", 1.0, 0) and got[4][:2] == ("MIT", 1.0) and got[2] == ("Apache-2.0", 1.0, 0)
+    assert got[3][0] == "GPL-3.0-header" and got[3][1] == 1.0  # its second line alone reaches 0.6
+    assert got[5][:2] == ("CC-BY-NC-4.0", 1.0) and got[6] == (None, None, 0)
+    assert got[7] == ("CC-BY-NC-4.0", 1.0, 1) and got[8][:2] == ("MIT", 1.0)

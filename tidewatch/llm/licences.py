@@ -8,11 +8,17 @@ only templates whose size lies within least/(2-least) .. (2-least)/least of the
 compared, and lines that no template's size allows are left out before bigrams are made.  Lines
 without any of the words that every match must have (see telling_words) are left out first.
 
+Notices inside longer lines, wrapped over lines or in texts without line breaks are passages of
+the whole normalised text: windows of a template's number of bigrams that begin with one of its
+bigrams are compared with it in the same way.
+
 The templates are a fixed table in this module: it is broadcast, and doesn't grow with data.
 
 Defined results: null and empty texts have no lines and no match; a line of one word has that
-word as its only gram; repeated lines are counted each; a line's best template is the one of
-the highest coefficient, then of the smallest name; documents without a match appear with
+word as its only gram; repeated lines are counted each, passages are not counted; a line's best template is the one of
+the highest coefficient, then of the smallest name; a
+document's best has the highest coefficient, at equal ones a line goes before a passage, then a
+passage of a larger template before others, then the smallest name; documents without a match appear with
 null licence; repeated rows appear each; an empty table gives no row.
 """
 
@@ -82,16 +88,16 @@ def telling_words(known: dict[str, str], least: float) -> str:
 
 
 def templates(spark: SparkSession, known: dict[str, str]) -> DataFrame:
-    """(licence, t_grams, t_size)"""
+    """(licence, wording, t_grams, t_size)"""
     rows = spark.createDataFrame(sorted(known.items()), "licence string, wording string")
-    return rows.select("licence", bigrams(normalised(F.col("wording"))).alias("t_grams")).withColumn("t_size", F.size("t_grams"))
+    return rows.select("licence", "wording", bigrams(normalised(F.col("wording"))).alias("t_grams")).withColumn("t_size", F.size("t_grams"))
 
 
 def matches(docs: DataFrame, least: float = LEAST, known: dict[str, str] | None = None) -> DataFrame:
     """(row, line_no, licence, dice) for every line and template at `least` or more; docs has
     columns row and text."""
     spark = docs.sparkSession
-    wanted = templates(spark, known or TEMPLATES)
+    wanted = templates(spark, known or TEMPLATES).drop("wording")
     low, high = least / (2 - least), (2 - least) / least
     reach = wanted.agg(F.min("t_size").alias("lo"), F.max("t_size").alias("hi")).first()
     telling = telling_words(known or TEMPLATES, least)
@@ -106,15 +112,39 @@ def matches(docs: DataFrame, least: float = LEAST, known: dict[str, str] | None
     return near.select("row", "line_no", "licence", dice.alias("dice")).where(F.col("dice") >= least)
 
 
+def passages(rows: DataFrame, least: float, known: dict[str, str]) -> DataFrame:
+    """(row, licence, t_size, dice) of the best window of each text and template, at `least` or more."""
+    spark = rows.sparkSession
+    wanted = templates(spark, known).withColumn("t_places", F.greatest(F.size(F.split(normalised(F.col("wording")), " ", -1)) - 1, F.lit(1))).drop("wording")
+    low = least / (2 - least)
+    plain = rows.where("text is not null").select("row", normalised(F.col("text")).alias("plain")).where("plain <> ''")
+    words = plain.select("row", F.split("plain", " ", -1).alias("w"))
+    n = F.size("w")
+    pairs = F.zip_with(F.slice("w", 1, n - 1), F.slice("w", 2, n - 1), lambda a, b: F.concat_ws(" ", a, b))
+    grams = words.select("row", F.when(n == 1, F.col("w")).otherwise(pairs).alias("g")).withColumn("own", F.array_distinct("g"))
+    # Broadcast: the template table is fixed in this module.
+    near = grams.join(F.broadcast(wanted), F.size(F.array_intersect("own", "t_grams")) >= F.col("t_size") * low)
+    # A window that begins elsewhere has no more of the template than the next that begins so.
+    starts = F.filter(F.sequence(F.lit(1), F.size("g")), lambda k: F.array_contains(F.col("t_grams"), F.element_at("g", k)))
+
+    def dice(k: Column) -> Column:
+        window = F.array_distinct(F.slice(F.col("g"), k, F.col("t_places")))
+        return 2.0 * F.size(F.array_intersect(window, F.col("t_grams"))) / (F.size(window) + F.col("t_size"))
+
+    return near.select("row", "licence", "t_size", F.array_max(F.transform(starts, dice)).alias("dice")).where(F.col("dice") >= least)
+
+
 def scan(docs: DataFrame, least: float = LEAST, known: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, licence, dice (of the best line), licence_lines (lines with a match) for every row."""
+    """doc_id, licence, dice (of the best line or passage), licence_lines (lines with a match) for every row."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     # Staged with the texts that may match alone, so that a row keeps its number.
     rows = stage(rows.withColumn("text", F.when(F.col("text").rlike(telling_words(known or TEMPLATES, least)), F.col("text"))), "licence-rows")
-    best = matches(rows, least, known).groupBy("row", "line_no").agg(F.max(F.struct("dice", F.col("licence"))).alias("_"), F.max("dice").alias("dice"), F.collect_list(F.struct("dice", "licence")).alias("all"))
+    best = matches(rows, least, known).groupBy("row", "line_no").agg(F.max("dice").alias("dice"), F.collect_list(F.struct("dice", "licence")).alias("all"))
     # At most one entry a template is collected for a line.
-    best = best.select("row", "dice", F.array_min(F.transform(F.filter("all", lambda x: x["dice"] == F.col("dice")), lambda x: x["licence"])).alias("licence"))
-    found = best.groupBy("row").agg(F.min(F.struct((-F.col("dice")).alias("d"), "licence")).alias("top"), F.count(F.lit(1)).alias("licence_lines"))
+    best = best.select("row", F.lit(0).alias("t_size"), "dice", F.array_min(F.transform(F.filter("all", lambda x: x["dice"] == F.col("dice")), lambda x: x["licence"])).alias("licence"), F.lit(True).alias("line"))
+    more = passages(rows, least, known or TEMPLATES).withColumn("line", F.lit(False))
+    order = F.struct((-F.col("dice")).alias("d"), (~F.col("line")).alias("passage"), (-F.col("t_size")).alias("smaller"), "licence")
+    found = best.unionByName(more).groupBy("row").agg(F.min(order).alias("top"), F.count(F.when(F.col("line"), 1)).alias("licence_lines"))
     out = rows.select("row", "doc_id").join(found, "row", "left")
     return out.select("doc_id", F.col("top.licence").alias("licence"), F.round(-F.col("top.d"), 6).alias("dice"), F.coalesce("licence_lines", F.lit(0)).cast("long").alias("licence_lines"))
 
