@@ -211,7 +211,7 @@ def topk_scores(spark, sf_dir):
 
 
 def labelled_series(spark, sf_dir):
-    return generator.series(spark, 5, 500)
+    return generator.series(spark)
 
 
 def service_registry(spark, sf_dir):
@@ -249,7 +249,8 @@ def gateway_scores(spark, sf_dir):
 
 def granger_pairs(spark, sf_dir):
     hours = _events(spark, sf_dir).groupBy("service_id", F.expr(f"timestamp_ms div {6 * HOUR}").alias("slot")).agg(F.avg("cpu_percent").alias("cpu"))
-    pairs = spark.createDataFrame([("view", "click"), ("click", "signup"), ("signup", "purchase"), ("view", "error")], "src string, dst string")
+    services = hours.select("service_id").distinct()
+    pairs = services.withColumnRenamed("service_id", "src").crossJoin(services.withColumnRenamed("service_id", "dst")).where("src <> dst")
     return granger.tests(hours, pairs, "service_id", "slot", "cpu").withColumns({"f_stat": F.round("f_stat", 4), "p_value": F.round("p_value", 4)})
 
 
