@@ -155,3 +155,13 @@ def test_granger_pairs_and_series_are_whole(spark, data):
     got = {(r.src, r.dst) for r in catalog.granger_pairs(spark, f"{data}/sf0.01").collect()}
     assert sorted(got) == sorted((a, b) for a in kinds for b in kinds if a != b)
     assert catalog.labelled_series(spark, data).count() == 10 * 2000
+
+
+def test_threshold_covers_all_training_windows(spark):
+    r = np.random.default_rng(4)
+    raw = r.standard_normal((400, 4)) * 3 + 50
+    raw[200:260] += 40
+    rows = spark.createDataFrame([("a", k, *map(float, x)) for k, x in enumerate(raw)], "service_id string, step long, " + ", ".join(f"{m} double" for m in ae.METRICS))
+    fitted = ae.fit(ae.Linear(2), rows, None, "service_id", "step", most=20)
+    errors = fitted.errors(np.stack([raw[k : k + 60] for k in range(340)]))
+    assert fitted.mean_error == pytest.approx(errors.mean()) and fitted.threshold == pytest.approx(errors.mean() + 3 * errors.std())
