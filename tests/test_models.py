@@ -150,11 +150,10 @@ def test_model_queries_give_rows(spark, data, name):
     assert catalog.QUERIES[name](spark, f"{data}/sf0.001").count() > 0
 
 
-def test_granger_pairs_and_series_are_whole(spark, data):
+def test_granger_pairs_are_all_tested(spark, data):
     kinds = {r.event_type for r in spark.read.parquet(f"{data}/sf0.01/events.parquet").select("event_type").distinct().collect()}
     got = {(r.src, r.dst) for r in catalog.granger_pairs(spark, f"{data}/sf0.01").collect()}
     assert sorted(got) == sorted((a, b) for a in kinds for b in kinds if a != b)
-    assert catalog.labelled_series(spark, data).count() == 10 * 2000
 
 
 def test_threshold_covers_all_training_windows(spark):
