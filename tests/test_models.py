@@ -164,3 +164,16 @@ def test_threshold_covers_all_training_windows(spark):
     fitted = ae.fit(ae.Linear(2), rows, None, "service_id", "step", most=20)
     errors = fitted.errors(np.stack([raw[k : k + 60] for k in range(340)]))
     assert fitted.mean_error == pytest.approx(errors.mean()) and fitted.threshold == pytest.approx(errors.mean() + 3 * errors.std())
+
+
+def test_autoencoder_query_trains_with_the_operators_parameters(spark, data, monkeypatch):
+    asked = {}
+
+    def fit(*given, **how):
+        asked.update(how)
+        raise InterruptedError
+
+    monkeypatch.setattr(ae, "fit", fit)
+    with pytest.raises(InterruptedError):
+        catalog.autoencoder_windows(spark, f"{data}/sf0.001")
+    assert asked == {}

@@ -235,7 +235,7 @@ def iforest_scores(spark, sf_dir):
 def autoencoder_windows(spark, sf_dir):
     rows = sequence.chronological_split(_events(spark, sf_dir), "service_id", "arrival_seq")
     train, val = rows.where("part = 'train'"), rows.where("part = 'val'")
-    fitted = autoencoders.fit(autoencoders.Transformer(), train, val, "service_id", "arrival_seq", most=512, epochs=3)
+    fitted = autoencoders.fit(autoencoders.Transformer(), train, val, "service_id", "arrival_seq")
     return gateway.score(rows, gateway.Gateway(fitted, None), "service_id", "arrival_seq").where("model_used <> 'NONE'").select("service_id", "arrival_seq", F.round("reconstruction_error", 4).alias("reconstruction_error"), "is_anomaly")
 
 
