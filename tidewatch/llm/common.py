@@ -112,5 +112,22 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         labels = new.select("node", "root")
 
 
+def named(col: str) -> Column:
+    """A column by its name alone, whatever characters that has."""
+    return F.col("`" + col.replace("`", "``") + "`")
+
+
+def guarded(docs: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all columns but `own` under names _c0, _c1, ... that clash with none of an
+    operator's, and the names to give back: {_c0: name, ...}."""
+    names = {f"_c{i}": c for i, c in enumerate(c for c in docs.columns if c not in own)}
+    return docs.select(*[named(c) for c in docs.columns if c in own], *[named(c).alias(k) for k, c in names.items()]), names
+
+
+def restored(rows: DataFrame, names: dict[str, str], columns: list[str]) -> DataFrame:
+    """rows of a guarded table under their own names again, as `columns`."""
+    return rows.withColumnsRenamed(names).select(*[named(c) for c in columns])
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

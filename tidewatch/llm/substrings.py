@@ -2,12 +2,15 @@
 
 A window is `window` consecutive words of a document.  Every window has a phrase: the
 `phrase` consecutive words with the least hash in it, so equal windows have equal phrases.
-Phrases are recurring if different texts have them.  Documents with recurring phrases are
-dealt out by their text's digest; each task compiles Aho-Corasick automata over the word
-codes of the recurring phrases of its documents (a shard for each slice of some MB), streams
-the documents through them, and so finds every occurrence.  Only windows around occurrences
-are hashed in full (95 bits) and matched between documents; a window whose words also start
-in a document with a smaller doc_id is removed.
+Phrases are confirmed by their words: one recurs if different texts have just these words.
+The words of recurring phrases go to the documents that may hold them; documents are streamed
+in slices, and each slice has an Aho-Corasick automaton over word numbers, compiled from the
+recurring phrases of all its documents: a shard of the corpus-wide set.  (A phrase that no
+document of a slice has can't occur there, so it is the same as to stream every document
+through every phrase, without work that grows with documents times phrases.)  The automaton
+alone says where phrases occur; a window is a candidate if its own phrase is one of these
+occurrences.  Candidates are hashed (95 bits) and matched between documents; one whose words
+also start in a document with a smaller doc_id is removed.
 
 Exact copies are settled by digest first: all words of a later copy are removed if it has a
 window at all, and it takes no part in the matching.
@@ -15,7 +18,8 @@ window at all, and it takes no part in the matching.
 Defined results: null text has no words; texts shorter than a window lose nothing; equal
 texts in rows of equal doc_id are one document; a null doc_id is neither smaller nor larger
 than any other; repeated rows appear each; an empty table gives no row; other columns are
-kept by `deduplicated`.
+kept by `deduplicated` whatever their names, but those named as a column that it adds, which
+are replaced.
 """
 
 from __future__ import annotations
@@ -30,9 +34,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stage, table, text_or_empty
+from .common import guarded, slices, stage, table, text_or_empty
 
 WINDOW, PHRASE = 50, 10
+SLICE = 500_000
+_KEPT_POWERS = 1 << 17
 _U = np.uint64
 _TABLES = np.random.default_rng(2024).integers(0, 1 << 64, size=(2, 256), dtype=np.uint64)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -43,10 +49,11 @@ def _powers(base: int, n: int, inverse: bool) -> np.ndarray:
     """base**i, or its inverse, for i < n, modulo 2**64."""
     got = _POWERS.get((base, inverse))
     if got is None or len(got) < n:
-        factor = pow(base, -1, 1 << 64) if inverse else base
-        got = np.full(max(n, 1 << 16), factor, _U)
+        got = np.full(max(n, _KEPT_POWERS), pow(base, -1, 1 << 64) if inverse else base, _U)
         got[0] = 1
-        _POWERS[base, inverse] = got = np.multiply.accumulate(got)
+        got = np.multiply.accumulate(got)
+        if n <= _KEPT_POWERS:  # those of longer texts are not kept
+            _POWERS[base, inverse] = got
     return got[:n]
 
 
@@ -93,52 +100,72 @@ def _grams(h: np.ndarray, size: int, base: int) -> np.ndarray:
     return _runs(h, at, at + size, base)
 
 
+def _chosen(g: np.ndarray, width: int) -> np.ndarray:
+    """Places of the values that are the least of some run of `width` values, one for each value."""
+    low = _least(g, width)
+    # A value is some run's least if it is the largest of the least values of the runs it is in.
+    wide = np.concatenate([np.zeros(width - 1, _U), low, np.zeros(width - 1, _U)])
+    at = np.flatnonzero(~_least(~wide, width) == g)
+    return at[np.unique(g[at], return_index=True)[1]]
+
+
 def phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(phrase, digest): the phrases of all windows of every text, once for each text."""
+    """(phrase, digest, words): the phrases of all windows of every text, by hash and words,
+    once for each text of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            words = Words([t.encode() for t in b.column("text").to_pylist()])
-            h = words.hashes(0)
-            keys, of = [], []
-            for i, (lo, hi) in enumerate(zip(words.bounds[:-1], words.bounds[1:])):
-                if hi - lo >= window:
-                    found = np.unique(_least(_grams(h[lo:hi], phrase, _BASES[0]), window - phrase + 1))
-                    keys.append(found)
-                    of.append(np.full(len(found), i))
+        for b in slices(batches, "text", SLICE):
+            texts = [t.encode() for t in b.column("text").to_pylist()]
+            words = Words(texts)
+            h, met = words.hashes(0), set()
+            keys, of, named = [], [], []
+            for i, (lo, hi, digest) in enumerate(zip(words.bounds[:-1], words.bounds[1:], b.column("digest").to_pylist())):
+                if hi - lo >= window and digest not in met:
+                    met.add(digest)
+                    g = _grams(h[lo:hi], phrase, _BASES[0])
+                    at = _chosen(g, window - phrase + 1)
+                    split = texts[i].split()
+                    keys.append(g[at])
+                    of.append(np.full(len(at), i))
+                    named += [b" ".join(split[p : p + phrase]) for p in at.tolist()]
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column("digest").take(pa.array(np.concatenate(of)))], names=["phrase", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column("digest").take(pa.array(np.concatenate(of))), pa.array(named, pa.binary())], names=["phrase", "digest", "words"])
+
+    return docs.select("digest", "text").mapInArrow(run, "phrase long, digest binary, words binary")
+
+
+class Shard:
+    """An automaton over word numbers that finds phrases (words joined by a blank)."""
+
+    def __init__(self, wanted: set[bytes]):
+        self.number: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for p in wanted:
+            self.automaton.add_word(tuple([self.number.setdefault(w, len(self.number) + 1) for w in p.split(b" ")]), 1)
+        self.automaton.make_automaton()
 
-    return docs.select("digest", "text").mapInArrow(run, "phrase long, digest binary")
+    def ends(self, words: list[bytes]) -> np.ndarray:
+        """Places of the last words of all phrases that occur in a row of words."""
+        if not len(self.automaton):
+            return np.zeros(0, np.int64)
+        get = self.number.get
+        return np.fromiter((end for end, _ in self.automaton.iter(tuple([get(w, 0) for w in words]))), np.int64)
 
 
-def _located(texts: list[bytes], wanted: list[np.ndarray], window: int, phrase: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text, starts and two hashes of its windows around occurrences of wanted
-    phrases.  One automaton over word codes holds the phrases of the whole slice."""
+def _located(texts: list[bytes], shard: Shard, window: int, phrase: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text, starts and two hashes of the windows whose own phrase the shard finds."""
     words = Words(texts)
     h, h2 = words.hashes(0), words.hashes(1)
-    codes = (h >> _U(32)).astype(np.uint32)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    grams = []
-    for (lo, hi), want in zip(zip(words.bounds[:-1], words.bounds[1:]), wanted):
-        g = _grams(h[lo:hi], phrase, _BASES[0]) if hi - lo >= window else np.zeros(0, _U)
-        grams.append(g)
-        for p in np.flatnonzero(np.isin(g, want)).tolist():
-            automaton.add_word(tuple(codes[lo + p : lo + p + phrase].tolist()), 1)
-    automaton.make_automaton()
     out, none = [], np.zeros(0, np.int64)
-    for (lo, hi), g, want in zip(zip(words.bounds[:-1], words.bounds[1:]), grams, wanted):
-        if hi - lo < window or not len(automaton):
-            out.append((none, none, none))
+    for text, lo, hi in zip(texts, words.bounds[:-1], words.bounds[1:]):
+        ends = shard.ends(text.split()) if hi - lo >= window else none
+        if not len(ends):
+            out.append((none, none, none.astype(np.int64)))
             continue
-        last = np.fromiter((end for end, _ in automaton.iter(tuple(codes[lo:hi].tolist()))), np.int64)
-        # A window holds the occurrence that begins at p if it starts at p - (window - phrase) .. p.
-        step = np.zeros(hi - lo + 1, np.int64)
-        np.add.at(step, np.maximum(last - window + 1, 0), 1)
-        np.add.at(step, last - phrase + 2, -1)
-        near = np.cumsum(step)[: hi - lo - window + 1] > 0
-        # Of those, only windows whose own phrase recurs can be equal to another text's.
-        at = np.flatnonzero(near & np.isin(_least(g, window - phrase + 1), want))
+        g = _grams(h[lo:hi], phrase, _BASES[0])
+        found = np.full(len(g), ~_U(0))
+        found[ends - phrase + 1] = g[ends - phrase + 1]
+        at = np.flatnonzero(_least(found, window - phrase + 1) == _least(g, window - phrase + 1))
         w1 = _runs(h[lo:hi], at, at + window, _BASES[1])
         w2 = _runs(h2[lo:hi], at, at + window, _BASES[0]) >> _U(33)
         out.append((at, w1.view(np.int64), w2.astype(np.int64)))
@@ -146,12 +173,12 @@ def _located(texts: list[bytes], wanted: list[np.ndarray], window: int, phrase:
 
 
 def candidate_windows(held: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(doc_id, digest, at, w1, w2) for documents with text and recurring phrases."""
+    """(doc_id, digest, at, w1, w2) for documents with text and words of recurring phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 1_000_000):
-            wanted = [np.array(x, np.int64).view(_U) for x in b.column("phrases").to_pylist()]
-            found = _located([t.encode() for t in b.column("text").to_pylist()], wanted, window, phrase)
+        for b in slices(batches, "text", SLICE):
+            shard = Shard(set().union(*b.column("phrases").to_pylist()))
+            found = _located([t.encode() for t in b.column("text").to_pylist()], shard, window, phrase)
             of = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
             at, w1, w2 = (np.concatenate([x[k] for x in found]) for k in range(3))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(of), b.column("digest").take(of), pa.array(at.astype(np.int32)), pa.array(w1), pa.array(w2.astype(np.int32))], names=["doc_id", "digest", "at", "w1", "w2"])
@@ -187,19 +214,21 @@ def _cut(text: str, starts: list[int] | None, window: int) -> tuple[int, int, st
 def deduplicated(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with `texts`, the kept text and all other
     columns of docs.  Without, texts are shuffled once, and those with a window to judge again."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "digest", "phrases", "first", "n_words", "n_removed", "kept_sha256")] if texts else []
-    base = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *others)
+    docs, names = guarded(docs, ("doc_id", "text"))
+    others = list(names) if texts else []
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *others)
     base = base.withColumn("digest", F.unhex(F.md5("text")))
     first = base.groupBy("digest").agg(F.min("doc_id").alias("first"))
 
     sketch = stage(phrases(base, window, phrase), "passages-sketch")
-    recurring = stage(sketch.groupBy("phrase").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("phrase"), "passages-recurring")
-    wanted = sketch.distinct().join(recurring, "phrase").groupBy("digest").agg(F.collect_list("phrase").alias("phrases"))
+    recurring = sketch.groupBy("phrase", "words").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi")
+    recurring = stage(recurring.select("phrase", "words"), "passages-recurring")
+    wanted = sketch.select("phrase", "digest").distinct().join(recurring, "phrase").groupBy("digest").agg(F.collect_list("words").alias("phrases"))
     facts = stage(first.join(wanted, "digest", "left"), "passages-facts")
 
     # A later copy carries no phrases on; whether it loses its words depends on its length alone.
     later = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
-    held = base.join(facts, "digest").withColumns({"later": later, "phrases": F.when(~later, F.col("phrases"))}).drop("first")
+    held = base.join(facts, "digest").withColumns({"later": later, "phrases": F.when(F.col("doc_id") == F.col("first"), F.col("phrases"))}).drop("first")
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     extra = "".join(f", `{c}` {kinds[c]}" for c in others)
@@ -208,7 +237,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, te
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Settles what has no window to judge; passes the rest on with its text."""
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             n, gone, digest, kept, todo = [], [], [], [], []
             for text, copy, open_ in zip(b.column("text").to_pylist(), b.column("later").to_pylist(), b.column("phrases").is_valid().to_pylist()):
                 todo.append(open_)
@@ -227,21 +256,25 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, te
             text = pc.if_else(open_, b.column("text"), nothing)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string()) if texts else nothing, *[b.column(c) for c in others], b.column("digest"), text, b.column("phrases")], names=[*carry, "digest", "text", "phrases"])
 
-    settled = stage(held.select("doc_id", "digest", "text", "later", "phrases", *others).mapInArrow(settle, f"{own}, digest binary, text string, phrases array<long>"), "passages-held")
+    settled = stage(held.select("doc_id", "digest", "text", "later", "phrases", *others).mapInArrow(settle, f"{own}, digest binary, text string, phrases array<binary>"), "passages-held")
     open_ = settled.where("phrases is not null")
-    windows = candidate_windows(open_, window, phrase)
+    windows = stage(candidate_windows(open_, window, phrase), "passages-windows")
     repeated = stage(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "passages-repeated")
-    spans = windows.join(repeated, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id", "digest").agg(F.collect_list("at").alias("starts"))
+    spans = windows.join(repeated, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id", "digest").agg(F.collect_set("at").alias("starts"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             done = [_cut(t, s, window) for t, s in zip(b.column("text").to_pylist(), b.column("starts").to_pylist())]
             n, gone, digest, kept = zip(*done)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest), pa.array(kept if texts else [None] * len(n), pa.string()), *[b.column(c) for c in others]], names=carry)
 
     judged = open_.select("doc_id", "digest", "text", *others).join(spans, ["doc_id", "digest"], "left").select("text", "starts", "doc_id", *others).mapInArrow(remove, own)
     out = settled.where("phrases is null").select(*carry).unionByName(judged)
-    return out.withColumnRenamed("kept", "text") if texts else out.drop("kept")
+    if not texts:
+        return out.drop("kept")
+    added = ["n_words", "n_removed", "kept_sha256"]
+    back = [F.col(k).alias(c) for k, c in names.items() if c not in added]
+    return out.select("doc_id", *added, F.col("kept").alias("text"), *back)
 
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
