@@ -1,25 +1,30 @@
 """Mixing sources to target weights.
 
-The words of every source form one stream (documents in doc_id order), cut into blocks of
-one fixed length for the source.  A mixture is a number of slots: each output shard draws
-its slots' sources multinomially from what the sources still have to give, so a source's
-slots over all shards add up to its target exactly.  Slot q of a source takes the block
-that a pseudorandom permutation of the source's block indices (one for each epoch) gives
-for q, and slots are joined with blocks by that index.
+The words of every source form one stream (documents in doc_id order), packed into blocks of
+`block` words; only a source's last block may be short.  A mixture is a number of slots, each
+of which takes one block of one source: a source's slots are as many as its target's words
+fill, and its last slot takes the words that are left, so a source gives the whole part of its
+target exactly.  Output shards get multinomial counts of each source's slots.  Slot q of a
+source takes the block that a pseudorandom permutation of the source's full blocks (one for
+each epoch, the short block last) gives for q, and slots are joined with blocks by that index.
 
 Defined results: null text has size 0; a null source is a source of its own, ordered last
 and shown as null; documents of size 0 are never taken; repeated rows are mixed each, and
-appear each; an empty table gives no row; other columns are kept where documents are
-returned.  Reruns give the same mixture: order is by source, doc_id and a hash of the text.
+appear each; an empty table gives no row; other columns, whatever their names, are kept where
+documents are returned (`resampled`).  Reruns give the same mixture: order is by source,
+doc_id and a hash of the text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import running_offsets, stage, table
+from .common import guarded, named, running_offsets, stage, table
 
 CYCLE = (5.0, 2.0, 1.0)
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -32,40 +37,45 @@ def word_count(col: str = "text") -> Column:
 
 
 def source_targets(sizes: DataFrame, cycle: tuple[float, ...] = CYCLE, total: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(source_key, source_size, weight, target) from (source_key, source_size).
+    """(source_no, source_key, source_size, weight, target) from (source_key, source_size).
 
     Sources in order of source_key weigh `cycle`, repeating.  Targets share `total` times all
     words by weight, at most `most` times a source's words; what is above goes to the others
-    by weight until none is above: min(most * size, level * weight) for one level.  One row a
-    source throughout."""
-    place = F.row_number().over(Window.partitionBy().orderBy("source_key")) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (place % len(cycle) + 1).cast("int"))
-    rows = sizes.withColumn("weight", weight).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-    filling = Window.partitionBy().orderBy(F.col("cap") / F.col("weight"), "source_key")
-    ahead, rest = filling.rowsBetween(Window.unboundedPreceding, -1), filling.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    rows = rows.withColumn("level", (F.lit(float(total)) * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(ahead), F.lit(0.0))) / F.sum("weight").over(rest))
-    # The first source in this order that is not above its cap has the level; later ones only less.
-    rows = rows.withColumn("level", F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(every))
-    target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight")))
-    return rows.select("source_key", "source_size", "weight", target.cast("double").alias("target"))
-
-
-def _draw(quota: np.ndarray, shards: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """(shard, place of the source, first slot, slots): multinomial draws for each shard from
-    the sources' remaining slots, held to what remains; the last shard takes the rest."""
-    rng = np.random.default_rng(seed)
-    left, given, out = quota.copy(), np.zeros_like(quota), []
-    for shard in range(shards):
-        want = -(-int(left.sum()) // (shards - shard))
-        take = np.zeros_like(left)
-        while want > take.sum():
-            open_ = left - take
-            take += np.minimum(rng.multinomial(want - take.sum(), open_ / open_.sum()), open_)
-        for i in np.flatnonzero(take):
-            out.append((shard, int(i), int(given[i]), int(take[i])))
-        left, given = left - take, given + take
-    return out
+    by weight until none is above: min(most * size, level * weight) for one level.  The level
+    rises in rounds of one sum over the sources each, so any number of sources is distributed."""
+    placed = running_offsets(sizes.withColumn("one", F.lit(1)), ["source_key"], "one", label="mix-places").withColumnRenamed("before", "source_no")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (F.col("source_no") % len(cycle) + 1).cast("int"))
+    rows = stage(placed.drop("one").withColumn("weight", weight).withColumn("cap", F.lit(float(most)) * F.col("source_size")), "mix-weights")
+    level, held = 0.0, -1
+    while True:
+        over = F.col("cap") < F.lit(level) * F.col("weight")
+        at = rows.agg(F.sum("source_size").alias("words"), F.count_if(over).alias("over"), F.sum(F.when(over, F.col("cap"))).alias("caps"), F.sum(F.when(~over, F.col("weight"))).alias("weights")).first()
+        if at["over"] == held or not at["weights"]:
+            break
+        held, level = at["over"], (float(total) * at["words"] - (at["caps"] or 0.0)) / at["weights"]
+    return rows.withColumn("target", F.least("cap", F.lit(level) * F.col("weight"))).drop("cap")
+
+
+def dealt_slots(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(shard, source_no, first, n): each source's `quota` slots, dealt to shards by a multinomial
+    draw of its own; those of a shard follow one another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for no, quota in zip(b.column("source_no").to_pylist(), b.column("quota").to_pylist()):
+                rng = np.random.default_rng([seed, no])
+                if quota < shards:
+                    shard, n = np.unique(rng.integers(shards, size=quota), return_counts=True)
+                else:
+                    n = rng.multinomial(quota, np.full(shards, 1 / shards))
+                    shard = np.flatnonzero(n)
+                    n = n[shard]
+                first = np.cumsum(n) - n
+                for lo in range(0, len(n), 10_000):
+                    part = slice(lo, lo + 10_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[part].astype(np.int64)), pa.array(np.full(len(n[part]), no, np.int64)), pa.array(first[part].astype(np.int64)), pa.array(n[part].astype(np.int64))], names=["shard", "source_no", "first", "n"])
+
+    return quotas.select("source_no", "quota").where("quota > 0").mapInArrow(run, "shard long, source_no long, first long, n long")
 
 
 def _mixed(x: Column, k: int, *salts: Column) -> Column:
@@ -92,58 +102,54 @@ def permuted(df: DataFrame, q: Column, n: Column, salts: list[Column], out: str)
     return df.withColumn(out, F.when(F.col("_x2") < n, F.col("_x2")).otherwise(walked)).drop("_root", "_x0", "_x1", "_x2")
 
 
-def mixture(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, total: float = 1.5, most: float = 2.0, block: int = 128, fewest: int = 64, shard_slots: int = 1 << 16, seed: int = 11) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, pieces, slots), staged.
+def mixture(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, total: float = 1.5, most: float = 2.0, block: int = 128, shard_slots: int = 1 << 16, seed: int = 11) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, pieces, slots), staged in part.
 
-    documents: row, doc_id, source, size, source_size, target, and all other columns of docs.
-    pieces: row, source_no, block_no, start, words - a document's words start .. start+words
-    lie in that block.  slots: shard, source_no, slot, block_no - what the mixture takes.
-    A source's blocks have `block` words, fewer where it would have under `fewest` blocks.
+    documents: row, doc_id, source, size, tie (the text's hash), source_no, source_size, target.
+    pieces: row, source_no, block_no, start, words, at - a document's words start ..
+    start+words are the words from `at` on of that block.  slots: shard, source_no, slot,
+    block_no, words - what the mixture takes: the whole block (null) or its first `words`.
     """
-    spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1"))
-    base = docs.withColumns({"size": word_count(), "source_key": key, "row": F.monotonically_increasing_id(), "text_hash": F.xxhash64("text")})
-    base = stage(base.select("row", "doc_id", "source", "source_key", "size", "text_hash"), "mix-docs")
+    base = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", key.alias("source_key"), word_count().alias("size"), F.xxhash64("text").alias("tie"))
+    base = stage(base, "mix-docs")
     sizes = base.groupBy("source_key").agg(F.sum("size").cast("long").alias("source_size"))
-    blocks = F.greatest(F.ceil(F.col("source_size") / block), F.least(F.col("source_size"), F.lit(fewest))).cast("long")
-    targets = source_targets(sizes, cycle, total, most).withColumn("blocks", blocks)
-    average = F.when(F.col("blocks") > 0, F.col("source_size") / F.col("blocks"))
-    quota = F.coalesce(F.least(F.round(F.col("target") / average), F.floor(F.lit(float(most)) * F.col("blocks"))), F.lit(0))
-    place = F.row_number().over(Window.partitionBy().orderBy("source_key")) - 1
-    targets = stage(targets.withColumns({"quota": quota.cast("long"), "source_no": place.cast("int")}), "mix-targets")
-
-    # One row for each source comes to the driver, no document.
-    plan = targets.select("source_no", "quota").orderBy("source_no").collect()
-    quotas = np.array([r.quota for r in plan], np.int64)
-    shards = int(min(4096, max(1, -(-quotas.sum() // shard_slots)))) if len(quotas) and quotas.sum() else 0
-    drawn = _draw(quotas, shards, seed)
-    runs = spark.createDataFrame(drawn, "shard int, source_no int, first long, n long")
-    runs = runs.repartition(max(1, min(len(drawn) // 4, spark.sparkContext.defaultParallelism * 4)), "shard", "source_no")
+    targets = source_targets(sizes, cycle, total, most)
+    # A round of all blocks is an epoch; after the whole ones, `rest` words of one more are taken.
+    size, per = F.greatest("source_size", F.lit(1).cast("long")), F.lit(block).cast("long")
+    targets = targets.withColumns({"full": F.expr(f"source_size div {block}"), "blocks": F.greatest(F.ceil(F.col("source_size") / per), F.lit(1)).cast("long"), "wanted": F.floor("target").cast("long")})
+    targets = targets.withColumns({"epochs": F.floor(F.col("wanted") / size).cast("long"), "rest": F.col("wanted") % size})
+    targets = targets.withColumn("more", F.least(F.ceil(F.col("rest") / per).cast("long"), F.col("full") + 1))
+    targets = targets.withColumns({"quota": F.col("epochs") * F.col("blocks") + F.col("more"), "last": F.when(F.col("rest") > 0, F.col("rest") - (F.col("more") - 1) * per)})
+    targets = stage(targets, "mix-targets")
+
+    slots_ = targets.agg(F.sum("quota")).first()[0] or 0
+    runs = dealt_slots(targets, max(1, -(-int(slots_) // shard_slots)), seed)
     chunk = 1 << 14
-    runs = runs.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk).cast("long"))))
+    runs = runs.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {chunk}")))).repartition("shard", "source_no", "c")
     lo = F.col("first") + F.col("c") * chunk
     runs = runs.select("shard", "source_no", F.explode(F.sequence(lo, F.least(lo + chunk, F.col("first") + F.col("n")) - 1)).alias("slot"))
-    runs = runs.join(targets.select("source_no", "blocks"), "source_no")
-    epoch = F.floor(F.col("slot") / F.col("blocks")).cast("long")
-    slots = permuted(runs, F.col("slot") % F.col("blocks"), F.col("blocks"), [F.col("source_no"), epoch, F.lit(seed)], "block_no").drop("blocks")
-
-    known = base.join(targets.select("source_key", "source_no", "source_size", "target", "blocks"), "source_key")
-    narrow = known.select("row", "doc_id", "source_no", "size", "text_hash", "source_size", "blocks").where("size > 0")
-    at = running_offsets(narrow, ["doc_id", "text_hash", "row"], "size", group="source_no", label="mix-order")
-    # Block j of a source holds the words from floor(j * size / blocks) on: lengths differ by one word at most.
-    edge = lambda j: F.floor((j * F.col("source_size")) / F.col("blocks")).cast("long")
-    of = lambda w: F.floor(((w + 1) * F.col("blocks") - 1) / F.col("source_size")).cast("long")
-    at = at.withColumn("block_no", F.explode(F.sequence(of(F.col("before")), of(F.col("before") + F.col("size") - 1))))
-    begin = F.greatest("before", edge(F.col("block_no")))
-    end = F.least(F.col("before") + F.col("size"), edge(F.col("block_no") + 1))
-    pieces = at.select("row", "source_no", "block_no", (begin - F.col("before")).alias("start"), (end - begin).alias("words")).where("words > 0")
-    return known.withColumnRenamed("text_hash", "tie").drop("source_key", "blocks"), pieces, slots
+    runs = runs.join(targets.select("source_no", "blocks", "full", "quota", "last"), "source_no")
+    epoch = F.expr("slot div blocks")
+    runs = runs.withColumn("k", F.col("slot") % F.col("blocks"))
+    runs = permuted(runs, F.least(F.col("k"), F.greatest(F.col("full") - 1, F.lit(0))), F.greatest(F.col("full"), F.lit(1)), [F.col("source_no"), epoch, F.lit(seed)], "place")
+    slots = runs.select("shard", "source_no", "slot", F.when(F.col("k") < F.col("full"), F.col("place")).otherwise(F.col("full")).alias("block_no"), F.when(F.col("slot") == F.col("quota") - 1, F.col("last")).alias("words"))
+
+    known = base.join(targets.select("source_key", "source_no", "source_size", "target"), "source_key").drop("source_key")
+    narrow = known.select("row", "doc_id", "source_no", "size", "tie").where("size > 0")
+    at = running_offsets(narrow, ["doc_id", "tie", "row"], "size", group="source_no", label="mix-order")
+    at = at.withColumn("block_no", F.explode(F.sequence(F.expr(f"before div {block}"), F.expr(f"(before + size - 1) div {block}"))))
+    begin = F.greatest("before", F.col("block_no") * per)
+    end = F.least(F.col("before") + F.col("size"), (F.col("block_no") + 1) * per)
+    pieces = at.select("row", "source_no", "block_no", (begin - F.col("before")).alias("start"), (end - begin).alias("words"), (begin - F.col("block_no") * per).alias("at"))
+    return known, pieces, slots
 
 
 def taken_words(documents: DataFrame, pieces: DataFrame, slots: DataFrame) -> DataFrame:
     """documents with `taken`: the words of it that the slots take, repeats counted."""
-    uses = slots.groupBy("source_no", "block_no").agg(F.count(F.lit(1)).alias("uses"))
-    taken = pieces.join(uses, ["source_no", "block_no"]).groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).cast("long").alias("taken"))
+    uses = slots.groupBy("source_no", "block_no").agg(F.count_if(F.col("words").isNull()).alias("uses"), F.max("words").alias("first_words"))  # one slot of a source at most is short
+    some = F.greatest(F.lit(0), F.least("words", F.coalesce("first_words", F.lit(0)) - F.col("at")))
+    taken = pieces.join(uses, ["source_no", "block_no"]).groupBy("row").agg(F.sum(F.col("words") * F.col("uses") + some).cast("long").alias("taken"))
     return documents.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
 
 
@@ -151,14 +157,18 @@ def resampled(docs: DataFrame, **how) -> DataFrame:
     """docs as whole documents in the mixture's proportions: a document of which the slots take
     `taken` of its `size` words appears floor(taken / size) times, and once more with the chance
     of the remainder, drawn from a hash of its id and text."""
+    given = docs.columns
+    docs, names = guarded(docs, ("doc_id", "text", "source"))
     documents, pieces, slots = mixture(docs, **how)
     counted = taken_words(documents, pieces, slots).where("taken > 0")
     share = F.col("taken") / F.col("size")
     draw = F.pmod(F.xxhash64("doc_id", "tie", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
     times = (F.floor(share) + F.when(draw < share - F.floor(share), 1).otherwise(0)).cast("int")
     counted = counted.withColumn("times", times).where("times > 0").groupBy("doc_id", "tie").agg(F.max("times").alias("times"))
-    out = docs.withColumn("_tie", F.xxhash64("text")).join(counted.withColumnsRenamed({"doc_id": "_id", "tie": "_tie2"}), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_tie") == F.col("_tie2")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    counted = counted.withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
+    out = docs.join(counted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tie")))
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return out.select("doc_id", "text", "source", *[F.col(k).alias(c) for k, c in names.items()]).select(*[named(c) for c in given])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
