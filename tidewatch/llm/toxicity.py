@@ -17,7 +17,8 @@ of a text first, and then mostly the one that scores highest.  Scores use the te
 Defined results: null and wordless texts have one empty window and a score; equal texts have
 equal scores; a null doc_id is hashed as the empty text; repeated rows are scored each; with
 no usable labels of both kinds every score is the base rate, or 0; an empty table gives no
-row; other columns are kept by `scored`.
+row; other columns are kept by `scored` whatever their names, but one named `score`, which is
+replaced.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_or_empty
+from .common import guarded, slices, table, text_or_empty
 
 PIECE = 64
 VOCABULARY, LEAST_DOCS, GRAM_SLOTS, EMBED, HIDDEN, LENGTH = 1 << 13, 3, 1 << 12, 12, 12, 48
-TRAIN_DOCS, STEPS = 2000, 300
+TRAIN_DOCS, STEPS = 3000, 480
 _CLEAN = bytes.maketrans(b".,;:!?\"'()[]{}<>|*_#", b" " * 20)
 
 
@@ -179,10 +180,30 @@ class _Words:
         return np.lib.stride_tricks.sliding_window_view(at, length)[windows(len(words), length)]
 
 
-def _fit(samples: list[tuple[str, int]], steps: int = STEPS, length: int = LENGTH, seed: int = 3, batch: int = 48, prior: float = 0.25) -> Network:
+class _Held:
+    """Texts not trained on: their weighed log loss, by the highest window of each."""
+
+    def __init__(self, samples: list[tuple[str, int]], vocab: dict[bytes, int], length: int, prior: float):
+        words = _Words()
+        each = [words.rows(words_of(t), length) for t, _ in samples]
+        self.feats = _features(list(words.place), vocab)
+        self.rows, self.count = np.concatenate(each), np.array([len(x) for x in each])
+        self.label = np.array([y for _, y in samples], np.float32)
+        base = float(self.label.mean())
+        self.weigh = np.where(self.label > 0, prior / base, (1 - prior) / (1 - base))
+
+    def loss(self, net: "Network") -> float:
+        inputs = net.projected(net.vectors(self.feats))
+        got = np.concatenate([net.forward(inputs, self.rows[lo : lo + 4096]) for lo in range(0, len(self.rows), 4096)])
+        score = np.maximum.reduceat(got, np.cumsum(self.count) - self.count)
+        return float(np.mean(self.weigh * (np.logaddexp(0, score) - self.label * score)))
+
+
+def _fit(samples: list[tuple[str, int]], held: list[tuple[str, int]], steps: int = STEPS, length: int = LENGTH, seed: int = 3, batch: int = 48, prior: float = 0.25) -> Network:
     """Fit on (text, label).  The first steps take any window of a text; then, a few times over,
     windows are scored and the highest of each text is taken.  Labels are weighed as if `prior`
-    of the texts were toxic."""
+    of the texts were toxic.  Of the states at every twelfth of the steps, that of the least
+    loss on the held-back texts is given out."""
     found = Counter(w for t, _ in samples for w in set(words_of(t)))
     common_ = sorted((w for w, n in found.items() if n >= LEAST_DOCS), key=lambda w: (-found[w], w))[:VOCABULARY]
     net = Network({w: k + 1 for k, w in enumerate(common_)}, seed)
@@ -197,7 +218,9 @@ def _fit(samples: list[tuple[str, int]], steps: int = STEPS, length: int = LENGT
     feats = _features(list(table_.place), net.vocab)
     word, gram, size = feats
     start = np.cumsum(size) - size
-    steps = min(steps, max(150, len(samples) // 4))  # few texts are soon learned by heart
+    usable = len({y for _, y in held}) == 2
+    other = _Held(held, net.vocab, length, prior) if usable else None
+    least, kept = np.inf, None
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     rng = np.random.default_rng(seed)
     weigh_all = np.where(label > 0, prior / net.base, (1 - prior) / (1 - net.base)).astype(np.float32)
@@ -234,14 +257,19 @@ def _fit(samples: list[tuple[str, int]], steps: int = STEPS, length: int = LENGT
             m += 0.1 * (v - m)
             q += 0.01 * (v * v - q)
             net.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.99**step)) + 1e-5)).astype(np.float32)
+        if other is not None and (step % max(1, steps // 12) == 0 or step == steps):
+            loss = other.loss(net)
+            if loss < least:
+                least, kept = loss, {k: v.copy() for k, v in net.p.items()}
+    net.p = kept or net.p
     return net
 
 
 def train(samples: list[tuple[str, int]], steps: int = STEPS, length: int = LENGTH, seed: int = 3) -> Network:
-    """Fit on four fifths of (text, label); the rest sets the bias: 0.5 becomes the score that
-    parts the labels of texts not trained on with the fewest errors."""
-    net = _fit([x for k, x in enumerate(samples) if k % 5], steps, length, seed)
+    """Fit on four fifths of (text, label); the rest says when to stop and sets the bias: 0.5
+    becomes the score that parts the labels of texts not trained on with the fewest errors."""
     rest = samples[::5]
+    net = _fit([x for k, x in enumerate(samples) if k % 5], rest, steps, length, seed)
     label = np.array([y for _, y in rest])
     if len(set(label.tolist())) < 2 or not net.vocab:
         return net
@@ -309,17 +337,21 @@ def training_sample(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_
 def scored(docs: DataFrame, net: Network, length: int = LENGTH) -> DataFrame:
     """docs with a column `score` added (one of that name is replaced)."""
     held = docs.sparkSession.sparkContext.broadcast(net)  # fixed size: the network's parameters
-    keep = [c for c in docs.columns if c != "score"]
+    given = [c for c in docs.columns if c != "score"]
+    docs, names = guarded(docs, ("text",))
+    keep = ["text", *names]
     clear = docs.select(*keep, text_or_empty().alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value, length)
         for b in slices(batches, "_text", 1_000_000):
             score = scorer.score(b.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(score)], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(score)], names=[*keep, "_score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return clear.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double")
+    out = clear.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", _score double")
+    back = {c: k for k, c in names.items()} | {"text": "text"}
+    return out.select(*[F.col(back[c]).alias(c) for c in given], F.col("_score").alias("score"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
