@@ -4,7 +4,8 @@ Records are written as gzip members (one for each record), or plain, into archiv
 bounded size, one run of archives for each task.  The reader checks every member (gzip
 checksum, version line, Content-Length, block and payload digests).  Where a check fails,
 it searches for the next valid member or version line, goes on from there, and reports the
-bytes between as a quarantined gap.  It holds one record and one read buffer at a time.
+bytes between as a quarantined gap.  It holds one record and one read buffer at a time, of
+any length; a damaged length can make it hold the rest of one archive, no more.
 
 Defined results: null html is an empty payload; null page_id is written as such and read
 back as null; rows of equal page_id and payload that is the group's largest are each a
@@ -111,10 +112,9 @@ class _Window:
         self.buffer, self.at = self.buffer[n:], self.at + n
 
 
-def _member(w: _Window, most: int) -> tuple[bytes, int]:
+def _member(w: _Window) -> tuple[bytes, int]:
     """(content, length) of the gzip member at the window's start."""
     z, out, used = zlib.decompressobj(31), [], 0
-    total = 0
     while not z.eof:
         if used == len(w.buffer) and not w.fill(used + READ_BYTES) and used == len(w.buffer):
             raise ValueError("truncated member")
@@ -124,42 +124,39 @@ def _member(w: _Window, most: int) -> tuple[bytes, int]:
             out.append(z.decompress(part))
         except zlib.error as e:
             raise ValueError(f"damaged member: {e}") from None
-        total += len(out[-1])
-        if total > most:
-            raise ValueError("member too long")
     return b"".join(out), used - len(z.unused_data)
 
 
-def _plain(w: _Window, most: int) -> tuple[bytes, int]:
+def _plain(w: _Window) -> tuple[bytes, int]:
     """The plain record at the window's start, as far as its Content-Length says."""
     need = 1 << 12
     while True:
         w.fill(need)
         cut = w.buffer.find(b"\r\n\r\n")
-        if cut >= 0 or w.ended or need > 1 << 20:
+        if cut >= 0 or w.ended:
             break
         need *= 2
     head = w.buffer[: max(cut, 0)].lower()
     size = head.rpartition(b"\r\ncontent-length:")[2].split(b"\r\n")[0].strip()
-    if cut < 0 or not size.isdigit() or int(size) > most:
+    if cut < 0 or not size.isdigit():
         raise ValueError("malformed header")
     w.fill(cut + 8 + int(size))
     return w.buffer[: cut + 8 + int(size)], cut + 8 + int(size)
 
 
-def salvage(stream, most: int = 1 << 30) -> Iterator[dict]:
+def salvage(stream) -> Iterator[dict]:
     """Records and gaps of an archive in order: dicts with at, bytes, gap (None for records)."""
     w, gap = _Window(stream), None
     while w.fill(1):
         w.fill(len(_LINE))
         try:
             if w.buffer.startswith(_MEMBER):
-                raw, size = _member(w, most)
+                raw, size = _member(w)
                 found, end = parse(raw)
                 if end != len(raw):
                     raise ValueError("bytes after the record")
             elif w.buffer.startswith(_LINE):
-                raw, size = _plain(w, most)
+                raw, size = _plain(w)
                 found, _ = parse(raw)
             else:
                 raise ValueError("no member or version line")
@@ -266,8 +263,12 @@ def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
 def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     folder = fresh_path(spark, "warc")
-    found = read_archives(write_archives(with_revisits(pages), folder), folder)
-    return found.where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    written = write_archives(with_revisits(pages), folder)
+    found = stage(read_archives(written, folder), "warc-found").where("gap is null")
+    n, got = written.agg(F.sum("records")).first()[0] or 0, found.count()
+    if n != got:
+        raise ValueError(f"{got} of {n} records were read back")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP10_SQL = """
