@@ -11,8 +11,13 @@ original vectors, and ranked.
 
 Defined results: vectors null, empty, zero or with null or non-finite components are left
 out, as queries too; vectors of different lengths are never compared; rows of null vec_id
-are left out; rows of equal vec_id are the one of the smallest vector hash; fewer candidates
-than k give fewer rows; an empty table gives no row; other columns are ignored.
+are left out; rows of equal vec_id are one, the one of the smallest vector hash; candidates of
+equal score are ranked by vec_id; fewer candidates than k give fewer rows; an empty table
+gives no row; other columns are ignored, whatever their names.
+
+Cost: a query costs a walk in each shard, so work grows as queries times rows / shard_rows;
+`shard_rows` may be as large as a task's memory holds (a row takes its vector as doubles, 128
+bytes of neighbours, and a byte for each query of a block).
 """
 
 from __future__ import annotations
@@ -27,7 +32,14 @@ from pyspark.sql import functions as F
 
 from .common import stage, table
 
-LINKS, BUILD_BEAM, SEARCH_BEAM, SHARD_ROWS, BLOCK = 16, 96, 192, 8192, 256
+LINKS, BUILD_BEAM, SEARCH_BEAM, SHARD_ROWS, BLOCK = 16, 96, 192, 16_384, 256
+CHUNK_BYTES = 16 << 20
+
+
+def _chunks(n: int, row_bytes: int) -> Iterator[slice]:
+    """Slices of 0 .. n whose rows take about CHUNK_BYTES at most, whatever the vectors' length."""
+    step = max(1, CHUNK_BYTES // max(1, row_bytes))
+    return (slice(lo, lo + step) for lo in range(0, n, step))
 
 
 class Graph:
@@ -44,20 +56,29 @@ class Graph:
         self.near = [np.full((n, 2 * links if k == 0 else links), -1, np.int32) for k in range(top + 1)]
         self.entry = -1
 
+    def _far(self, nodes: np.ndarray, q: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Squared distances of nodes to q[of], in double precision."""
+        out = np.empty(len(nodes))
+        for part in _chunks(len(nodes), 3 * 8 * self.x.shape[1]):
+            delta = self.x[nodes[part]]
+            delta -= q[of[part]]
+            np.einsum("ij,ij->i", delta, delta, out=out[part])
+        return out
+
     def _beam(self, q: np.ndarray, start: np.ndarray, layer: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Best `beam` nodes on a layer for each query, as (nodes, squared distances), padded
         with -1 and infinity.  In each step every walk opens its nearest unopened nodes."""
-        near, m, x = self.near[layer], len(q), self.x
+        near, m = self.near[layer], len(q)
         ids = np.full((m, beam), -1, np.int64)
         dist = np.full((m, beam), np.inf)
         done = np.ones((m, beam), bool)
-        seen = np.zeros((m, len(x)), bool)
+        seen = np.zeros((m, len(self.x)), bool)
         rows = np.arange(m)
         width = min(start.shape[1], beam)
         ids[:, :width] = start[:, :width]
         ok = ids >= 0
-        diff = x[np.maximum(ids[:, :width], 0)] - q[:, None, :]
-        dist[:, :width] = np.where(ok[:, :width], np.einsum("ijk,ijk->ij", diff, diff), np.inf)
+        first = self._far(np.maximum(ids[:, :width], 0).ravel(), q, np.repeat(rows, width)).reshape(m, width)
+        dist[:, :width] = np.where(ok[:, :width], first, np.inf)
         done[:, :width] = ~ok[:, :width]
         seen[rows[:, None], np.maximum(ids[:, :width], 0)] |= ok[:, :width]
         live = rows
@@ -79,10 +100,9 @@ class Graph:
             r, c = np.nonzero(fresh)
             node = new[r, c]
             # The same node may come from two opened ones: keep the first of each walk.
-            _, first = np.unique(r * len(x) + node, return_index=True)
+            _, first = np.unique(r * len(self.x) + node, return_index=True)
             r, node = r[first], node[first]
-            delta = x[node] - q[live[r]]
-            d = np.einsum("ij,ij->i", delta, delta)
+            d = self._far(node, q, live[r])
             close = d < dist[live[r]].max(axis=1)
             r, node, d = r[close], node[close], d[close]
             if not len(r):
@@ -109,9 +129,11 @@ class Graph:
         """Neighbours chosen from candidates (nearest first) so that each is nearer to the node
         than to the ones already chosen; free places go to the nearest of the rest."""
         m, c = cand.shape
-        x = self.x
-        vec = x[np.maximum(cand, 0)]
-        among = ((vec[:, :, None, :] - vec[:, None, :, :]) ** 2).sum(axis=3)
+        among = np.empty((m, c, c), np.float32)
+        for part in _chunks(m, 8 * c * (self.x.shape[1] + 2 * c)):
+            vec = self.x[np.maximum(cand[part], 0)]
+            length2 = np.einsum("ijk,ijk->ij", vec, vec)
+            among[part] = length2[:, :, None] + length2[:, None, :] - 2 * (vec @ vec.transpose(0, 2, 1))
         taken = np.zeros((m, c), bool)
         valid = (cand >= 0) & np.isfinite(dist)
         for j in range(c):
@@ -140,7 +162,8 @@ class Graph:
             self.entry = int(nodes[0])
             return
         q = self.x[nodes]
-        inner = ((q[:, None, :] - q[None, :, :]) ** 2).sum(axis=2)
+        length2 = np.einsum("ij,ij->i", q, q)
+        inner = np.maximum(length2[:, None] + length2[None, :] - 2 * (q @ q.T), 0)
         np.fill_diagonal(inner, np.inf)
         start = np.full((len(nodes), 1), self.entry, np.int64)
         for layer in range(int(self.levels[self.entry]), -1, -1):
@@ -179,8 +202,8 @@ class Graph:
         cand = np.concatenate([near[nodes].astype(np.int64), extra], axis=1)
         cand.sort(axis=1)
         cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
-        delta = self.x[np.maximum(cand, 0)] - self.x[nodes][:, None, :]
-        dist = np.where(cand >= 0, (delta * delta).sum(axis=2), np.inf)
+        dist = self._far(np.maximum(cand, 0).ravel(), self.x, np.repeat(nodes, cand.shape[1])).reshape(cand.shape)
+        dist[cand < 0] = np.inf
         by = np.argsort(dist, axis=1, kind="stable")
         cand, dist = np.take_along_axis(cand, by, axis=1), np.take_along_axis(dist, by, axis=1)
         full = (cand >= 0).sum(axis=1) > width
@@ -201,20 +224,25 @@ class Graph:
         return self._beam(q, start, 0, max(beam, k))[0][:, :k]
 
 
-def nodes(vectors: DataFrame, k: int) -> DataFrame:
-    """(key, dim, vector, ids): distinct usable vectors with their k+1 smallest vec_ids.
+def usable_rows(vectors: DataFrame) -> DataFrame:
+    """(vec_id, key, vector): usable vectors, one for each vec_id."""
+    sound = ~F.exists("vector", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("vector", lambda e: e != 0)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).where(F.size("vector") > 0).where(sound)
+    # -0.0 and 0.0 are one number: adding 0.0 makes them the same.
+    rows = rows.withColumn("vector", F.transform("vector", lambda e: e + F.lit(0.0)))
+    rows = rows.withColumn("key", F.unhex(F.md5(F.array_join(F.transform("vector", lambda e: e.cast("string")), ","))))
+    return rows.groupBy("vec_id").agg(F.min("key").alias("key"), F.min_by("vector", "key").alias("vector"))
+
+
+def nodes(rows: DataFrame, k: int) -> DataFrame:
+    """(key, dim, vector, ids): distinct vectors with their k+1 smallest vec_ids.
 
     The rank filter is applied before rows are shuffled as well, so a vector that very many
     rows share sends k+1 of them from each task."""
-    usable = F.size("embedding") > 0
-    sound = ~F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("embedding", lambda e: e != 0)
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
-    # -0.0 and 0.0 are one number: adding 0.0 makes them the same.
-    rows = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(usable).where(sound).withColumn("embedding", F.transform("embedding", lambda e: e + F.lit(0.0)))
-    rows = rows.withColumns({"key": F.unhex(F.md5(F.array_join(F.transform("embedding", lambda e: e.cast("string")), ",")))})
     rank = F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))
     few = rows.withColumn("rank", rank).where(F.col("rank") <= k + 1)
-    return few.groupBy("key").agg(F.first("embedding").alias("vector"), F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("dim", F.size("vector"))
+    return few.groupBy("key").agg(F.first("vector").alias("vector"), F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("dim", F.size("vector"))
 
 
 def build_index(found: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -287,13 +315,12 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found for each row that is_query holds for."""
-    found = stage(nodes(vectors, k), "hnsw-nodes")
+    """query_id, rank, vec_id, score of the k nearest found for each row whose vec_id is_query
+    holds for."""
+    rows = stage(usable_rows(vectors), "hnsw-rows")
+    found = stage(nodes(rows, k), "hnsw-nodes")
     index = build_index(found, shard_rows)
-    wanted = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding")).where(is_query).where(F.col("embedding").isNotNull())
-    wanted = wanted.withColumn("embedding", F.transform("embedding", lambda e: e + F.lit(0.0)))
-    key = F.unhex(F.md5(F.array_join(F.transform("embedding", lambda e: e.cast("string")), ",")))
-    wanted = wanted.select(F.col("vec_id").alias("query_id"), key.alias("query_key")).distinct()
+    wanted = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("key").alias("query_key"))
     asked = found.join(wanted.select(F.col("query_key").alias("key")).distinct(), "key", "left_semi")
     best = search(index, asked.select("key", "vector", "dim"), k, beam)
     top = Window.partitionBy("query_key").orderBy(F.col("score").desc(), "key")
