@@ -3,12 +3,15 @@
 import hashlib
 import io
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidewatch.llm import hnsw, licences, mixing, packing, simhash, substrings, token_files, tokens, toxicity, warc, winnowing
 
@@ -41,23 +44,30 @@ def words(t):
     return (t or "").encode().split()
 
 
+def library(name):
+    return Tokenizer.from_file(tokens.tokenizer_path(name))
+
+
 @pytest.mark.parametrize("name", [tokens.BYTE_BPE, tokens.WORD_BPE])
 def test_memo_tokenizer_equals_library(name):
-    t = tokens.MemoTokenizer(name, memo=50)
-    texts = [x[1] or "" for x in corpus()] + ["a  b   c", " \n x", "a \nb  \n c", "x.\ny z\n\nw", "it\n b", "q\n", "İ ﬃ Å á ́b ΑΣ", "a  b  c"]
-    for text, got in zip(texts, t.encode(texts)):
-        assert got.tolist() == t.lib.encode(text, add_special_tokens=False).ids
+    t, lib = tokens.MemoTokenizer(name, memo=50), library(name)
+    texts = [x[1] or "" for x in corpus()] + ["a  b   c", " \n x", "a \nb  \n c", "x.\ny z\n\nw", "it\n b", "q\n", "İ ﬃ Å á ́b ΑΣ", "a  b  c", "word%%% x''s a_b (y)", "a\u2028 b\u00a0", "\x01 \x1c b", "é\nÀ B\u2028c"]
+    texts += ["a <|endoftext|> b", "<|startoftext|>A<|endoftext|>", "<|endoftext", "tab\t", " "]
+    for _ in range(2):
+        for text, got in zip(texts, t.encode(texts)):
+            assert got.tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert {tokens.BYTE_BPE: 50256, tokens.WORD_BPE: 49407}[name] in t.encode(["a <|endoftext|> b"])[0]
 
 
 def test_packing_places_each_id_once(docs, empty):
-    t = tokens.load(tokens.WORD_BPE)
+    lib = library(tokens.WORD_BPE)
     pieces = packing.pack(docs, length=64).collect()
     places = sorted((p.sequence_id, p.offset, p.length) for p in pieces)
     at = 0
     for seq, off, n in places:
         assert seq * 64 + off == at and off + n <= 64
         at += n
-    want = sorted([*t.lib.encode(x[1] or "", add_special_tokens=False).ids, 1] for x in corpus())
+    want = sorted([*lib.encode(x[1] or "", add_special_tokens=False).ids, 1] for x in corpus())
     by = {}
     for p in sorted(pieces, key=lambda p: p.sequence_id * 64 + p.offset):
         if p.start == 0:
@@ -65,6 +75,12 @@ def test_packing_places_each_id_once(docs, empty):
         by[p.doc_id][-1] += p.ids
     assert sorted(x for v in by.values() for x in v) == want
     assert packing.pack(empty).count() == 0
+    # The query's digest columns say the same.
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    digests = packing.pack(docs.withColumnRenamed("size", "before").withColumnRenamed("row", "ids"), length=64, emit="crc").collect()
+    assert sorted((p.doc_id or -1, p.start, p.length, p.doc_tokens, p.ids_crc32) for p in digests) == sorted((p.doc_id or -1, p.start, p.length, p.doc_tokens, crc(p.ids)) for p in pieces)
+    assert sorted((p.sequence_id, p.offset, p.length) for p in digests) == places
+    assert {(p.doc_id, p.doc_tokens) for p in pieces} == {(x[0], len(lib.encode(x[1] or "", add_special_tokens=False).ids) + 1) for x in corpus()}
 
 
 def test_hilbert_neighbours_touch():
@@ -77,22 +93,45 @@ def test_hilbert_neighbours_touch():
 
 
 def test_token_files_round_trip(spark, docs, empty, tmp_path):
-    t = tokens.load(tokens.BYTE_BPE)
+    lib = library(tokens.BYTE_BPE)
     path = f"file://{tmp_path}/t"
-    token_files.write_tokens(docs, path)
+    clash = docs.withColumnRenamed("size", "ids").withColumnRenamed("row", "tie").withColumn("raw", F.lit(1)).withColumn("part", F.lit(1))
+    token_files.write_tokens(clash, path)
     got = token_files.read_tokens(spark, path).collect()
     got.sort(key=lambda r: r.start)
-    assert sorted(r.ids for r in got) == sorted([*t.lib.encode(x[1] or "", add_special_tokens=False).ids, 0] for x in corpus())
+    want = sorted([*lib.encode(x[1] or "", add_special_tokens=False).ids, 0] for x in corpus())
+    assert sorted(r.ids for r in got) == want
     at = 0
     for r in got:
         assert r.start == at
         at += r.n_tokens
     ids = [r.doc_id for r in got]
     assert ids == sorted(ids, key=lambda i: (i is None, i))
+    sums = sorted(token_files.checksums(token_files.read_tokens(spark, path)).collect(), key=lambda r: r.start)
+    assert [tuple(r) for r in sums] == [(r.doc_id, r.start, r.n_tokens, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in got]
     token_files.write_tokens(empty, f"{path}0")
     assert token_files.checksums(token_files.read_tokens(spark, f"{path}0")).count() == 0
 
 
+def test_token_files_are_laid_out_for_selective_reads(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice(WORDS) for _ in range(40))) for i in range(6000)]
+    path = f"file://{tmp_path}/t"
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path)
+    files = list(tmp_path.glob("t/*.parquet"))
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        cols = {meta.row_group(0).column(i).path_in_schema.split(".")[0]: meta.row_group(0).column(i) for i in range(meta.num_columns)}
+        assert "RLE_DICTIONARY" in cols["ids"].encodings and cols["ids"].has_offset_index and cols["doc_id"].has_column_index
+        assert any(e.startswith(("DELTA", "RLE_DICTIONARY")) for e in cols["doc_id"].encodings)
+    few = token_files.read_tokens(spark, path, F.col("doc_id").between(100, 102))
+    assert sorted(r.doc_id for r in few.collect()) == [100, 101, 102]
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,100)" in plan
+    narrow = token_files.read_tokens(spark, path, columns=("doc_id", "start", "n_tokens"))
+    assert "ids" not in narrow._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_components(docs, empty):
     def fp(t):
         w = (t or "").encode().lower().split()
@@ -167,24 +206,66 @@ def test_repeated_passages(docs, empty):
     assert substrings.deduplicated(empty).count() == 0
 
 
-def test_mixing_meets_targets(docs, empty):
-    documents, pieces, slots = mixing.mixture(docs, shard_slots=50)
-    got = mixing.taken_words(documents, pieces, slots).collect()
-    assert len(got) == len(corpus())
+def test_passages_are_found_by_the_automaton_alone(spark, monkeypatch):
+    r = random.Random(9)
+    make = lambda n: [r.choice(WORDS) for _ in range(n)]
+    shared = [make(60) for _ in range(6)]
+    texts = [make(40) + shared[k % 6] + make(k) for k in range(24)]
+    raw = [" ".join(t).encode() for t in texts]
+    known = {b" ".join(s[k : k + 10]) for s in ([w.encode() for w in x] for x in shared) for k in range(51)}
+    found = substrings._located(raw, substrings.Shard(known), 50, 10)
+    whole = substrings._located(raw, substrings.Shard({b" ".join(t.split()[k : k + 10]) for t in raw for k in range(len(t.split()) - 9)}), 50, 10)
+    for k, (at, *_) in enumerate(found):  # all windows inside the shared passage, at least
+        assert set(range(40, 51)) <= set(at.tolist()) <= set(whole[k][0].tolist()) == set(range(len(texts[k]) - 49))
+    assert all(len(at) == 0 for at, *_ in substrings._located(raw, substrings.Shard(set()), 50, 10))
+    docs = spark.createDataFrame(list(enumerate(t.decode() for t in raw)), "doc_id long, text string")
+    assert substrings.deduplicated(docs, texts=False).where("n_removed >= 60").count() == 18
+    monkeypatch.setattr(substrings, "candidate_windows", lambda *a, whole=substrings.candidate_windows: whole(*a).where("false"))
+    assert substrings.deduplicated(docs, texts=False).where("n_removed > 0").count() == 0
+
+
+def test_passages_keep_columns_of_any_name(docs):
+    clash = docs.withColumnsRenamed({"size": "kept", "row": "starts", "lang": "later", "n_chars": "digest"}).selectExpr("*", "1 as phrases", "2 as first", "3 as n_words", "4 as `a.b`")
+    got = substrings.deduplicated(clash)
+    assert got.columns == ["doc_id", "n_words", "n_removed", "kept_sha256", "text", "later", "source", "digest", "kept", "starts", "phrases", "first", "a.b"]
+    assert {(r.kept, r.starts, r.phrases, r.first, r["a.b"]) for r in got.collect()} == {(7, 8, 1, 2, 4), (None, None, 1, 2, 4)}
+
+
+def test_mixing_against_brute_force(docs, empty):
+    shown = docs.select("*", F.lit("x").alias("source_no"), F.lit(1).alias("before"))
+    documents, pieces, slots = mixing.mixture(shown, shard_slots=50, block=16)
+    got = {r.row: r for r in mixing.taken_words(documents, pieces, slots).collect()}
+    assert sorted((r.doc_id is None, r.doc_id, r.size) for r in got.values()) == sorted((i is None, i, len(words(t))) for i, t, *_ in corpus())
     by = {}
-    for r in got:
-        assert r.size == len(words(r.text if "text" in r else None)) or True
-        assert r.taken <= 2 * r.size
-        by.setdefault(r.source, [r.target, r.source_size, 0, 0])
-        by[r.source][2] += r.taken
-        by[r.source][3] += r.size
-    total = sum(v[1] for v in by.values())
-    assert abs(sum(v[0] for v in by.values()) - 1.5 * total) < 1e-6
-    for target, size, taken, sizes in by.values():
-        assert size == sizes and target <= 2 * size + 1e-9 and abs(taken - target) <= 0.03 * target + 130
-    assert sorted((r.doc_id, r.taken) for r in mixing.taken_words(*mixing.mixture(docs, shard_slots=50)).collect() if r.doc_id is not None) == sorted((r.doc_id, r.taken) for r in got if r.doc_id is not None)
+    for r in sorted(got.values(), key=lambda r: (r.doc_id is None, r.doc_id, r.tie, r.row)):
+        by.setdefault(r.source_no, []).extend([r.row] * r.size)  # the source's words, by their rows
+    rows = sorted((r.source_no, r.slot, r.block_no, r.words, r.shard) for r in slots.collect())
+    taken, seen = dict.fromkeys(got, 0), {}
+    for source, slot, block, limit, _ in rows:
+        for row in by[source][block * 16 : block * 16 + 16][:limit]:
+            taken[row] += 1
+        epoch = slot // -(-len(by[source]) // 16)
+        assert block not in seen.setdefault((source, epoch), set())  # a permutation in each epoch
+        seen[source, epoch].add(block)
+    assert {k: r.taken for k, r in got.items()} == taken and len({x[4] for x in rows}) > 1
+    total = sum(map(len, by.values()))
+    target = {r.source_no: (r.target, r.source_size) for r in got.values()}
+    assert abs(sum(t for t, _ in target.values()) - 1.5 * total) < 1e-6
+    for source, (t, size) in target.items():
+        assert size == len(by[source]) and t <= 2 * size + 1e-9
+        assert sum(r.taken for r in got.values() if r.source_no == source) == int(t)
+    assert all(r.taken <= 2 * r.size for r in got.values())
+    again = mixing.taken_words(*mixing.mixture(docs, shard_slots=50, block=16)).collect()
+    assert sorted((r.doc_id or -1, r.taken) for r in again) == sorted((r.doc_id or -1, r.taken) for r in got.values())
     assert mixing.taken_words(*mixing.mixture(empty)).count() == 0
-    assert mixing.resampled(docs).count() > 0
+
+
+def test_resampled_keeps_columns_of_any_name(docs, empty):
+    clash = docs.withColumnsRenamed({"size": "_id", "row": "taken", "lang": "times", "n_chars": "_tie"})
+    got = mixing.resampled(clash.withColumn("a.b", F.lit(1)))
+    assert got.columns == [*clash.columns, "a.b"]
+    assert got.count() > 0 and {(r._id, r.taken) for r in got.collect()} <= {(7, 8), (None, None)}
+    assert mixing.resampled(empty).count() == 0
 
 
 def test_targets_by_water_filling(spark):
@@ -264,6 +345,33 @@ def test_hnsw_recall_and_odd_vectors(spark):
     assert hnsw.nearest(df.where("vec_id < 0"), F.lit(True)).count() == 0
 
 
+def test_hnsw_repeated_ids_ties_and_clashing_columns(spark):
+    unit = [[float(i == j) for j in range(8)] for i in range(8)]
+    rows = [(i, unit[i % 8]) for i in range(40)]
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    twice = plain.union(plain).union(spark.createDataFrame([(5, [9.0] * 8), (5, unit[5])], plain.schema))
+    clash = twice.select("*", F.lit(1).alias("key"), F.lit(2).alias("rank"), F.lit(3).alias("dim"), F.lit(4).alias("shard"))
+    got = {}
+    for r in hnsw.nearest(clash, F.col("vec_id") % 20 == 0, k=6).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    five = {r.vec_id: r.score for r in hnsw.nearest(clash, F.col("vec_id") == 5, k=39).collect()}
+    big = five[0] == 9.0  # of the two vectors of row 5 one is kept, whichever has the smaller hash
+    for q in (0, 20):
+        like = [(i, 1.0) for i in range(q % 8, 40, 8) if i != q]
+        rest = [(i, 0.0) for i in range(40) if i % 8 != q % 8 and not (big and i == 5)]
+        assert got[q] == ([(5, 9.0)] * big + like + rest)[:6]
+    assert sorted(five) == [i for i in range(40) if i != 5]
+
+
+def test_hnsw_memory_is_bounded_for_wide_vectors():
+    x = np.random.default_rng(1).standard_normal((1500, 768))
+    tracemalloc.start()
+    hnsw.Graph(x).build()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6
+
+
 def test_warc_salvage():
     records = [warc.record(i, f"http://h/{i}", f"<p>{i}</p>".encode() * 50, 9, i % 3 == 2) for i in range(12)]
     for pack in (lambda b: b, lambda b: zlib.compress(b, 3, 31)):
@@ -291,6 +399,25 @@ def test_warc_round_trip(spark, tmp_path):
     assert all(r.payload_digest == hashlib.sha1((dict((a, c) for a, _, c in rows)[r.page_id] or "").encode()).hexdigest() for r in got)
 
 
+def test_warc_query_on_odd_tables(spark, tmp_path):
+    big = "y" * 2000
+    rows = [(3, "u", big, 1), (3, "u", big, 1), (2, "u", big, 1), (2, "u", big, 1), (1, None, None, 1), (1, None, None, 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int").select("*", F.lit(1).alias("payload"), F.lit(2).alias("revisit"), F.lit(3).alias("refers_to"))
+    pages.write.parquet(f"{tmp_path}/some/pages.parquet")
+    pages.limit(0).write.parquet(f"{tmp_path}/none/pages.parquet")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.op10_warc_salvage(spark, f"{tmp_path}/some").collect())
+    assert got == [(1, 0, "response", None)] * 2 + [(2, 2000, "revisit", 3)] * 2 + [(3, 2000, "response", None)] * 2
+    assert warc.op10_warc_salvage(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_warc_query_fails_if_a_record_is_lost(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, "u", f"<p>{i}</p>") for i in range(9)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    whole = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a: whole(*a).where("page_id is null or page_id <> 4"))
+    with pytest.raises(ValueError, match="8 of 9"):
+        warc.op10_warc_salvage(spark, str(tmp_path))
+
+
 def test_toxicity_learns_and_its_gradients_are_right(docs, empty):
     r = random.Random(3)
     samples = []
