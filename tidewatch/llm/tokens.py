@@ -18,12 +18,10 @@ import numpy as np
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
-# A run of Latin letters, then closing punctuation if any: one or two pieces under both models.
-# "\0" ahead marks a cut that has no space before it.
-_PLAIN = re.compile(r"(\0?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z")
+# A run of Latin letters, then symbols if any (but the apostrophe, which may begin a piece with
+# letters): one or two pieces under both models.  "\0" ahead marks a cut without a space before it.
+_PLAIN = re.compile(r"(\0?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 _LINES = re.compile(r"\S+(?:\n\S+)+\Z")
-_WIDE = re.compile(r"\s ")
-_WIDE_ASCII = [chr(c) + " " for c in (*range(0x09, 0x0E), *range(0x1C, 0x21))]
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 _LOADED: dict[tuple[str, int], "MemoTokenizer"] = {}
@@ -54,14 +52,36 @@ class _Memo(dict):
         self.lib, self.model, self.code, self.spaced = lib, lib.model, code, spaced
         self.lead = " " if spaced else ""
         self.letters = _byte_letters()
+        self.space = self.letters[0x20] if spaced else ""
+        self.raw = [array(code, [k]).tobytes() for k in range(lib.get_vocab_size())]
         self.ends = {"": b""}
         self.newline = self.piece("\n") if spaced else b""
+        self.strict = True
+        self._begin()
+
+    def _begin(self) -> None:
+        if self.spaced:
+            self["\1"] = self.newline  # a line end between two characters that aren't white space
+
+    def clear(self) -> None:
+        super().clear()
+        self._begin()
 
     def piece(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        if piece.isascii():  # printable ASCII stands for itself
+            mapped = piece.replace(" ", self.letters[0x20]).replace("\n", self.letters[0x0A])
+        else:
+            mapped = piece.encode().decode("latin-1").translate(self.letters)
+        return self.ids_of(mapped)
+
+    def ids_of(self, mapped: str) -> bytes:
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(mapped)])
 
     def __missing__(self, cut: str) -> bytes:
+        if cut.isascii() and cut.isalpha():  # the usual word, spelled as the model spells it
+            self[cut] = ids = self.ids_of(self.space + cut if self.spaced else cut.lower())
+            return ids
         m = _PLAIN.match(cut)
         if m:
             bare, word, end = m.groups()
@@ -69,56 +89,70 @@ class _Memo(dict):
                 if end not in self.ends:
                     self.ends[end] = self.piece(end)
                 ids = self[bare + word] + self.ends[end]
-            elif self.spaced:
-                ids = self.piece(word if bare else " " + word)
             else:
-                ids = self.piece(word.lower())
+                ids = self.piece((word if bare else " " + word) if self.spaced else word.lower())
+        elif self.spaced and (not cut or cut == "\0" or cut[-1].isspace() or (cut[0] == "\0" and cut[1].isspace())):
+            if self.strict:
+                raise _Loose
+            return self.whole(cut)  # not to be found by the strict way
         elif "\n" in cut and self.spaced and _LINES.match(cut):
-            # A line end between two characters that aren't white space is a piece of its own.
             first, *rest = cut.split("\n")
             ids = self.newline.join([self[first], *[self["\0" + x] for x in rest]])
         else:
-            text = cut[1:] if cut[:1] == "\0" else self.lead + cut
-            ids = array(self.code, self.lib.encode(text, add_special_tokens=False).ids).tobytes()
+            ids = self.whole(cut)
         self[cut] = ids
         return ids
 
+    def whole(self, cut: str) -> bytes:
+        text = cut[1:] if cut[:1] == "\0" else self.lead + cut
+        return array(self.code, self.lib.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+class _Loose(Exception):
+    """White space stands next to white space: the text must be cut with care."""
+
 
 class MemoTokenizer:
     """encode(texts) -> one numpy id array per text, equal to the library's ids.
 
     `memo` bounds the number of remembered cuts; when it is reached, the memo starts anew.
-    Plain words go straight to the library's model, other cuts through its whole pipeline.
-    Special-token strings inside a text are ordinary text.
+    Plain words go straight to the library's model, other cuts through its whole pipeline.  A
+    text that holds one of the file's own special tokens is left to the library as a whole,
+    which gives that token its id.
     """
 
-    def __init__(self, name: str, memo: int = 600_000):
+    def __init__(self, name: str, memo: int = 900_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.lib = Tokenizer.from_file(tokenizer_path(name))
-        self.lib.encode_special_tokens = True
         small = self.lib.get_vocab_size() <= 1 << 16
         self.dtype = np.dtype("<u2") if small else np.dtype("<u4")
         self.spaced = "Lowercase" not in str(self.lib.normalizer)  # a leading space is part of a piece
+        # Markers of cuts, and the file's added tokens, which are found before anything else.
+        self.whole = ["\0", "\1", *(t.content for t in self.lib.get_added_tokens_decoder().values())]
         self.most = memo
         self.memo = _Memo(self.lib, "H" if small else "I", self.spaced)
 
     def _cuts(self, text: str) -> list[str]:
-        """Cuts in memo form: plain ones follow a space, "\0..." ones don't."""
+        """Cuts in memo form: plain ones follow a space, "\0..." ones don't, "\1" is a line end."""
         if not self.spaced:
             try:  # this model lower-cases; for Latin-1 characters Python does the same
                 text.encode("latin-1")
                 text = text.lower()
             except UnicodeEncodeError:
                 pass
-            cuts = text.replace("\n", " ").split(" ")
-        elif text[:1] == " " or (any(w in text for w in _WIDE_ASCII) if text.isascii() else _WIDE.search(text)):
-            cuts = [c[1:] if c[:1] == " " else "\0" + c for c in _CUT.split(text)]
-        else:
-            cuts = text.split(" ")
-            cuts[0] = "\0" + cuts[0]
-        return cuts
+            return text.replace("\n", " ").split(" ")
+        # If no white space meets other white space, each line end is a piece of its own.
+        return ("\0" + text.replace("\n", " \1 \0")).split(" ")
+
+    def _carefully(self, text: str) -> bytes:
+        """Ids of a text in which white space stands together: cut only where a space follows a
+        character that isn't white space."""
+        self.memo.strict = False
+        ids = b"".join([self.memo[c[1:] if c[:1] == " " else "\0" + c] for c in _CUT.split(text)])
+        self.memo.strict = True
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out, memo = [], self.memo
@@ -127,14 +161,18 @@ class MemoTokenizer:
                 memo.clear()
             if not t:
                 out.append(np.zeros(0, self.dtype))
-            elif "\0" in t:  # holds the marker itself
+            elif any(x in t for x in self.whole):
                 out.append(np.array(self.lib.encode(t, add_special_tokens=False).ids, self.dtype))
             else:
-                out.append(np.frombuffer(b"".join(map(memo.__getitem__, self._cuts(t))), self.dtype))
+                try:
+                    ids = b"".join(map(memo.__getitem__, self._cuts(t)))
+                except _Loose:
+                    ids = self._carefully(t)
+                out.append(np.frombuffer(ids, self.dtype))
         return out
 
 
-def load(name: str, memo: int = 600_000) -> MemoTokenizer:
+def load(name: str, memo: int = 900_000) -> MemoTokenizer:
     """The worker's own tokenizer, loaded once per process."""
     key = (name, memo)
     if key not in _LOADED:
