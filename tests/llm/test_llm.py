@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import re
 import tracemalloc
 import zlib
 
@@ -140,7 +141,10 @@ def test_simhash_components(docs, empty):
         return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
     rows = [(i, fp(t)) for i, t, *_ in corpus()]
-    got = {(r.doc_id, r.fp % (1 << 64)): r.component_id for r in simhash.near_duplicates(docs).collect()}
+    clash = docs.withColumnsRenamed({"size": "fp", "row": "component_id", "lang": "node", "n_chars": "root"})
+    found = simhash.near_duplicates(clash.withColumn("row", F.lit(1))).collect()
+    assert len(found) == len(rows)
+    got = {(r.doc_id, r.fp % (1 << 64)): r.component_id for r in found}
     assert set(got) == set(rows)
     reach = {r: {r} for r in rows}
     for r in rows:
@@ -286,27 +290,46 @@ def test_targets_by_water_filling(spark):
     assert got == pytest.approx(want)
 
 
-def test_winnowing_brute_force(docs, empty):
-    def chosen(t):
-        w = [x for x in (t or "").lower().replace("\t", " ").replace("\n", " ").split(" ") if x]
-        grams = [tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
-        return len(grams)
+def winnowed(t):
+    """[(position, hash)] in plain Python."""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if x]
+    one = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+    turn = lambda h, k: (h << k | h >> 64 - k) & (1 << 64) - 1 if k else h
+    grams = [turn(a, 2) ^ turn(b, 1) ^ c for a, b, c in zip(one, [*one[1:], 0], [*one[2:], 0, 0])][: max(1, len(w) - 2)]
+    out = set()
+    for lo in range(max(1, len(grams) - 7)) if grams else ():
+        out.add(min(range(lo, min(lo + 8, len(grams))), key=lambda p: (grams[p] >> 28, -p)))
+    return [(p, grams[p]) for p in sorted(out)]
 
-    got = winnowing.with_edited(docs).collect()
+
+def test_winnowing_brute_force(spark, docs, empty, tmp_path):
+    clash = docs.withColumnsRenamed({"size": "tie", "row": "chosen", "lang": "doc_key", "n_chars": "edited"}).withColumn("_words", F.lit(1))
+    clash.write.parquet(f"{tmp_path}/documents.parquet")
+    got = winnowing.op6_winnowing(spark, str(tmp_path)).collect()
     rows = [(i, t or "") for i, t, *_ in corpus()]
     assert len(got) == len(rows)
-    text = dict(rows)
-    order = sorted(set(i for i, _ in rows if i is not None), reverse=True) + [None]
-    for r in got:
-        nxt = order[(order.index(r.doc_id) + 1) % len(order)]
-        own, half = text[r.doc_id], len(text[r.doc_id]) // 2
-        assert r.next_doc_id == nxt and r.edited == own[: len(own) - half] + text[nxt][:half]
-        place = [s.position for s in r.chosen]
-        n = chosen(own)
-        assert place == sorted(place) and (n > 0) == bool(place)
-        for lo in range(0, max(0, n - 7)):  # the guarantee: every window of grams has a chosen one
-            assert any(lo <= p < lo + 8 for p in place)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    order = sorted(set(rows), key=lambda r: (r[0] is None, -(r[0] or 0), signed(xxhash.xxh64_intdigest(r[1].encode(), 42))))
+    after = dict(zip(order, [*order[1:], order[0]]))
+
+    def digest(found):
+        return hashlib.sha256(",".join(f"{p}:{h:X}" for p, h in found).encode()).hexdigest()
+
+    def near(a, b):
+        a, b = {h for _, h in a}, {h for _, h in b}
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    want = []
+    for i, t in rows:
+        j, other = after[i, t]
+        edited = t[: len(t) - len(t) // 2] + other[: len(t) // 2]
+        a, b, c = winnowed(t), winnowed(edited), winnowed(other)
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), digest(a), digest(b), near(a, b), near(a, c), j, len(other)))
+    key = lambda r: (r[0] is None, r[0] or 0, r[3])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert winnowing.with_edited(empty).count() == 0
+    chosen = winnowing.fingerprints(docs.select("text"), "text", "chosen").collect()
+    assert all([(s.position, s.hash % (1 << 64)) for s in r.chosen] == winnowed(r.text) for r in chosen if r.text)
 
 
 def test_winnowing_takes_the_rightmost_of_equal_hashes(spark):
@@ -537,6 +560,14 @@ def test_toxicity_reads_long_words_whole():
     assert len(set(got.tolist())) == 5 and toxicity.words_of("a " * 70) == [b"a"] * 70
 
 
+def test_licences_ties_long_texts_and_clashing_columns(spark):
+    filler = " ".join(f"q{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(20_000))
+    rows = [(1, f"{filler}\nReleased under the MIT License.\n{filler}"), (2, "Released under the BSD License.\nReleased under the MIT License."), (2, "Released under the BSD License.\nReleased under the MIT License."), (3, f"{filler} Licensed under CC BY-SA 4.0. {filler}"), (None, "Licensed under CC BY-NC 4.0.\n" * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(1).alias("row"), F.lit("x").alias("licence"), F.lit(2.0).alias("dice"), F.lit(3).alias("line"))
+    got = sorted(((r.doc_id, r.licence, r.dice, r.licence_lines) for r in licences.scan(docs).collect()), key=str)
+    assert got == [(1, "MIT", 1.0, 1), (2, "BSD-notice", 1.0, 2), (2, "BSD-notice", 1.0, 2), (3, "CC-BY-SA-4.0", 1.0, 0), (None, "CC-BY-NC-4.0", 1.0, 3)]
+
+
 def test_licences_inside_lines_and_over_line_breaks(spark):
     filler = " ".join(f"q{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300))
     gpl = "This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n"

@@ -9,10 +9,15 @@ itself), and compared with the others at the anchor.  Only distinct fingerprints
 replicated, so exact copies never meet; links within an anchor are reduced to a spanning
 forest before they leave the task.
 
+At an anchor, up to SMALL fingerprints are compared pair by pair; more are compared through
+their one-bit neighbours (two within 2 bits share one), which is linear in their number.  An
+anchor of over LARGE fingerprints, more than a task should hold, is compared in the same way
+by a join on one-bit neighbours, dealt over all tasks.  The links are the same all three ways.
+
 Defined results: null or wordless text has fingerprint zero and is linked like any other;
 rows of null doc_id are fingerprinted and take their component's smallest doc_id (null if
-it has none); repeated rows appear each; an empty table gives no row; other columns are kept
-by `near_duplicates` unless they are named like its own.
+it has none); repeated rows appear each; an empty table gives no row; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,18 +1,22 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Grams are `gram` consecutive lower-cased words (the whole sequence of a shorter text).  Each
-gram is hashed; in every window of `window` consecutive grams the least hash is chosen, the
-rightmost of equal ones, and its position is kept.  So any run of window + gram - 1 words
-that two texts share gives them a common fingerprint, whose positions tell where.
+Grams are `gram` consecutive lower-cased words (the whole sequence of a shorter text).  A
+gram's hash is the rolling cyclic polynomial of its words' hashes: each word's 64-bit hash is
+turned left by one bit for each word after it, and the turned hashes are XORed, so a gram's
+hash is that of the gram before turned by one bit, less its first word and with the next.  In
+every window of `window` consecutive grams the least hash is chosen (36 of its bits are
+compared), the rightmost of equal ones, and its position is kept.  So any run of window +
+gram - 1 words that two texts share gives them a common fingerprint, whose positions tell where.
 
 Window minima are taken over (36 bits of the hash, place from the right) packed into one
-long, with array functions that stay in the JVM.
+long, with array functions that stay in the JVM; a place takes 27 bits, more words than the
+largest text of a row can have.
 
 Defined results: null text is empty; a wordless text has an empty fingerprint; the likeness
 of two empty fingerprints is 1, of one empty and one not 0; rows of equal doc_id are ordered
 by a hash of the text; rows equal in both are one document, with one follower; a null doc_id
 comes last; a single document is its own next one; an empty table
-gives no row; other columns are ignored.
+gives no row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,9 +64,17 @@ def fingerprints(df: DataFrame, text: str, out: str, gram: int = GRAM, window: i
     stripped = F.btrim(F.lower(F.col(text)), F.lit(blank))
     df = df.withColumn("_words", F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, r"[\x20\x09-\x0D]+", -1)))
     df = df.withColumn("_n", F.size("_words"))
-    # get() beyond the end is null, which the hash skips: a text shorter than a gram has one.
-    hashed = F.transform("_words", lambda w, i: F.xxhash64(w, *[F.get(F.col("_words"), i + k) for k in range(1, gram)]))
-    df = df.withColumn("_hashes", F.slice(hashed, F.lit(1), F.greatest(F.col("_n") - (gram - 1), F.lit(1))))
+    df = df.withColumn("_each", F.transform("_words", lambda w: F.xxhash64(w)))
+    # get() beyond the end is null, here 0: a text shorter than a gram has one gram.
+    turned = lambda h, k: h if k == 0 else F.shiftleft(h, k).bitwiseOR(F.shiftrightunsigned(h, 64 - k))
+
+    def rolled(h: Column, i: Column) -> Column:
+        out = turned(h, gram - 1)
+        for k in range(1, gram):
+            out = out.bitwiseXOR(turned(F.coalesce(F.get(F.col("_each"), i + k), F.lit(0).cast("long")), gram - 1 - k))
+        return out
+
+    df = df.withColumn("_hashes", F.slice(F.transform("_each", rolled), F.lit(1), F.greatest(F.col("_n") - (gram - 1), F.lit(1))))
     packed = F.transform("_hashes", lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 1 + _PLACE_BITS), _PLACE_BITS).bitwiseOR(F.lit(last) - i))
     df = df.withColumn("_packed", packed).withColumn("_m", F.size("_hashes"))
     # least() skips nulls too: a sequence shorter than a window has one.
@@ -70,7 +82,7 @@ def fingerprints(df: DataFrame, text: str, out: str, gram: int = GRAM, window: i
     low = F.array_distinct(F.slice(low, F.lit(1), F.greatest(F.col("_m") - (window - 1), F.lit(1))))
     place = lambda p: (F.lit(last) - p.bitwiseAND(F.lit(last))).cast("int")
     chosen = F.transform(low, lambda p: F.struct(place(p).alias("position"), F.get(F.col("_hashes"), place(p)).alias("hash")))
-    return df.withColumn(out, chosen).drop("_words", "_n", "_hashes", "_packed", "_m")
+    return df.withColumn(out, chosen).drop("_words", "_n", "_each", "_hashes", "_packed", "_m")
 
 
 def digest(chosen: Column) -> Column:
@@ -88,31 +100,31 @@ def likeness(both: Column, a: Column, b: Column) -> Column:
 
 
 def with_edited(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_chars, edited (text), chosen, edited_chosen, next_doc_id, next_n_chars, next_set
-    for every document.
+    """doc_id, n_chars, edited (text), fingerprint and edited_fingerprint (digests), own_set,
+    edited_set, next_set (hashes), next_doc_id, next_n_chars for every document.
 
-    Texts are shuffled once, by document; both sides below read that one exchange.  A follower
-    then sends the head of its text and its fingerprint to the document before it."""
-    own = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    A text's own fingerprint is made once, before its text is shuffled, once, by document; both
+    sides below read that one exchange.  A follower then sends the head of its text and its
+    hashes to the document before it."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     own = own.withColumns({"n_chars": F.char_length("text").cast("long"), "tie": F.xxhash64("text"), "doc_key": F.coalesce("doc_id", F.lit(-(1 << 63)))})
     chain = _chain(own)
-    own = own.select(*KEY, "doc_id", "n_chars", "text")
+    own = fingerprints(own, "text", "chosen", gram, window)
+    own = own.select(*KEY, "doc_id", "n_chars", "text", digest(F.col("chosen")).alias("fingerprint"), hash_set(F.col("chosen")).alias("own_set"))
     ahead = chain.select(F.col("doc_key").alias("for_key"), F.col("tie").alias("for_tie"), F.col("next_key").alias("doc_key"), F.col("next_tie").alias("tie"), "half")
     copies = chain.select(*KEY, "copies")
-    sent = fingerprints(own.join(ahead.join(copies, KEY), KEY), "text", "chosen", gram, window)
-    sent = sent.select(F.col("for_key").alias("doc_key"), F.col("for_tie").alias("tie"), "half", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"), hash_set(F.col("chosen")).alias("next_set"), F.col("doc_id").alias("next_doc_id"), F.col("n_chars").alias("next_n_chars"), "copies")
+    sent = own.join(ahead.join(copies, KEY), KEY)
+    sent = sent.select(F.col("for_key").alias("doc_key"), F.col("for_tie").alias("tie"), "half", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"), F.col("own_set").alias("next_set"), F.col("doc_id").alias("next_doc_id"), F.col("n_chars").alias("next_n_chars"), "copies")
     # Of equal rows only one sends.
     sent = sent.where("copies = 1").unionByName(sent.where("copies > 1").dropDuplicates(KEY)).drop("copies")
     met = own.join(sent, KEY)
     met = met.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.col("half")).cast("int")), F.col("head")))
-    met = fingerprints(met, "text", "chosen", gram, window)
-    met = fingerprints(met, "edited", "edited_chosen", gram, window)
-    return met.select("doc_id", "n_chars", "edited", "chosen", "edited_chosen", "next_doc_id", "next_n_chars", "next_set")
+    met = fingerprints(met, "edited", "chosen", gram, window)
+    return met.select("doc_id", "n_chars", "edited", "fingerprint", digest(F.col("chosen")).alias("edited_fingerprint"), "own_set", hash_set(F.col("chosen")).alias("edited_set"), "next_set", "next_doc_id", "next_n_chars")
 
 
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_edited(table(spark, sf_dir, "documents"))
-    found = found.select("doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), digest(F.col("chosen")).alias("fingerprint"), digest(F.col("edited_chosen")).alias("edited_fingerprint"), hash_set(F.col("chosen")).alias("a"), hash_set(F.col("edited_chosen")).alias("b"), F.col("next_set").alias("c"), "next_doc_id", "next_n_chars")
-    found = found.withColumns({"ab": F.size(F.array_intersect("a", "b")), "ac": F.size(F.array_intersect("a", "c"))})
-    near = lambda both, other: likeness(F.col(both), F.size("a"), F.size(other))
-    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("ab", "b").alias("near_edited"), near("ac", "c").alias("near_next"), "next_doc_id", "next_n_chars")
+    found = with_edited(table(spark, sf_dir, "documents")).withColumn("edited_sha256", F.sha2(F.col("edited"), 256)).drop("edited")
+    found = found.withColumns({"ab": F.size(F.array_intersect("own_set", "edited_set")), "ac": F.size(F.array_intersect("own_set", "next_set"))})
+    near = lambda both, other: likeness(F.col(both), F.size("own_set"), F.size(other))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("ab", "edited_set").alias("near_edited"), near("ac", "next_set").alias("near_next"), "next_doc_id", "next_n_chars")
