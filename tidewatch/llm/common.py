@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -14,10 +16,26 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+BATCH_BYTES, _BATCH = str(4 << 20), "spark.sql.execution.arrow.maxBytesPerBatch"
 _LOCAL: dict[str, str] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold BATCH_BYTES unless the session says otherwise: at Spark's own 64 MB
+    a task's buffers, in the JVM and in Python, are most of an executor's memory."""
+    if spark.conf.get(_BATCH, "67108864b") == "67108864b":
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
+def _trim() -> None:
+    """Give freed memory back, so that a worker that is used again does not hold it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,6 +64,7 @@ def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut, and a
     lost executor costs no recomputation."""
     spark = df.sparkSession
+    small_batches(spark)
     path = fresh_path(spark, label)
     schema = df.schema
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
@@ -67,6 +86,7 @@ def slices(batches: Iterator[pa.RecordBatch], weight: str, most: int = 2_000_000
             hi = max(lo + 1, int(np.searchsorted(at, base + most, side="right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+    _trim()
 
 
 def running_offsets(df: DataFrame, order: list[str], size: str, group: str | None = None, label: str = "offsets") -> DataFrame:
@@ -120,6 +140,7 @@ def named(col: str) -> Column:
 def guarded(docs: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
     """docs with all columns but `own` under names _c0, _c1, ... that clash with none of an
     operator's, and the names to give back: {_c0: name, ...}."""
+    small_batches(docs.sparkSession)
     names = {f"_c{i}": c for i, c in enumerate(c for c in docs.columns if c not in own)}
     return docs.select(*[named(c) for c in docs.columns if c in own], *[named(c).alias(k) for k, c in names.items()]), names
 
