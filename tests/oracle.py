@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def _plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5) + 0.0
+        return None if math.isnan(v) else round(v, 9) + 0.0
     return v
 
 

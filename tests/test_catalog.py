@@ -4,10 +4,11 @@ from tests.oracle import actual, expected
 from tidewatch.plans import catalog
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
-def test_query_equals_its_sql(spark, data, name):
-    names, want = expected(catalog.ORACLES[name], f"{data}/sf0.001")
-    cols, got = actual(catalog.QUERIES[name](spark, f"{data}/sf0.001"))
+def test_query_equals_its_sql(spark, data, name, size):
+    names, want = expected(catalog.ORACLES[name], f"{data}/{size}")
+    cols, got = actual(catalog.QUERIES[name](spark, f"{data}/{size}"))
     assert cols == names
     assert got == want
 

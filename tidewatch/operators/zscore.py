@@ -9,14 +9,14 @@ from ..config import ANOMALY_TYPES, METRICS, UNKNOWN_TYPE
 from .chain import greedy_chain
 
 
-def trailing_z(events: DataFrame, window_ms: int = 300_000, least: int = 10, metrics: tuple[str, ...] = METRICS, by_prefix: bool | None = None, key: str = "service_id") -> DataFrame:
+def trailing_z(events: DataFrame, window_ms: int = 300_000, least: int = 10, metrics: tuple[str, ...] = METRICS, by_prefix: bool = True, key: str = "service_id") -> DataFrame:
     """events with n and z_<metric>: (x - mean) / (population std + 1e-9) over the trailing window
     (its lower bound included, the row included), rounded to 4 places; null where n < least.
 
-    A moving range frame costs rows times window; with `by_prefix` (the default for windows of
-    an hour or more) running sums with an expiry marker for each row do it in one pass."""
-    if by_prefix is None:
-        by_prefix = window_ms >= 3_600_000
+    A moving range frame (by_prefix=False) costs rows times window, a task for each key.  With
+    `by_prefix`, a key's rows are dealt to time buckets of the window's length, each with the
+    rows of the bucket before, and running sums with an expiry marker for each row do it in one
+    pass: a hot key is split over its buckets, and no sum runs over more than two windows."""
     out = _by_prefix(events, window_ms, metrics, key) if by_prefix else _by_range(events, window_ms, metrics, key)
     z = lambda m: F.round((F.col(m) - F.col(f"_mean_{m}")) / (F.col(f"_std_{m}") + 1e-9), 4)
     out = out.withColumns({f"z_{m}": F.when(F.col("n") >= least, z(m)) for m in metrics})
@@ -35,14 +35,17 @@ def _by_prefix(events: DataFrame, window_ms: int, metrics: tuple[str, ...], key:
     # Sums of squares cancel where the mean is large: values are centred on their key's mean first.
     centre = events.groupBy(key).agg(*[F.avg(m).alias(f"_c_{m}") for m in metrics])
     rows = events.join(centre, key).withColumns({f"_x_{m}": F.col(m) - F.col(f"_c_{m}") for m in metrics})
-    own = [c for c in rows.columns if c not in (key,)]
-    live = rows.withColumns({"_t": F.col("timestamp_ms"), "_kind": F.lit(0), "_sign": F.lit(1)})
-    gone = rows.select(key, *[F.col(c) if c.startswith("_x_") else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in own], (F.col("timestamp_ms") + window_ms).alias("_t"), F.lit(1).alias("_kind"), F.lit(-1).alias("_sign"))
-    w = Window.partitionBy(key).orderBy("_t", "_kind").rangeBetween(Window.unboundedPreceding, 0)
+    bucket = F.floor(F.col("timestamp_ms") / window_ms).cast("long")
+    live = rows.withColumns({"_bucket": bucket, "_t": F.col("timestamp_ms"), "_kind": F.lit(0), "_sign": F.lit(1)})
+    # In the next bucket a row counts from the start until it expires.
+    bare = [F.col(c) if c == key or c.startswith("_x_") else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
+    before = rows.select(*bare, (bucket + 1).alias("_bucket"), ((bucket + 1) * window_ms - 1).alias("_t"), F.lit(1).alias("_kind"), F.lit(1).alias("_sign"))
+    gone = rows.select(*bare, (bucket + 1).alias("_bucket"), (F.col("timestamp_ms") + window_ms).alias("_t"), F.lit(1).alias("_kind"), F.lit(-1).alias("_sign"))
+    w = Window.partitionBy(key, "_bucket").orderBy("_t", "_kind").rangeBetween(Window.unboundedPreceding, 0)
     sums = {"n": F.sum("_sign").over(w).cast("long")}
     for m in metrics:
         sums |= {f"_s_{m}": F.sum(F.col("_sign") * F.col(f"_x_{m}")).over(w), f"_q_{m}": F.sum(F.col("_sign") * F.col(f"_x_{m}") * F.col(f"_x_{m}")).over(w)}
-    out = live.unionByName(gone).withColumns(sums).where("_kind = 0")
+    out = live.unionByName(before).unionByName(gone).withColumns(sums).where("_kind = 0")
     for m in metrics:
         mean = F.col(f"_s_{m}") / F.col("n")
         out = out.withColumns({f"_mean_{m}": mean + F.col(f"_c_{m}"), f"_std_{m}": F.sqrt(F.greatest(F.col(f"_q_{m}") / F.col("n") - mean * mean, F.lit(0.0)))})

@@ -72,37 +72,46 @@ def dedup_then_late(spark, sf_dir):
     return watermark.drop_late(dedup.first_by_id(rows, ["id"], "arrival_seq"), lag_ms=5_000_000, bucket=1000).select("id", "arrival_seq", "timestamp_ms")
 
 
+# Means differ in their last digits with the order of a sum: a shift larger than that, and far
+# smaller than a place, rounds a tie alike on both sides.
+TIE = 1e-9
+
+
+def _settled(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c) + TIE, 6) for c in cols})
+
+
 MEANS = ["cpu_mean", "cpu_max", "latency_p99", "latency_mean", "error_rate_mean", "request_rate_mean"]
-AGG_SQL = """round(avg(cpu_percent), 6) AS cpu_mean, round(max(cpu_percent), 6) AS cpu_max, round(quantile_cont(latency_p99, 0.99), 6) AS latency_p99,
-  round(avg(latency_p99), 6) AS latency_mean, round(avg(error_rate), 6) AS error_rate_mean, round(avg(request_rate), 6) AS request_rate_mean, count(*) AS span_count"""
+AGG_SQL = """round(avg(cpu_percent) + 1e-9, 6) AS cpu_mean, round(max(cpu_percent) + 1e-9, 6) AS cpu_max, round(quantile_cont(latency_p99, 0.99) + 1e-9, 6) AS latency_p99,
+  round(avg(latency_p99) + 1e-9, 6) AS latency_mean, round(avg(error_rate) + 1e-9, 6) AS error_rate_mean, round(avg(request_rate) + 1e-9, 6) AS request_rate_mean, count(*) AS span_count"""
 
 
 def tumbling_aligned(spark, sf_dir):
-    return _round(tumbling.aligned(_events(spark, sf_dir), 60_000), *MEANS)
+    return _settled(tumbling.aligned(_events(spark, sf_dir), 60_000), *MEANS)
 
 
 def tumbling_anchored(spark, sf_dir):
-    return _round(tumbling.anchored(_events(spark, sf_dir), DAY), *MEANS)
+    return _settled(tumbling.anchored(_events(spark, sf_dir), DAY), *MEANS)
 
 
 def sliding_hop(spark, sf_dir):
-    return _round(tumbling.aligned(_events(spark, sf_dir), 6 * HOUR, HOUR), *MEANS)
+    return _settled(tumbling.aligned(_events(spark, sf_dir), 6 * HOUR, HOUR), *MEANS)
 
 
 def metrics_unpivot(spark, sf_dir):
     out = tumbling.unpivoted(tumbling.aligned(_events(spark, sf_dir), DAY))
-    return _round(out.withColumn("time", F.unix_millis("time")), "value")
+    return _settled(out.withColumn("time", F.unix_millis("time")), "value")
 
 
 def sliding_zscore(spark, sf_dir):
     out = zscore.trailing_z(_events(spark, sf_dir), DAY, metrics=SERVICE_METRICS)
-    return out.select("arrival_seq", F.col("n").cast("long").alias("n"), *[F.round(f"z_{m}", 3).alias(f"z_{m}") for m in SERVICE_METRICS])
+    return out.select("arrival_seq", F.col("n").cast("long").alias("n"), *[f"z_{m}" for m in SERVICE_METRICS])
 
 
 def zscore_anomalies(spark, sf_dir, window_ms=DAY):
     scored = zscore.trailing_z(_events(spark, sf_dir), window_ms, metrics=SERVICE_METRICS)
     out = zscore.anomalies(scored, metrics=SERVICE_METRICS)
-    return out.select("service_id", "span_id", "anomaly_type", F.round("z_score", 3).alias("z_score"), F.round("anomaly_score", 3).alias("anomaly_score"), "severity", "model_used", "detected_at")
+    return out.select("service_id", "span_id", "anomaly_type", "z_score", F.round("anomaly_score", 6).alias("anomaly_score"), "severity", "model_used", "detected_at")
 
 
 def slide_throttle(spark, sf_dir):
@@ -111,7 +120,7 @@ def slide_throttle(spark, sf_dir):
 
 def detect_full(spark, sf_dir):
     out = zscore.anomalies(zscore.throttled(zscore.trailing_z(_events(spark, sf_dir), DAY, metrics=SERVICE_METRICS), HOUR), metrics=SERVICE_METRICS)
-    return out.select("service_id", "span_id", "anomaly_type", F.round("z_score", 3).alias("z_score"), "severity")
+    return out.select("service_id", "span_id", "anomaly_type", "z_score", "severity")
 
 
 def rolling_sequence(spark, sf_dir):
@@ -186,7 +195,7 @@ def confusion_metrics(spark, sf_dir):
 
 def inject_clamp(spark, sf_dir):
     kinds = F.array(*[F.lit(k) for k in ("CPU_SPIKE", "LATENCY_BURST", "ERROR_RATE_SPIKE", "REQUEST_DROP")])
-    rows = _events(spark, sf_dir).withColumns({"kind": F.get(kinds, (F.col("arrival_seq") % 4).cast("int")), "factor": (F.col("arrival_seq") % 10) / 10 + 0.0137})
+    rows = _events(spark, sf_dir).withColumns({"kind": F.get(kinds, (F.col("arrival_seq") % 4).cast("int")), "factor": (F.col("arrival_seq") % 10) / 10 + 0.01379131717})
     return generator.clamped(generator.injected(rows, "kind", "factor")).select("arrival_seq", "cpu_percent", "latency_p99", "error_rate", "request_rate")
 
 
@@ -210,6 +219,15 @@ def topk_scores(spark, sf_dir):
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("service_id", "rank", "anomaly_score")
 
 
+def ar1_filter(spark, sf_dir):
+    rows = _events(spark, sf_dir).select("service_id", "arrival_seq", "cpu_percent")
+    return generator.ar1_by_key(rows, "service_id", "arrival_seq", "cpu_percent").select("arrival_seq", F.round(F.col("x") + TIE, 6).alias("x"))
+
+
+def seasonal(spark, sf_dir):
+    return _events(spark, sf_dir).select("arrival_seq", F.round(generator.seasonal_load(F.col("arrival_seq")) + TIE, 6).alias("load"))
+
+
 def labelled_series(spark, sf_dir):
     return generator.series(spark, 5, 500)
 
@@ -296,11 +314,11 @@ REGISTRY: dict[str, tuple] = {
     "tumbling_aligned": (tumbling_aligned, f"WITH {EVENTS_SQL} SELECT service_id, timestamp_ms // 60000 * 60000 AS window_start_ms, timestamp_ms // 60000 * 60000 + 60000 AS window_end_ms, {AGG_SQL} FROM ev GROUP BY 1, 2, 3"),
     "tumbling_anchored": (tumbling_anchored, _chain("SELECT *, service_id AS k FROM ev", ">=", DAY) + f", w AS (SELECT ev.*, c.no, c.fired, c.tested FROM c JOIN ev USING (arrival_seq)) SELECT service_id, max(coalesce(tested, 0)) AS window_start_ms, max(CASE WHEN fired AND tested IS NOT NULL THEN timestamp_ms END) AS window_end_ms, {AGG_SQL} FROM w GROUP BY service_id, no HAVING max(CASE WHEN fired AND tested IS NOT NULL THEN timestamp_ms END) IS NOT NULL"),
     "sliding_hop": (sliding_hop, f"WITH {EVENTS_SQL}, h AS (SELECT *, timestamp_ms // {HOUR} * {HOUR} - i * {HOUR} AS s FROM ev, range(6) t(i)) SELECT service_id, s AS window_start_ms, s + {6 * HOUR} AS window_end_ms, {AGG_SQL} FROM h GROUP BY 1, 2, 3"),
-    "metrics_unpivot": (metrics_unpivot, f"WITH {EVENTS_SQL}, g AS (SELECT service_id, timestamp_ms // {DAY} * {DAY} + {DAY} AS time, avg(cpu_percent) AS a, quantile_cont(latency_p99, 0.99) AS b, avg(error_rate) AS c, avg(request_rate) AS d FROM ev GROUP BY 1, 2) " + " UNION ALL ".join(f"SELECT time, service_id, '{m}' AS metric_name, round({c}, 6) AS value, false AS is_anomaly FROM g" for m, c in (("cpu_percent", "a"), ("latency_p99", "b"), ("error_rate", "c"), ("request_rate", "d")))),
-    "sliding_zscore": (sliding_zscore, f"WITH {Z_SQL} SELECT arrival_seq, n, round(z_cpu_percent, 3) AS z_cpu_percent, round(z_latency_p99, 3) AS z_latency_p99 FROM z"),
-    "zscore_anomalies": (zscore_anomalies, f"WITH {A_SQL} SELECT service_id, span_id, anomaly_type, round(z_score, 3) AS z_score, round(anomaly_score, 3) AS anomaly_score, severity, 'ZSCORE' AS model_used, timestamp_ms AS detected_at FROM an"),
+    "metrics_unpivot": (metrics_unpivot, f"WITH {EVENTS_SQL}, g AS (SELECT service_id, timestamp_ms // {DAY} * {DAY} + {DAY} AS time, avg(cpu_percent) AS a, quantile_cont(latency_p99, 0.99) AS b, avg(error_rate) AS c, avg(request_rate) AS d FROM ev GROUP BY 1, 2) " + " UNION ALL ".join(f"SELECT time, service_id, '{m}' AS metric_name, round({c} + 1e-9, 6) AS value, false AS is_anomaly FROM g" for m, c in (("cpu_percent", "a"), ("latency_p99", "b"), ("error_rate", "c"), ("request_rate", "d")))),
+    "sliding_zscore": (sliding_zscore, f"WITH {Z_SQL} SELECT arrival_seq, n, z_cpu_percent, z_latency_p99 FROM z"),
+    "zscore_anomalies": (zscore_anomalies, f"WITH {A_SQL} SELECT service_id, span_id, anomaly_type, z_score, round(anomaly_score, 6) AS anomaly_score, severity, 'ZSCORE' AS model_used, timestamp_ms AS detected_at FROM an"),
     "slide_throttle": (slide_throttle, _chain("SELECT *, service_id AS k FROM ev", ">=", 2 * HOUR) + " SELECT k AS service_id, arrival_seq, timestamp_ms FROM c WHERE fired"),
-    "detect_full": (detect_full, f"WITH RECURSIVE {A_SQL}, src AS (SELECT *, service_id AS k FROM ev), {_CHAIN.format(op='>=', gap=HOUR)} SELECT service_id, span_id, anomaly_type, round(z_score, 3) AS z_score, severity FROM an WHERE arrival_seq IN (SELECT arrival_seq FROM c WHERE fired)"),
+    "detect_full": (detect_full, f"WITH RECURSIVE {A_SQL}, src AS (SELECT *, service_id AS k FROM ev), {_CHAIN.format(op='>=', gap=HOUR)} SELECT service_id, span_id, anomaly_type, z_score, severity FROM an WHERE arrival_seq IN (SELECT arrival_seq FROM c WHERE fired)"),
     "rolling_sequence": (rolling_sequence, f"WITH {EVENTS_SQL} SELECT arrival_seq, count(*) OVER w AS n_buf, round(list_sum(list(cpu_percent) OVER w), 6) AS total, first_value(cpu_percent) OVER w AS oldest FROM ev WINDOW w AS {ROWS60}"),
     "feature_summary": (feature_summary, f"WITH {EVENTS_SQL}, b AS (SELECT * FROM ev) {SUMMARY_SQL.format(by='service_id')}"),
     "iforest_windows": (iforest_windows, f"WITH {EVENTS_SQL}, q AS (SELECT *, {NUMBERED} FROM ev), b AS (SELECT *, start // 60 AS block FROM q WHERE start // 60 * 60 < cnt - 60) {SUMMARY_SQL.format(by='service_id, block')}"),
@@ -315,10 +333,12 @@ REGISTRY: dict[str, tuple] = {
     "sigmoid_scores": (sigmoid_scores, f"WITH {EVENTS_SQL} SELECT arrival_seq, round(1 / (1 + exp(5 * (cpu_percent / 100 - 0.5))), 6) AS score, CASE greatest(abs(cpu_percent), abs(latency_p99), abs(error_rate), abs(request_rate)) WHEN abs(cpu_percent) THEN 'CPU_SPIKE' WHEN abs(latency_p99) THEN 'LATENCY_BURST' WHEN abs(error_rate) THEN 'ERROR_RATE_SPIKE' ELSE 'REQUEST_DROP' END AS anomaly_type FROM ev"),
     "model_counts": (model_counts, f"WITH {EVENTS_SQL}, q AS (SELECT *, {NUMBERED} FROM ev) SELECT service_id, CASE WHEN start >= 59 THEN 'TRANSFORMER' ELSE 'ISOLATION_FOREST' END AS model_used, count(*) AS n FROM q GROUP BY 1, 2"),
     "confusion_metrics": (confusion_metrics, f"WITH {EVENTS_SQL}, q AS (SELECT service_id, count(*) FILTER (arrival_seq % 5 = 0 AND cpu_percent > 50) AS tp, count(*) FILTER (arrival_seq % 5 <> 0 AND cpu_percent > 50) AS fp, count(*) FILTER (arrival_seq % 5 = 0 AND cpu_percent <= 50) AS fn, count(*) FILTER (arrival_seq % 5 <> 0 AND cpu_percent <= 50) AS tn FROM ev GROUP BY 1), p AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM q) SELECT service_id, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM p"),
-    "inject_clamp": (inject_clamp, f"WITH {EVENTS_SQL}, q AS (SELECT *, arrival_seq % 4 AS k, (arrival_seq % 10) / 10 + CAST(0.0137 AS DOUBLE) AS f FROM ev) SELECT arrival_seq, round(least(100.0, greatest(0.0, CASE WHEN k = 0 THEN least(100.0, cpu_percent * (2.5 + 1.5 * f)) ELSE cpu_percent END)), 4) AS cpu_percent, round(greatest(0.0, CASE WHEN k = 1 THEN latency_p99 * (5 + 10 * f) ELSE latency_p99 END), 4) AS latency_p99, round(least(1.0, greatest(0.0, CASE WHEN k = 2 THEN least(1.0, error_rate * (10 + 40 * f)) ELSE error_rate END)), 6) AS error_rate, round(greatest(0.0, CASE WHEN k = 3 THEN request_rate * (CAST(0.05 AS DOUBLE) + (CAST(0.2 AS DOUBLE) - CAST(0.05 AS DOUBLE)) * f) ELSE request_rate END), 4) AS request_rate FROM q"),
+    "inject_clamp": (inject_clamp, f"WITH {EVENTS_SQL}, q AS (SELECT *, arrival_seq % 4 AS k, (arrival_seq % 10) / 10 + CAST(0.01379131717 AS DOUBLE) AS f FROM ev) SELECT arrival_seq, round(least(100.0, greatest(0.0, CASE WHEN k = 0 THEN least(100.0, cpu_percent * (2.5 + 1.5 * f)) ELSE cpu_percent END)), 4) AS cpu_percent, round(greatest(0.0, CASE WHEN k = 1 THEN latency_p99 * (5 + 10 * f) ELSE latency_p99 END), 4) AS latency_p99, round(least(1.0, greatest(0.0, CASE WHEN k = 2 THEN least(1.0, error_rate * (10 + 40 * f)) ELSE error_rate END)), 6) AS error_rate, round(greatest(0.0, CASE WHEN k = 3 THEN request_rate * (CAST(0.05 AS DOUBLE) + (CAST(0.2 AS DOUBLE) - CAST(0.05 AS DOUBLE)) * f) ELSE request_rate END), 4) AS request_rate FROM q"),
     "cascade_bfs": (cascade_bfs, f"WITH {EDGES_SQL} SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM (SELECT src AS root, dst AS node, 1 AS depth FROM e UNION ALL SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src) WHERE root <> node GROUP BY 1, 2"),
     "components": (components, f"WITH RECURSIVE {EDGES_SQL}, u AS (SELECT src, dst FROM e WHERE src % 4 = dst % 4 UNION SELECT dst, src FROM e WHERE src % 4 = dst % 4), t AS (SELECT src AS node, src AS reached FROM u UNION SELECT t.node, u.dst FROM t JOIN u ON t.reached = u.src) SELECT node, min(reached) AS component FROM t GROUP BY 1"),
-    "topk_scores": (topk_scores, f"WITH {A_SQL}, q AS (SELECT service_id, round(anomaly_score, 3) AS anomaly_score, row_number() OVER (PARTITION BY service_id ORDER BY round(anomaly_score, 3) DESC, timestamp_ms, span_id) AS rank FROM an) SELECT service_id, rank, anomaly_score FROM q WHERE rank <= 3"),
+    "topk_scores": (topk_scores, f"WITH {A_SQL}, q AS (SELECT service_id, round(anomaly_score, 6) AS anomaly_score, row_number() OVER (PARTITION BY service_id ORDER BY round(anomaly_score, 6) DESC, timestamp_ms, span_id) AS rank FROM an) SELECT service_id, rank, anomaly_score FROM q WHERE rank <= 3"),
+    "ar1_filter": (ar1_filter, f"WITH RECURSIVE {EVENTS_SQL}, r AS (SELECT service_id, arrival_seq, cpu_percent, row_number() OVER (PARTITION BY service_id ORDER BY arrival_seq) AS rn FROM ev), c AS (SELECT service_id, rn, arrival_seq, cpu_percent AS x FROM r WHERE rn = 1 UNION ALL SELECT r.service_id, r.rn, r.arrival_seq, CAST(0.9 AS DOUBLE) * c.x + r.cpu_percent FROM r JOIN c ON r.service_id = c.service_id AND r.rn = c.rn + 1) SELECT arrival_seq, round(x + 1e-9, 6) AS x FROM c"),
+    "seasonal": (seasonal, f"WITH {EVENTS_SQL} SELECT arrival_seq, round(0.3 * sin(2 * pi() * arrival_seq / 500) + 1e-9, 6) AS load FROM ev"),
     "labelled_series": (labelled_series, None),
     "iforest_scores": (iforest_scores, None),
     "autoencoder_windows": (autoencoder_windows, None),
