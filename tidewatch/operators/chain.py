@@ -12,10 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_NEVER = -(1 << 62)  # a row without a time crosses no gap
+
 
 def greedy_chain(df: DataFrame, key: str, order: str, t: str, gap: int, strict: bool = False, out: str = "fired") -> DataFrame:
     """df with `out` (the row crossed the gap, or is its key's first) and `{out}_anchor` (the
@@ -24,26 +27,42 @@ def greedy_chain(df: DataFrame, key: str, order: str, t: str, gap: int, strict:
     included in the earlier).  `strict` crosses at > gap, else at >= gap."""
     cols = [c for c in df.columns]
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.BooleanType()), T.StructField(f"{out}_anchor", T.LongType()), T.StructField(f"{out}_no", T.LongType())])
+    side = "right" if strict else "left"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, anchor, number = object(), None, 0
         for b in batches:
-            keys = b.column(cols.index(key)).to_pylist()
-            times = b.column(cols.index(t)).to_pylist()
-            fired, anchors, numbers = [], [], []
-            for k, v in zip(keys, times):
-                if k != last:
-                    last, anchor, number = k, None, 0
-                numbers.append(number)
-                anchors.append(anchor)
-                if anchor is None:
-                    fired.append(True)
-                    anchor = v
-                elif v is not None and (v - anchor > gap if strict else v - anchor >= gap):
-                    fired.append(True)
-                    anchor, number = v, number + 1
-                else:
-                    fired.append(False)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fired, pa.bool_()), pa.array(anchors, pa.int64()), pa.array(np.array(numbers, np.int64))], names=[*cols, out, f"{out}_anchor", f"{out}_no"])
+            n = b.num_rows
+            if not n:
+                continue
+            keys = b.column(cols.index(key))
+            codes = pc.fill_null(keys.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            column = b.column(cols.index(t)).cast(pa.int64())
+            missing = column.is_null().to_numpy(zero_copy_only=False)
+            times = pc.fill_null(column, _NEVER).to_numpy(zero_copy_only=False)
+            fired, anchors, numbers = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            none = np.zeros(n, bool)
+            edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), n]
+            for lo, hi in zip(edges, edges[1:]):
+                own = keys[lo].as_py()
+                if own != last:
+                    last, anchor, number = own, None, 0
+                while lo < hi and anchor is None:  # until a row has a time, each is tested against none
+                    fired[lo], none[lo], numbers[lo] = True, True, number
+                    anchor = None if missing[lo] else int(times[lo])
+                    lo += 1
+                if lo == hi:
+                    continue
+                top = np.maximum.accumulate(times[lo:hi])
+                at = 0
+                while at < hi - lo:  # from anchor to anchor: what crosses is a running maximum
+                    to = at + int(np.searchsorted(top[at:], anchor + gap, side))
+                    end = min(to + 1, hi - lo)
+                    anchors[lo + at : lo + end], numbers[lo + at : lo + end] = anchor, number
+                    if to < hi - lo:
+                        fired[lo + to] = True
+                        anchor, number = int(times[lo + to]), number + 1
+                    at = end
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fired), pa.array(anchors, mask=none), pa.array(numbers)], names=[*cols, out, f"{out}_anchor", f"{out}_no"])
 
     return df.repartition(F.col(key)).sortWithinPartitions(key, order).mapInArrow(run, schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staged import staged
+
 
 def within_hops(edges: DataFrame, roots: DataFrame, hops: int = 2) -> DataFrame:
     """(root, node, depth): nodes at smallest depth 1 .. hops from each root over edges (src, dst);
@@ -18,24 +20,24 @@ def within_hops(edges: DataFrame, roots: DataFrame, hops: int = 2) -> DataFrame:
     return found.where("root <> node").groupBy("root", "node").agg(F.min("depth").alias("depth"))
 
 
-def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (src, dst) either way.
 
-    Labels spread by joins; each round is checkpointed in the cluster's folder, until no label
-    changes.  `rounds` stops a graph of larger diameter with an error."""
+    In each round a node takes the smallest label of its neighbours and then its label's label,
+    so paths of any length need few rounds; each round is a table in the cluster's folder (see
+    staged), and the last is the one that changes no label."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    both = both.union(both.select("src", F.col("src").alias("dst")).distinct()).union(both.select("dst", F.col("dst").alias("src")).distinct()).distinct()
-    labels = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
-    spark = edges.sparkSession
-    keep = (lambda df: df.checkpoint()) if spark.conf.get("spark.checkpoint.dir", None) else (lambda df: df)
-    labels = keep(labels)
-    for _ in range(rounds):
+    both = staged(both, "graph-edges")
+    labels = staged(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")), "graph-labels")
+    while True:
         near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        step = keep(labels.join(near, "node").select("node", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved")))
-        labels = step.select("node", "component")
-        if step.where("moved").isEmpty():
+        step = staged(labels.join(near, "node").select("node", F.least("component", "near").alias("next"), "component"), "graph-step")
+        jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
+        least = F.least("next", "far")
+        new = staged(step.join(jump, "next").select("node", least.alias("component"), (least < F.col("component")).alias("moved")), "graph-labels")
+        labels = new.select("node", "component")
+        if new.where("moved").isEmpty():
             return labels
-    raise ValueError("the graph's diameter is over `rounds`")
 
 
 def cascades(anomalies: DataFrame, edges: DataFrame, p: float = 0.3, inject: float = 0.8, hops: int = 2, seed: int = 1) -> DataFrame:

@@ -50,9 +50,9 @@ def numbered_blocks(df: DataFrame, key: str, order: str, length: int = 60) -> Da
 def summary(df: DataFrame, by: list[str], first: str = "cpu_percent", second: str = "latency_p99", error: str = "error_rate", request: str = "request_rate") -> DataFrame:
     """Seven features of a group: mean, population std, p95, p99 and maximum over both first
     metrics together, then mean error and mean request rate."""
-    pooled = df.select(*by, F.explode(F.array(first, second)).alias("x")).groupBy(*by).agg(F.avg("x").alias("f_mean"), F.stddev_pop("x").alias("f_std"), F.percentile("x", 0.95).alias("f_p95"), F.percentile("x", 0.99).alias("f_p99"), F.max("x").alias("f_max"))
-    means = df.groupBy(*by).agg(F.avg(error).alias("f_error"), F.avg(request).alias("f_request"))
-    return pooled.join(means, by)
+    rows = df.select(*by, error, request, F.posexplode(F.array(first, second)).alias("_at", "_x"))
+    mean = lambda c: F.avg(F.when(F.col("_at") == 0, F.col(c)))
+    return rows.groupBy(*by).agg(F.avg("_x").alias("f_mean"), F.stddev_pop("_x").alias("f_std"), F.percentile("_x", 0.95).alias("f_p95"), F.percentile("_x", 0.99).alias("f_p99"), F.max("_x").alias("f_max"), mean(error).alias("f_error"), mean(request).alias("f_request"))
 
 
 def normalised(df: DataFrame, train: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
