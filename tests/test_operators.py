@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import chain, dedup, sequence, tumbling, watermark, zscore
+from tidewatch.operators import chain, dedup, graph, sequence, tumbling, watermark, zscore
 from tidewatch.plans import catalog
 from tidewatch.sinks import tables
-from tidewatch.sources import normalize
+from tidewatch.sources import generator, kafka, normalize
 from tidewatch.streaming import stateful
 
 
@@ -118,3 +118,85 @@ def test_stream_equals_batch(spark, stream, tmp_path):
     assert sorted((r.span_id, r.n) for r in z) == sorted((r.span_id, r.n) for r in want)
     by = {r.span_id: r.z_cpu_percent for r in want}
     assert all(abs(r.z_cpu_percent - by[r.span_id]) < 1e-3 for r in z)
+
+
+def test_streaming_dedup_and_aligned_windows_equal_batch(spark, stream, tmp_path):
+    make, source = stream
+    by_user = lambda df: df.withColumn("span_id", (F.col("arrival_seq") % 7).cast("string"))
+    got = drained(stateful.dedup_ttl(by_user(make()), ttl_ms=catalog.DAY), "dedup", tmp_path)
+    want = dedup.ttl_by_id(by_user(source), "span_id", "arrival_seq", "timestamp_ms", catalog.DAY)
+    assert sorted(r.arrival_seq for r in got.collect()) == sorted(r.arrival_seq for r in want.collect())
+    assert want.count() < source.count()
+    windows = drained(stateful.aligned_windows(make(), catalog.DAY), "aligned", tmp_path)
+    rows = {(r.service_id, r.window_start_ms): (r.span_count, round(r.cpu_mean, 6)) for r in windows.collect()}
+    all_ = {(r.service_id, r.window_start_ms): (r.span_count, round(r.cpu_mean, 6)) for r in tumbling.aligned(source, catalog.DAY).collect()}
+    open_ = max(t for _, t in all_)  # what the watermark has not passed is not given out
+    assert rows == {k: v for k, v in all_.items() if k[1] < open_}
+
+
+def test_streaming_dedup_forgets(spark, tmp_path):
+    schema = "span_id string, arrival_seq long, timestamp_ms long, event_time timestamp"
+    make = lambda rows: spark.createDataFrame(rows, "span_id string, arrival_seq long, timestamp_ms long").withColumn("event_time", F.timestamp_millis("timestamp_ms"))
+    for k, rows in enumerate([[(f"s{i}", i, 1000 + i) for i in range(50)], [("x", 100, 10_000)], [("y", 101, 20_000)], [("s1", 102, 30_000)]]):
+        make(rows).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    df = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = stateful.dedup_ttl(df, ttl_ms=1000, lag_ms=1)
+    query = out.writeStream.outputMode("append").foreachBatch(tables.parquet_batches(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) >= 50 and held[-1] <= 2
+    assert sorted(r.arrival_seq for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [*range(50), 100, 101, 102]
+
+
+def test_kafka_rows_to_events(spark):
+    body = '{"service_id":"s","span_id":"a","timestamp":1,"metrics":{"cpu_percent":2.5}}'
+    good, bad = kafka.events_of(frame(spark, [(body.encode(), 7), (b"no", 8)], "value binary, offset long"))
+    assert (good.first().arrival_seq, good.first().span_id, bad.first().reason) == (7, "a", "malformed")
+    options = kafka.source_options("h:9092", group="g", maxOffsetsPerTrigger="100")
+    assert options["subscribe"] == "raw-telemetry" and options["startingOffsets"] == "latest" and options["kafka.group.id"] == "g" and options["maxOffsetsPerTrigger"] == "100"
+
+
+def test_validated_and_batches(spark):
+    rows = [("t", "p", "s", 1, 1.0, 2.0, 0.1, 3.0, None, True), ("t", None, "s", 1, 1.0, None, 0.1, 3.0, "X", False)]
+    good, bad = normalize.validated(frame(spark, rows, "trace_id string, span_id string, service_id string, timestamp long, cpu_percent double, latency_p99 double, error_rate double, request_rate double, anomaly_type string, is_anomaly boolean"))
+    assert [r.span_id for r in good.collect()] == ["p"] and [r.reason for r in bad.collect()] == ["missing span_id, latency_p99"]
+    pair = "struct<name:string,value:double>"
+    batch = frame(spark, [([("t", "p", "s", 5, [("cpu_percent", 4.0), ("cpu_percent", 9.0)], "", False), ("t", "q", "s", 6, [], "X", True)],)], f"spans array<struct<trace_id:string,span_id:string,service_id:string,timestamp:long,metrics:array<{pair}>,anomaly_type:string,is_anomaly:boolean>>")
+    assert [(r.span_id, r.cpu_percent, r.latency_p99, r.anomaly_type) for r in normalize.from_batches(batch).collect()] == [("p", 4.0, 0.0, None), ("q", 0.0, 0.0, "X")]
+
+
+def test_components_of_a_long_path(spark):
+    edges = frame(spark, [(i, i + 1) for i in range(0, 120)] + [(500, 501)], "src long, dst long")
+    got = {r.node: r.component for r in graph.connected(edges).collect()}
+    assert got == {i: 0 for i in range(121)} | {500: 500, 501: 500}
+
+
+def test_chain_over_keys_batches_and_missing_times(spark):
+    rows = [("a", 0, None), ("a", 1, None), ("a", 2, 10), ("a", 3, None), ("a", 4, 5), ("a", 5, 70), ("a", 6, 69), ("a", 7, 130), ("b", 0, 3), ("b", 1, 62), ("b", 2, 63), (None, 0, 1), (None, 1, 100)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    got = {(r.k, r.o): (r.fired, r.fired_anchor, r.fired_no) for r in chain.greedy_chain(frame(spark, rows, "k string, o long, t long"), "k", "o", "t", 60).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [got["a", o] for o in range(8)] == [(True, None, 0), (True, None, 0), (True, None, 0), (False, 10, 0), (False, 10, 0), (True, 10, 0), (False, 70, 1), (True, 70, 1)]
+    assert [got["b", o] for o in range(3)] == [(True, None, 0), (False, 3, 0), (True, 3, 0)]
+    assert got[None, 1] == (True, 1, 0)
+
+
+def test_series_bursts_change_one_metric_and_injection_rate(spark):
+    rows = generator.series(spark, 4, 2000).toPandas()
+    share = rows["is_anomaly"].mean()
+    assert 0.02 < share < 0.09 and not rows[rows["step"] >= 1999]["is_anomaly"].all()
+    calm = rows[~rows["is_anomaly"]]
+    assert abs(calm["cpu_percent"].mean() - 40) < 3 and abs(calm["latency_p99"].mean() - 120) < 9 and abs(calm["request_rate"].mean() - 200) < 15
+    hit = rows[rows["is_anomaly"]]
+    odd = (hit["cpu_percent"] > 65).astype(int) + (hit["latency_p99"] > 200) + (hit["error_rate"] > 0.08) + (hit["request_rate"] < 90)
+    assert (odd <= 1).mean() > 0.95 and (odd == 1).mean() > 0.8
+    spans = spark.range(4000).selectExpr("cast(id as string) span_id", "10.0D cpu_percent", "10.0D latency_p99", "0.001D error_rate", "10.0D request_rate")
+    got = generator.maybe_injected(spans, 0.05).where("is_anomaly").groupBy("anomaly_type").count().collect()
+    assert len(got) == 4 and 140 < sum(r["count"] for r in got) < 260
+
+
+def test_anomaly_table_replaces_a_repeated_batch(spark, tmp_path):
+    rows = frame(spark, [("s", "CPU_SPIKE", 3, "ZSCORE", 1000)], "service_id string, anomaly_type string, severity int, model_used string, detected_at long")
+    for _ in range(2):
+        tables.anomaly_table(rows, f"{tmp_path}/a", batch_id=4)
+    assert spark.read.parquet(f"{tmp_path}/a").count() == 1

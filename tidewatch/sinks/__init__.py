@@ -1 +1 @@
-"""Sinks: idempotent tables by micro-batch, Kafka, dead letters."""
+"""Sinks: tables by micro-batch (replaced when a batch is run again), appending tables, Kafka, dead letters."""

@@ -18,19 +18,30 @@ def parquet_batches(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def metrics_table(rows: DataFrame, path: str) -> None:
-    """Long metric rows (see operators.tumbling.unpivoted), partitioned by date."""
-    rows.withColumn("date", F.to_date("time")).write.mode("append").partitionBy("date").parquet(path)
+def _stored(rows: DataFrame, path: str, batch_id: int | None, by: list[str]) -> None:
+    """Append rows, or as a micro-batch: replace the batch's own partitions."""
+    if batch_id is None:
+        rows.write.mode("append").partitionBy(*by).parquet(path)
+    else:
+        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/batch_id={batch_id}")
 
 
-def anomaly_table(rows: DataFrame, path: str) -> None:
-    """Anomalies as stored: event time, unresolved; severity must be 1 to 5."""
+def metrics_table(rows: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """Long metric rows (see operators.tumbling.unpivoted), partitioned by date.  With a
+    batch_id a repeated micro-batch replaces its rows; without, rows are appended."""
+    _stored(rows.withColumn("date", F.to_date("time")), path, batch_id, ["date"])
+
+
+def anomaly_table(rows: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """Anomalies as stored: event time, unresolved; severity must be 1 to 5.  With a batch_id a
+    repeated micro-batch replaces its rows; without, rows are appended."""
     checked = rows.withColumn("severity", F.when(F.col("severity").between(1, 5), F.col("severity")).otherwise(F.raise_error(F.lit("severity out of range"))))
-    checked.select(F.uuid().alias("id"), F.timestamp_millis("detected_at").alias("detected_at"), "service_id", "anomaly_type", "severity", "model_used", F.lit(False).alias("resolved")).write.mode("append").parquet(path)
+    _stored(checked.select(F.uuid().alias("id"), F.timestamp_millis("detected_at").alias("detected_at"), "service_id", "anomaly_type", "severity", "model_used", F.lit(False).alias("resolved")), path, batch_id, [])
 
 
 def jdbc_batches(url: str, target: str, **options: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function for a JDBC table, in batched multi-row inserts."""
+    """A foreachBatch function for a JDBC table, in batched multi-row inserts; a micro-batch that
+    is run again is inserted again, unless the table has a key that refuses it."""
 
     def write(df: DataFrame, batch_id: int) -> None:
         df.write.format("jdbc").options(**({"url": url, "dbtable": target, "batchsize": "1000"} | options)).mode("append").save()

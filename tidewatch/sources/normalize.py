@@ -14,7 +14,7 @@ from ..config import METRICS
 from ..schema import SPAN_JSON, SPAN_PAIRS
 
 
-def _canonical(df: DataFrame, metric: dict[str, Column], ms: Column, anomaly_type: Column) -> DataFrame:
+def _canonical(df: DataFrame, metric: dict[str, Column], ms: Column, anomaly_type: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     return df.select(
         text("trace_id").alias("trace_id"),
@@ -24,12 +24,13 @@ def _canonical(df: DataFrame, metric: dict[str, Column], ms: Column, anomaly_typ
         *[F.coalesce(metric[m], F.lit(0.0)).alias(m) for m in METRICS],
         anomaly_type.alias("anomaly_type"),
         F.coalesce(F.col("is_anomaly"), F.lit(False)).alias("is_anomaly"),
+        *keep,
     ).withColumn("event_time", F.timestamp_millis("timestamp_ms"))
 
 
-def from_nested(df: DataFrame) -> DataFrame:
-    """Spans with a struct of metrics."""
-    return _canonical(df, {m: F.col(f"metrics.{m}") for m in METRICS}, F.col("timestamp"), F.col("anomaly_type"))
+def from_nested(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Spans with a struct of metrics; columns `keep` stay."""
+    return _canonical(df, {m: F.col(f"metrics.{m}") for m in METRICS}, F.col("timestamp"), F.col("anomaly_type"), keep)
 
 
 def first_metric(pairs: Column, name: str) -> Column:
@@ -41,9 +42,9 @@ def empty_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-def from_pairs(df: DataFrame) -> DataFrame:
+def from_pairs(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Spans with name/value pairs; an empty anomaly_type means none."""
-    return _canonical(df, {m: first_metric(F.col("metrics"), m) for m in METRICS}, F.col("timestamp"), empty_to_null(F.col("anomaly_type")))
+    return _canonical(df, {m: first_metric(F.col("metrics"), m) for m in METRICS}, F.col("timestamp"), empty_to_null(F.col("anomaly_type")), keep)
 
 
 def from_flat(df: DataFrame) -> DataFrame:
@@ -56,9 +57,10 @@ def from_batches(df: DataFrame) -> DataFrame:
     return from_pairs(df.select(F.explode("spans").alias("s")).select("s.*"))
 
 
-def parse_json(df: DataFrame, payload: str = "value", pairs: bool = False) -> tuple[DataFrame, DataFrame]:
+def parse_json(df: DataFrame, payload: str = "value", pairs: bool = False, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(events, dead letters) from JSON payloads: a payload that is no JSON object, or lacks
-    service_id or timestamp, goes to the dead letters with its text and a reason."""
+    service_id or timestamp, goes to the dead letters with its text and a reason.  Columns `keep`
+    stay beside the events."""
     schema = SPAN_PAIRS if pairs else SPAN_JSON
     text = F.col(payload).cast("string")
     parsed = df.withColumn("_s", F.from_json(text, schema)).withColumn("_map", F.from_json(text, "map<string,string>"))
@@ -68,9 +70,9 @@ def parse_json(df: DataFrame, payload: str = "value", pairs: bool = False) -> tu
         .when(F.col("_s.timestamp").isNull(), "no timestamp")
     )
     parsed = parsed.withColumn("_reason", reason)
-    good = parsed.where("_reason is null").select("_s.*")
+    good = parsed.where("_reason is null").select("_s.*", *keep)
     bad = parsed.where("_reason is not null").select(text.alias("payload"), F.col("_reason").alias("reason"))
-    return (from_pairs(good) if pairs else from_nested(good)), bad
+    return (from_pairs if pairs else from_nested)(good, keep), bad
 
 
 def validated(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -21,24 +21,32 @@ def aligned_windows(events: DataFrame, size_ms: int = 60_000, lag_ms: int = 5_00
     return out.select("service_id", F.unix_millis("w.start").alias("window_start_ms"), F.unix_millis("w.end").alias("window_end_ms"), *[c for c in out.columns if c not in ("service_id", "w")])
 
 
-def dedup_ttl(events: DataFrame, key: str = "span_id", ttl_ms: int = 600_000) -> DataFrame:
+def dedup_ttl(events: DataFrame, key: str = "span_id", ttl_ms: int = 600_000, lag_ms: int = 5_000, order: str = "arrival_seq") -> DataFrame:
     """The first event of each id; an id is forgotten ttl_ms after it was first seen, by event
-    time in arrival order, and duplicates don't refresh it."""
-    schema = events.schema
+    time in arrival order (in the order given, if there is no column `order`), and duplicates
+    don't refresh it.  Its state is removed once the watermark (`lag_ms` behind the latest event)
+    has passed that time, so state holds the ids of one time to live, no more."""
+    schema, given = events.schema, order in events.columns
 
     def admit(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         first = state.get[0] if state.exists else None
-        for pdf in frames:
-            keep = []
-            for t in pdf["timestamp_ms"]:
-                ok = first is None or t - first > ttl_ms
-                keep.append(ok)
-                if ok:
-                    first = int(t)
-            yield pdf[keep]
+        rows = pd.concat(list(frames))
+        rows = rows.sort_values(order, kind="stable") if given else rows
+        keep = []
+        for t in rows["timestamp_ms"]:
+            ok = first is None or t - first > ttl_ms
+            keep.append(ok)
+            if ok:
+                first = int(t)
         state.update((first,))
+        state.setTimeoutTimestamp(max(first + ttl_ms + 1, state.getCurrentWatermarkMs() + 1))
+        yield rows[keep]
 
-    return events.groupBy(key).applyInPandasWithState(admit, schema, "first long", "append", GroupStateTimeout.NoTimeout)
+    late = events.withWatermark("event_time", f"{lag_ms} milliseconds")
+    return late.groupBy(key).applyInPandasWithState(admit, schema, "first long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def anchored_windows(events: DataFrame, size_ms: int = 60_000, order: str = "arrival_seq") -> DataFrame:
