@@ -126,7 +126,9 @@ def mixture(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, total: float = 1.
     slots_ = targets.agg(F.sum("quota")).first()[0] or 0
     runs = dealt_slots(targets, max(1, -(-int(slots_) // shard_slots)), seed)
     chunk = 1 << 14
-    runs = runs.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {chunk}")))).repartition("shard", "source_no", "c")
+    runs = runs.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {chunk}"))))
+    # By number, as the few rows here become many slots: about 2**17 a task.
+    runs = runs.repartition(max(1, min(50_000, int(slots_) >> 17)), "shard", "source_no", "c")
     lo = F.col("first") + F.col("c") * chunk
     runs = runs.select("shard", "source_no", F.explode(F.sequence(lo, F.least(lo + chunk, F.col("first") + F.col("n")) - 1)).alias("slot"))
     runs = runs.join(targets.select("source_no", "blocks", "full", "quota", "last"), "source_no")
