@@ -117,7 +117,10 @@ def passages(rows: DataFrame, least: float, known: dict[str, str]) -> DataFrame:
     spark = rows.sparkSession
     wanted = templates(spark, known).withColumn("t_places", F.greatest(F.size(F.split(normalised(F.col("wording")), " ", -1)) - 1, F.lit(1))).drop("wording")
     low = least / (2 - least)
-    plain = rows.where("text is not null").select("row", normalised(F.col("text")).alias("plain")).where("plain <> ''")
+    # By number: little text, much work, so splits by bytes would leave few tasks.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = rows.where("text is not null").repartition(parts, "row")
+    plain = held.select("row", normalised(F.col("text")).alias("plain")).where("plain <> ''")
     words = plain.select("row", F.split("plain", " ", -1).alias("w"))
     n = F.size("w")
     pairs = F.zip_with(F.slice("w", 1, n - 1), F.slice("w", 2, n - 1), lambda a, b: F.concat_ws(" ", a, b))
