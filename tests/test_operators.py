@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import chain, dedup, graph, sequence, tumbling, watermark, zscore
+from tidewatch.operators import chain, dedup, graph, numbering, sequence, tumbling, watermark, zscore
 from tidewatch.plans import catalog
 from tidewatch.sinks import tables
 from tidewatch.sources import generator, kafka, normalize
@@ -200,3 +200,35 @@ def test_anomaly_table_replaces_a_repeated_batch(spark, tmp_path):
     for _ in range(2):
         tables.anomaly_table(rows, f"{tmp_path}/a", batch_id=4)
     assert spark.read.parquet(f"{tmp_path}/a").count() == 1
+
+
+def test_row_windows_over_blocks_equal_those_over_whole_keys(spark):
+    """A hot key, a key of few rows, a null key and one null order; ranges of few and of many rows."""
+    keys = ["hot"] * 37 + ["few"] * 4 + [None] * 9
+    rows = [(k, None if i == 5 else 3 * i * i, float(i * 7 % 11), i % 6 == 0) for i, k in enumerate(keys)]
+    df = frame(spark, rows, "k string, o long, x double, f boolean")
+    groups = {}
+    for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0)):
+        groups.setdefault(r[0], []).append(r)
+    n = 5
+    for width in (1, 3, 40, 1000):
+        own = lambda out, *cols: sorted((tuple(r[c] for c in cols) for r in out.collect()), key=str)
+        got = numbering.numbered(df, "k", "o", width)
+        assert own(got, "k", "o", "_rn", "_n") == sorted(((k, r[1], i, len(g)) for k, g in groups.items() for i, r in enumerate(g)), key=str)
+        at = [(k, g, i) for k, g in groups.items() for i in range(len(g))]
+        starts = [(k, g, i) for k, g, i in at if i < len(g) - n]
+        assert own(sequence.rolling(df, "k", "o", F.col("x"), n, width=width), "o", "sequence") == sorted(((g[i][1], [r[2] for r in g[max(0, i - n + 1) : i + 1]]) for _, g, i in at), key=str)
+        assert own(sequence.training_windows(df, "k", "o", F.col("x"), n, width=width), "k", "start", "sequence") == sorted(((k, i, [r[2] for r in g[i : i + n]]) for k, g, i in starts), key=str)
+        assert own(sequence.label_windows(df, "k", "o", "f", n, width=width), "k", "start", "label") == sorted(((k, i, any(r[3] for r in g[i : i + n])) for k, g, i in starts), key=str)
+        assert own(sequence.trailing_label(df, "k", "o", "f", n, width=width), "o", "label") == sorted(((g[i][1], any(r[3] for r in g[max(0, i - n + 1) : i + 1])) for _, g, i in at), key=str)
+        assert own(sequence.debounced(df, "k", "o", "x", 3.0, 2, width=width), "o", "flag") == sorted(((g[i][1], i > 0 and g[i][2] > 3 and g[i - 1][2] > 3) for _, g, i in at), key=str)
+    with pytest.raises(ValueError):
+        numbering.numbered(df, "x", "k")
+
+
+def test_a_gap_resets_the_debouncer(spark):
+    df = frame(spark, [("a", i, t, 9.0) for i, t in enumerate((0, 10, 500, 510))], "k string, o long, t long, e double").coalesce(1)
+    out = sequence.sessions(df, "k", "o", "t", 100)
+    assert [r.session for r in out.orderBy("o").collect()] == [0, 0, 1, 1]
+    out = sequence.debounced(out.withColumn("ks", F.concat_ws("/", "k", "session")), "ks", "o", "e", 5.0, 2)
+    assert [r.flag for r in out.orderBy("o").collect()] == [False, True, False, True]

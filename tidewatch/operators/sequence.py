@@ -5,45 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import METRICS
+from ..config import DEFAULTS, METRICS
+from .numbering import WIDTH, blocks, numbered
 
 
 def features(metrics: tuple[str, ...] = METRICS) -> Column:
     return F.array(*[F.col(m).cast("double") for m in metrics])
 
 
-def rolling(df: DataFrame, key: str, order: str, value: Column, length: int = 60, out: str = "sequence") -> DataFrame:
-    """df with `out`, the last `length` values of the key (this row's the last), and n_buf."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-(length - 1), 0)
-    return df.withColumn(out, F.collect_list(value).over(w)).withColumn("n_buf", F.size(out))
+def rolling(df: DataFrame, key: str, order: str, value: Column, length: int = DEFAULTS.sequence_length, out: str = "sequence", width: int = WIDTH) -> DataFrame:
+    """df with `out`, the last `length` values of the key (this row's the last), and n_buf.
 
+    Here and below, `order` is a number and a key's rows are dealt in ranges of `width`."""
+    rows, w = blocks(numbered(df, key, order, width), key, length, width=width)
+    rows = rows.withColumn(out, F.collect_list(value).over(w)).where("_own")
+    return rows.select(*[c for c in df.columns if c != out], out).withColumn("n_buf", F.size(out))
 
-def training_windows(df: DataFrame, key: str, order: str, value: Column, length: int = 60) -> DataFrame:
+
+def training_windows(df: DataFrame, key: str, order: str, value: Column, length: int = DEFAULTS.sequence_length, width: int = WIDTH) -> DataFrame:
     """Key, start (0-based row) and the `length` values from there, at stride 1; starts lie below
     rows - length, so the last full window is left out."""
-    w = Window.partitionBy(key).orderBy(order)
-    ahead = w.rowsBetween(0, length - 1)
-    every = Window.partitionBy(key)
-    rows = df.withColumns({"start": F.row_number().over(w) - 1, "sequence": F.collect_list(value).over(ahead), "_n": F.count(F.lit(1)).over(every)})
-    return rows.where(F.col("start") < F.col("_n") - length).select(key, "start", "sequence")
+    rows, w = blocks(numbered(df, key, order, width), key, length, True, width)
+    rows = rows.withColumn("sequence", F.collect_list(value).over(w)).where(F.col("_own") & (F.col("_rn") < F.col("_n") - length))
+    return rows.select(key, F.col("_rn").alias("start"), "sequence")
 
 
-def label_windows(df: DataFrame, key: str, order: str, flag: str, length: int = 60) -> DataFrame:
+def label_windows(df: DataFrame, key: str, order: str, flag: str, length: int = DEFAULTS.sequence_length, width: int = WIDTH) -> DataFrame:
     """Key, start and whether any of the window's rows is flagged, for training_windows' starts."""
-    w = Window.partitionBy(key).orderBy(order)
-    rows = df.withColumns({"start": F.row_number().over(w) - 1, "label": F.max(flag).over(w.rowsBetween(0, length - 1)), "_n": F.count(F.lit(1)).over(Window.partitionBy(key))})
-    return rows.where(F.col("start") < F.col("_n") - length).select(key, "start", "label")
+    rows, w = blocks(numbered(df, key, order, width), key, length, True, width)
+    rows = rows.withColumn("label", F.max(flag).over(w)).where(F.col("_own") & (F.col("_rn") < F.col("_n") - length))
+    return rows.select(key, F.col("_rn").alias("start"), "label")
 
 
-def trailing_label(df: DataFrame, key: str, order: str, flag: str, length: int = 60) -> DataFrame:
+def trailing_label(df: DataFrame, key: str, order: str, flag: str, length: int = DEFAULTS.sequence_length, width: int = WIDTH) -> DataFrame:
     """df with label: any of the last `length` rows is flagged (fewer at the start)."""
-    return df.withColumn("label", F.max(flag).over(Window.partitionBy(key).orderBy(order).rowsBetween(-(length - 1), 0)))
+    rows, w = blocks(numbered(df, key, order, width), key, length, width=width)
+    return rows.withColumn("label", F.max(flag).over(w)).where("_own").select(*[c for c in df.columns if c != "label"], "label")
 
 
-def numbered_blocks(df: DataFrame, key: str, order: str, length: int = 60) -> DataFrame:
+def numbered_blocks(df: DataFrame, key: str, order: str, length: int = DEFAULTS.sequence_length, width: int = WIDTH) -> DataFrame:
     """Rows of non-overlapping windows, with `block`; starts lie below rows - length."""
-    rows = df.withColumns({"_rn": F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(key))})
-    rows = rows.withColumn("block", F.floor(F.col("_rn") / length))
+    rows = numbered(df, key, order, width).withColumn("block", F.floor(F.col("_rn") / length))
     return rows.where(F.col("block") * length < F.col("_n") - length).drop("_rn", "_n")
 
 
@@ -62,23 +64,24 @@ def normalised(df: DataFrame, train: DataFrame, metrics: tuple[str, ...] = METRI
     return out.withColumns({m: (F.col(m) - F.col(f"_m_{m}")) / (F.col(f"_s_{m}") + 1e-9) for m in metrics}).select(*df.columns)
 
 
-def chronological_split(df: DataFrame, key: str, order: str, validation: float = 0.2) -> DataFrame:
+def chronological_split(df: DataFrame, key: str, order: str, validation: float = 0.2, width: int = WIDTH) -> DataFrame:
     """df with `part`: the first floor(rows * (1 - validation)) rows of a key are train, others val."""
-    rows = df.withColumns({"_rn": F.row_number().over(Window.partitionBy(key).orderBy(order)), "_n": F.count(F.lit(1)).over(Window.partitionBy(key))})
-    return rows.withColumn("part", F.when(F.col("_rn") <= F.floor(F.col("_n") * (1 - validation)), "train").otherwise("val")).drop("_rn", "_n")
+    train = F.col("_rn") < F.floor(F.col("_n") * (1 - validation))
+    return numbered(df, key, order, width).withColumn("part", F.when(train, "train").otherwise("val")).drop("_rn", "_n")
 
 
-def threshold(errors: DataFrame, error: str = "error", sigma: float = 3.0) -> DataFrame:
+def threshold(errors: DataFrame, error: str = "error", sigma: float = DEFAULTS.sigma) -> DataFrame:
     """One row: mean, population std and mean + sigma * std of errors."""
     return errors.agg(F.avg(error).alias("mean"), F.stddev_pop(error).alias("std")).withColumn("threshold", F.col("mean") + sigma * F.col("std"))
 
 
-def debounced(df: DataFrame, key: str, order: str, error: str, limit: Column | float, persistence: int = 2, out: str = "flag") -> DataFrame:
+def debounced(df: DataFrame, key: str, order: str, error: str, limit: Column | float, persistence: int = DEFAULTS.persistence, out: str = "flag", width: int = WIDTH) -> DataFrame:
     """df with `out`: this and the persistence-1 rows before all exist and are over the limit."""
     limit = limit if isinstance(limit, Column) else F.lit(limit)
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-(persistence - 1), 0)
     over = F.coalesce(F.col(error) > limit, F.lit(False)).cast("int")
-    return df.withColumn(out, (F.count(F.lit(1)).over(w) == persistence) & (F.min(over).over(w) == 1))
+    rows, w = blocks(numbered(df, key, order, width).withColumn("_over", over), key, persistence, width=width)
+    rows = rows.withColumn(out, (F.count(F.lit(1)).over(w) == persistence) & (F.min("_over").over(w) == 1))
+    return rows.where("_own").select(*[c for c in df.columns if c != out], out)
 
 
 def sessions(df: DataFrame, key: str, order: str, t: str, gap_ms: int) -> DataFrame:
@@ -103,7 +106,7 @@ def argmax_type(vector: Column, types: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(t) for t in types]), F.array_position(size, F.array_max(size)).cast("int"))
 
 
-def routed(df: DataFrame, length: int = 60, n_buf: str = "n_buf") -> DataFrame:
+def routed(df: DataFrame, length: int = DEFAULTS.sequence_length, n_buf: str = "n_buf") -> DataFrame:
     """df with model_used: the sequence model once the buffer is full, the forest before."""
     return df.withColumn("model_used", F.when(F.col(n_buf) == length, "TRANSFORMER").otherwise("ISOLATION_FOREST"))
 
