@@ -1,11 +1,13 @@
+import shutil
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.models import autodiff as ad
 from tidewatch.models import autoencoders as ae
-from tidewatch.models import forest, gateway
-from tidewatch.operators import granger
+from tidewatch.models import artefacts, evaluation, forest, gateway
+from tidewatch.operators import granger, sequence
 from tidewatch.plans import catalog
 from tidewatch.sources import generator
 from tidewatch.streaming import stateful
@@ -177,3 +179,65 @@ def test_autoencoder_query_trains_with_the_operators_parameters(spark, data, mon
     with pytest.raises(InterruptedError):
         catalog.autoencoder_windows(spark, f"{data}/sf0.001")
     assert asked == {}
+
+
+def test_gateway_kept_and_loaded(spark, tmp_path):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(80, 60, 4))
+    fitted = ae.Fitted(ae.Linear().fit(x), np.zeros(4), np.ones(4), 0.7, 0.1, 0.2)
+    small = ae.Shape(length=60, width=8, heads=2, layers=1, feed=8, decoder=(8, 8))
+    deep = ae.Fitted(ae.Transformer(small), np.zeros(4), np.ones(4), 0.7, 0.1, 0.2)
+    grown = forest.train(spark.createDataFrame([(float(v),) for v in r.normal(size=200)], "x double"), ["x"], trees=5, per_tree=32)
+    for i, model in enumerate((fitted, deep)):
+        artefacts.save(spark, f"{tmp_path}/{i}", gateway.Gateway(model, grown))
+        got = artefacts.load(spark, f"{tmp_path}/{i}")
+        assert np.array_equal(got.sequence.errors(x), model.errors(x))
+        assert (got.sequence.threshold, got.sequence.mean_error, got.sequence.std_error) == (0.7, 0.1, 0.2)
+        points = r.normal(size=(50, 1))
+        assert np.array_equal(got.forest.decisions(points), grown.decisions(points))
+    assert artefacts.threshold(spark, f"{tmp_path}/0") == {"mean": 0.1, "std": 0.2, "threshold": 0.7}
+
+
+def test_missing_artefacts_have_defaults(spark, tmp_path):
+    fitted = ae.Fitted(ae.Linear().fit(np.random.default_rng(0).normal(size=(20, 60, 4))), np.zeros(4), np.ones(4), 0.7, 0.1, 0.2)
+    artefacts.save(spark, str(tmp_path), gateway.Gateway(fitted, None))
+    assert artefacts.load(spark, str(tmp_path)).forest is None
+    shutil.rmtree(tmp_path / "threshold")
+    assert artefacts.load(spark, str(tmp_path)).sequence.threshold == 1.0
+    assert artefacts.threshold(spark, str(tmp_path)) == {"mean": 0.05, "std": 0.02, "threshold": 0.11}
+    shutil.rmtree(tmp_path / "normalisation")
+    assert artefacts.load(spark, str(tmp_path)).sequence is None
+
+
+def test_replay_and_sweep_against_one_at_a_time(spark):
+    length, n = 60, 90
+    r = np.random.default_rng(1)
+    x = r.normal(size=(2, n, 4))
+    fitted = ae.Fitted(ae.Linear(components=3).fit(r.normal(size=(30, length, 4))), np.zeros(4), np.ones(4), 1.0, 0.0, 0.0)
+    rows = [(f"s{k}", i, *map(float, x[k, i]), i == 70) for k in range(2) for i in range(n)]
+    df = spark.createDataFrame(rows, "service_id string, step long, cpu_percent double, latency_p99 double, error_rate double, request_rate double, is_anomaly boolean")
+    want = {(f"s{k}", i): (fitted.errors(x[k][None, i : i + length])[0], i <= 70 < i + length) for k in range(2) for i in range(n - length)}
+    trace = evaluation.replay(df, fitted, "service_id", "step", "is_anomaly")
+    got = {(r.service_id, r.start): (r.error, r.truth) for r in trace.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-9 for k in want)
+    limit = float(np.median([e for e, _ in want.values()]))
+    for row in evaluation.sweep(trace, "service_id", "start", "error", "truth", limit, (1, 3)).collect():
+        counts = dict.fromkeys(("tp", "fp", "fn", "tn"), 0)
+        for k in range(2):
+            streak = 0
+            for i in range(n - length):
+                e, truth = want[(f"s{k}", i)]
+                streak = streak + 1 if e > limit else 0
+                counts[("tp" if truth else "fp") if streak >= row.persistence else ("fn" if truth else "tn")] += 1
+        assert {c: row[c] for c in counts} == counts
+
+
+def test_evaluation_replay_counts_every_window_for_each_persistence(spark, data):
+    """The later fifth of a service's rows (400 or so on sf0.01) gives rows - 60 windows."""
+    rows = sequence.chronological_split(catalog._events(spark, f"{data}/sf0.01"), "service_id", "arrival_seq").where("part = 'val'")
+    windows = sum(max(0, r["count"] - 60) for r in rows.groupBy("service_id").count().collect())
+    got = catalog.evaluation_replay(spark, f"{data}/sf0.01").orderBy("persistence").collect()
+    assert [r.persistence for r in got] == [1, 2, 3, 4, 5]
+    assert all(r.tp + r.fp + r.fn + r.tn == windows > 0 for r in got)
+    assert all(a.tp + a.fp >= b.tp + b.fp for a, b in zip(got, got[1:]))

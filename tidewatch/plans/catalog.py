@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..models import autoencoders, forest, gateway
+from ..models import autoencoders, evaluation, forest, gateway
 from ..operators import chain, dedup, granger, graph, sequence, tumbling, watermark, zscore
 from ..sources import generator, normalize
 
@@ -272,6 +272,29 @@ def granger_pairs(spark, sf_dir):
     return granger.tests(hours, pairs, "service_id", "slot", "cpu").withColumns({"f_stat": F.round("f_stat", 4), "p_value": F.round("p_value", 4)})
 
 
+RATIOS = ("precision", "recall", "f1")
+
+
+def debounce_sweep(spark, sf_dir):
+    rows = _events(spark, sf_dir).withColumn("truth", F.col("arrival_seq") % 5 == 0)
+    return _round(evaluation.sweep(rows, "service_id", "arrival_seq", "cpu_percent", "truth", 60.0), *RATIOS)
+
+
+def error_by_class(spark, sf_dir):
+    rows = _events(spark, sf_dir).withColumn("label", F.col("arrival_seq") % 5 == 0)
+    return _settled(sequence.error_by_class(rows, "label", "cpu_percent", 60.0), "mean_error")
+
+
+def evaluation_replay(spark, sf_dir):
+    """A linear autoencoder, fitted on the table's training part, judged on its later rows with
+    injected anomalies."""
+    rows = sequence.chronological_split(_events(spark, sf_dir), "service_id", "arrival_seq")
+    fitted = autoencoders.fit(autoencoders.Linear(), rows.where("part = 'train'"), None, "service_id", "arrival_seq")
+    judged = generator.maybe_injected(rows.where("part = 'val'"), 0.01)
+    trace = evaluation.replay(judged, fitted, "service_id", "arrival_seq", "is_anomaly")
+    return _round(evaluation.sweep(trace, "service_id", "start", "error", "truth", fitted.threshold), *RATIOS)
+
+
 _CHAIN = """
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY arrival_seq) AS rn FROM src),
 c AS (SELECT k, rn, arrival_seq, timestamp_ms, timestamp_ms AS anchor, true AS fired, CAST(NULL AS BIGINT) AS tested, CAST(0 AS BIGINT) AS no FROM r WHERE rn = 1
@@ -333,6 +356,9 @@ REGISTRY: dict[str, tuple] = {
     "sigmoid_scores": (sigmoid_scores, f"WITH {EVENTS_SQL} SELECT arrival_seq, round(1 / (1 + exp(5 * (cpu_percent / 100 - 0.5))), 6) AS score, CASE greatest(abs(cpu_percent), abs(latency_p99), abs(error_rate), abs(request_rate)) WHEN abs(cpu_percent) THEN 'CPU_SPIKE' WHEN abs(latency_p99) THEN 'LATENCY_BURST' WHEN abs(error_rate) THEN 'ERROR_RATE_SPIKE' ELSE 'REQUEST_DROP' END AS anomaly_type FROM ev"),
     "model_counts": (model_counts, f"WITH {EVENTS_SQL}, q AS (SELECT *, {NUMBERED} FROM ev) SELECT service_id, CASE WHEN start >= 59 THEN 'TRANSFORMER' ELSE 'ISOLATION_FOREST' END AS model_used, count(*) AS n FROM q GROUP BY 1, 2"),
     "confusion_metrics": (confusion_metrics, f"WITH {EVENTS_SQL}, q AS (SELECT service_id, count(*) FILTER (arrival_seq % 5 = 0 AND cpu_percent > 50) AS tp, count(*) FILTER (arrival_seq % 5 <> 0 AND cpu_percent > 50) AS fp, count(*) FILTER (arrival_seq % 5 = 0 AND cpu_percent <= 50) AS fn, count(*) FILTER (arrival_seq % 5 <> 0 AND cpu_percent <= 50) AS tn FROM ev GROUP BY 1), p AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM q) SELECT service_id, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM p"),
+    "debounce_sweep": (debounce_sweep, f"WITH {EVENTS_SQL}, o AS (SELECT service_id, arrival_seq, arrival_seq % 5 = 0 AS t, cpu_percent > 60 AS over60 FROM ev), d AS (" + " UNION ALL ".join(f"SELECT {p} AS persistence, t, count(*) OVER w = {p} AND bool_and(over60) OVER w AS f FROM o WINDOW w AS (PARTITION BY service_id ORDER BY arrival_seq ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW)" for p in range(1, 6)) + "), q AS (SELECT persistence, count(*) FILTER (t AND f) AS tp, count(*) FILTER (NOT t AND f) AS fp, count(*) FILTER (t AND NOT f) AS fn, count(*) FILTER (NOT t AND NOT f) AS tn FROM d GROUP BY 1), p AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM q) SELECT persistence, tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM p"),
+    "error_by_class": (error_by_class, f"WITH {EVENTS_SQL} SELECT arrival_seq % 5 = 0 AS label, round(avg(cpu_percent) + 1e-9, 6) AS mean_error, count(*) FILTER (cpu_percent > 60) AS n_over, count(*) AS n FROM ev GROUP BY 1"),
+    "evaluation_replay": (evaluation_replay, None),
     "inject_clamp": (inject_clamp, f"WITH {EVENTS_SQL}, q AS (SELECT *, arrival_seq % 4 AS k, (arrival_seq % 10) / 10 + CAST(0.01379131717 AS DOUBLE) AS f FROM ev) SELECT arrival_seq, round(least(100.0, greatest(0.0, CASE WHEN k = 0 THEN least(100.0, cpu_percent * (2.5 + 1.5 * f)) ELSE cpu_percent END)), 4) AS cpu_percent, round(greatest(0.0, CASE WHEN k = 1 THEN latency_p99 * (5 + 10 * f) ELSE latency_p99 END), 4) AS latency_p99, round(least(1.0, greatest(0.0, CASE WHEN k = 2 THEN least(1.0, error_rate * (10 + 40 * f)) ELSE error_rate END)), 6) AS error_rate, round(greatest(0.0, CASE WHEN k = 3 THEN request_rate * (CAST(0.05 AS DOUBLE) + (CAST(0.2 AS DOUBLE) - CAST(0.05 AS DOUBLE)) * f) ELSE request_rate END), 4) AS request_rate FROM q"),
     "cascade_bfs": (cascade_bfs, f"WITH {EDGES_SQL} SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM (SELECT src AS root, dst AS node, 1 AS depth FROM e UNION ALL SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src) WHERE root <> node GROUP BY 1, 2"),
     "components": (components, f"WITH RECURSIVE {EDGES_SQL}, u AS (SELECT src, dst FROM e WHERE src % 4 = dst % 4 UNION SELECT dst, src FROM e WHERE src % 4 = dst % 4), t AS (SELECT src AS node, src AS reached FROM u UNION SELECT t.node, u.dst FROM t JOIN u ON t.reached = u.src) SELECT node, min(reached) AS component FROM t GROUP BY 1"),

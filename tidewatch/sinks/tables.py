@@ -57,6 +57,9 @@ def kafka_rows(df: DataFrame, key: str = "service_id") -> DataFrame:
 # Options of the ingest producer.
 KAFKA_OPTIONS = {"kafka.acks": "all", "kafka.enable.idempotence": "true", "kafka.compression.type": "snappy", "kafka.linger.ms": "5", "kafka.batch.size": "65536"}
 
+# The topics and their partitions.
+TOPICS = {"raw-telemetry": 16, "aggregated-metrics": 8, "anomaly-events": 4, "incident-alerts": 2}
+
 
 def to_kafka(df: DataFrame, servers: str, topic: str) -> None:
     """Needs Spark's Kafka connector on the class path."""
