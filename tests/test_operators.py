@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import chain, dedup, graph, numbering, sequence, tumbling, watermark, zscore
 from tidewatch.plans import catalog
 from tidewatch.sinks import tables
-from tidewatch.sources import generator, kafka, normalize
+from tidewatch.sources import generator, kafka, normalize, simulator
 from tidewatch.streaming import stateful
 
 
@@ -232,3 +232,25 @@ def test_a_gap_resets_the_debouncer(spark):
     assert [r.session for r in out.orderBy("o").collect()] == [0, 0, 1, 1]
     out = sequence.debounced(out.withColumn("ks", F.concat_ws("/", "k", "session")), "ks", "o", "e", 5.0, 2)
     assert [r.flag for r in out.orderBy("o").collect()] == [False, True, False, True]
+
+
+def test_simulated_spans(spark):
+    """Every service and tick has a span; cascades reach two hops, and a repeated run is the same."""
+    services = generator.services(spark, 8)
+    edges = frame(spark, [(f"svc-{i:04d}", f"svc-{i + 1:04d}") for i in range(7)], "src string, dst string")
+    assert simulator.ticks(services, 50, chunk=7).exceptAll(simulator.ticks(services, 50)).isEmpty()
+    rows = simulator.spans(services, edges, 200, 1_000, cascade=1.0).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, simulator.spans(services, edges, 200, 1_000, cascade=1.0).collect()))
+    assert len({r.span_id for r in rows}) == len(rows)
+    own = [r for r in rows if r.anomaly_type != "CASCADE"]
+    assert {(r.service_id, r.timestamp) for r in own} == {(f"svc-{i:04d}", 1_000 + t * 1000) for i in range(8) for t in range(1, 201)}
+    assert len(own) == 1600 and 40 < sum(r.is_anomaly for r in own) < 130
+    assert all(r.is_anomaly == (r.anomaly_type is not None) for r in rows)
+    at = lambda r: int(r.service_id[-4:])
+    want = sorted((r.trace_id, at(r) + d) for r in own if r.is_anomaly for d in (1, 2) if at(r) + d < 8)
+    assert sorted((r.trace_id, at(r)) for r in rows if r.anomaly_type == "CASCADE") == want
+    plain = {(r.service_id, r.timestamp): r.metrics for r in own if not r.is_anomaly}
+    late = [r for r in rows if r.anomaly_type == "CASCADE" and (r.service_id, r.timestamp) in plain]
+    changed = sum(r.metrics != plain[r.service_id, r.timestamp] for r in late) / len(late)
+    assert 0.6 < changed < 0.95
+    assert all(0 <= r.metrics.cpu_percent <= 100 and 0 <= r.metrics.error_rate <= 1 for r in rows)

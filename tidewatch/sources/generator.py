@@ -129,7 +129,7 @@ def injected(df: DataFrame, kind: str, factor: str) -> DataFrame:
     )
 
 
-def maybe_injected(df: DataFrame, p: float = 0.05, seed: int = 1, kinds: tuple[str, ...] = ("CPU_SPIKE", "LATENCY_BURST", "ERROR_RATE_SPIKE", "REQUEST_DROP"), by: str = "span_id") -> DataFrame:
+def maybe_injected(df: DataFrame, p: float | Column = 0.05, seed: int = 1, kinds: tuple[str, ...] = ("CPU_SPIKE", "LATENCY_BURST", "ERROR_RATE_SPIKE", "REQUEST_DROP"), by: str = "span_id") -> DataFrame:
     """df with a share p of its rows changed by one of `kinds`, each as likely; anomaly_type names
     it and is_anomaly is set.  The draws hang on `by` and the seed alone."""
     draw = lambda k: _unit(by, F.lit(seed), F.lit(k))
