@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hnsw, licences, mixing, packing, simhash, substrings, token_files, toxicity, warc, winnowing
+from . import filter_audit, hnsw, licences, mixing, packing, simhash, substrings, token_files, toxicity, vector_codes, warc, winnowing
 
 QUERIES = {
     "op1_curve_packing": packing.op1_curve_packing,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_hnsw": hnsw.op8_hnsw,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc_salvage": warc.op10_warc_salvage,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
 }
 
 ORACLES = {
     "op4_licence_scan": licences.oracle(),
     "op10_warc_salvage": warc.OP10_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
 }
