@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import filter_audit, hnsw, licences, mixing, packing, simhash, substrings, token_files, toxicity, vector_codes, warc, winnowing
+from . import filter_audit, hnsw, language_model, licences, mixing, packing, simhash, substrings, token_files, toxicity, vector_codes, warc, winnowing
 
 QUERIES = {
     "op1_curve_packing": packing.op1_curve_packing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_warc_salvage": warc.op10_warc_salvage,
     "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_language_model": language_model.op13_language_model,
 }
 
 ORACLES = {
