@@ -32,7 +32,7 @@ from .common import stage, table, text_or_empty
 
 FILTERS = "ABCDE"
 MASKS = 1 << len(FILTERS)
-CHAIN_BYTES = 16 << 20
+CHAIN_BYTES, PART_BYTES = 16 << 20, 32 << 20
 _MARKS = re.compile(rb"[#$%&*|]")
 _OTHERS = bytes(b for b in range(256) if not 65 <= b <= 90)
 _SAME = 1 << FILTERS.index("E")
@@ -122,11 +122,14 @@ def _settled(rows: Iterator[_SHUFFLED]) -> Iterator[Settled]:
             yield tuple(row)
 
 
-def masks(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """(doc_id, part, mask, rows): the filters that documents fail, E included."""
+def masks(docs: DataFrame) -> DataFrame:
+    """(doc_id, part, mask, rows): the filters that documents fail, E included.
+
+    The texts' bytes, summed first, say how many partitions they are routed to."""
     chosen = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), text_or_empty().alias("text"))
+    size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(-(-size // PART_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rdd: RDD = chosen.rdd.map(tuple).mapPartitions(_sent)
-    n = parts or max(rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     settled = rdd.repartitionAndSortWithinPartitions(n, lambda digest: digest).mapPartitions(_settled)
     return docs.sparkSession.createDataFrame(settled, "doc_id long, part string, mask int, rows long", verifySchema=False)
 
