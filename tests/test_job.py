@@ -1,0 +1,132 @@
+"""The detection job on a stream that is cut off and restarted, against operators over all spans."""
+
+import json
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewatch.config import EngineConfig
+from tidewatch.operators import chain, dedup, tumbling, watermark, zscore
+from tidewatch.sources import normalize
+from tidewatch.streaming.job import DetectionJob
+
+CONFIG = EngineConfig(tumbling_ms=4000, sliding_ms=9000, slide_ms=700, lag_ms=1500, dedup_ttl_ms=3000, z_threshold=2.0, min_history=5)
+
+
+def lines(n=420, seed=8):
+    """(value, arrival_seq) of spans: disordered, some repeated, some late, some broken."""
+    r, out, t, sent = random.Random(seed), [], 10_000, []
+    for i in range(n):
+        t += r.choice([5, 40, 160])
+        service = r.choice(["api", "db", "web"]) if i > 90 else r.choice(["api", "db"])
+        ms = t - r.choice([0, 0, 0, 200, 1200, 1600, 6000])
+        m = {"cpu_percent": r.gauss(40, 5) + (60 if r.random() < 0.05 else 0), "latency_p99": r.gauss(100, 9), "error_rate": 0.01, "request_rate": r.gauss(200, 20)}
+        span = {"trace_id": "t", "span_id": f"s{i}", "service_id": service, "timestamp": ms, "metrics": m}
+        if sent and r.random() < 0.15:
+            span = dict(r.choice(sent[-60:]), timestamp=r.choice([ms, t, t - 2500]))
+        sent.append(span)
+        text = json.dumps(span)
+        out.append((r.choice(["{", '{"service_id": "x"}', "null"]) if r.random() < 0.03 else text, i))
+    return out
+
+
+def rows(df, *columns):
+    return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*columns).collect())
+
+
+ANOMALY = ("id", "service_id", "span_id", "anomaly_type", "z_score", "severity", "detected_at")
+AGGREGATE = ("service_id", "window_start_ms", "window_end_ms", "cpu_mean", "latency_p99", "span_count")
+
+
+def test_restarted_job_equals_batch(spark, tmp_path):
+    given = lines()
+    source = tmp_path / "in"
+    for k, lo in enumerate(range(0, len(given), 110)):
+        spark.createDataFrame(given[lo : lo + 110], "value string, arrival_seq long").coalesce(1).write.json(str(tmp_path / f"part{k}"))
+        source.mkdir(exist_ok=True)
+        (found,) = (tmp_path / f"part{k}").glob("*.json")
+        found.rename(source / f"{k}.json")
+        time.sleep(0.05)  # the source reads by time of change
+
+    def stream():
+        return spark.readStream.schema("value string, arrival_seq long").option("maxFilesPerTrigger", 1).json(str(source))
+
+    class Cut(DetectionJob):
+        """Dies in its third batch, when outputs are written and state is not."""
+
+        def _state_path(self, batch_id):
+            if batch_id == 2 and (tmp_path / "job" / "late" / "query=detection" / "batch_id=2" / "_SUCCESS").exists():
+                raise InterruptedError("cut off")
+            return super()._state_path(batch_id)
+
+    query = Cut(spark, str(tmp_path / "job"), CONFIG).start(stream(), availableNow=True)
+    with pytest.raises(Exception, match="cut off"):
+        query.awaitTermination(300)
+    job = DetectionJob(spark, str(tmp_path / "job"), CONFIG)
+    job.start(stream(), availableNow=True).awaitTermination(300)
+
+    events, dead = normalize.parse_json(spark.createDataFrame(given, "value string, arrival_seq long"), keep=("arrival_seq",))
+    once = dedup.ttl_by_id(events, "span_id", "arrival_seq", "timestamp_ms", CONFIG.dedup_ttl_ms)
+    marked = watermark.with_watermark(once, lag_ms=CONFIG.lag_ms).cache()
+    on_time = marked.where("timestamp_ms >= watermark_ms").drop("watermark_ms")
+    scored = zscore.history_z(on_time, CONFIG.sliding_ms, CONFIG.min_history)
+    want = zscore.identified(zscore.anomalies(zscore.throttled(scored, CONFIG.slide_ms), CONFIG.z_threshold))
+
+    late, told = (set(rows(x, "arrival_seq", "watermark_ms")) for x in (marked.where("timestamp_ms < watermark_ms"), job.read("late")))
+    first = {e.arrival_seq for e in once.collect()}
+    assert late <= told and len(told - late) < 4 and not {seq for seq, _ in told - late} & first  # duplicates of forgotten ids
+    assert rows(job.read("aggregates"), *AGGREGATE) == rows(tumbling.anchored(on_time, CONFIG.tumbling_ms), *AGGREGATE)
+    assert rows(job.read("anomalies"), *ANOMALY) == rows(want, *ANOMALY)
+    assert rows(job.read("dead_letters"), "payload", "reason") == rows(dead, "payload", "reason")
+    assert all(job.read(t).count() for t in ("late", "aggregates", "anomalies", "dead_letters"))
+    assert job.read("metrics").count() == 4 * job.read("aggregates").count()
+    assert job.read("anomalies").where("processed_at is null or detected_at is null").isEmpty()
+    states = sorted(p.name for p in (tmp_path / "job" / "state" / "query=detection").iterdir())
+    assert states == ["batch_id=2", "batch_id=3"]
+    seen = spark.read.parquet(str(tmp_path / "job/state/query=detection/batch_id=3/history"))
+    assert 0 < seen.count() < on_time.count() / 2
+
+
+def plain_history(given, window, least):
+    """n and z of the first metric, one event at a time."""
+    held, out = {}, {}
+    for k, seq, ms, x in given:
+        own = held.setdefault(k, [])
+        own.append((ms, x))
+        while own and own[0][0] < ms - window:
+            own.pop(0)
+        v = [b for _, b in own]
+        mean = sum(v) / len(v)
+        std = (sum((b - mean) ** 2 for b in v) / len(v)) ** 0.5
+        out[seq] = (len(v), (x - mean) / (std + 1e-9) if len(v) >= least else None)
+    return out
+
+
+@pytest.mark.parametrize("width", [1 << 16, 64])
+def test_history_is_evicted_from_its_head(spark, width):
+    r, given, t = random.Random(2), [], 0
+    for i in range(500):
+        t += r.choice([0, 1, 30])
+        given.append((r.choice(["a", "b"]), i * 3, t - r.choice([0, 0, 5, 90, 400]), r.gauss(1e6, 3)))
+    df = spark.createDataFrame(given, "service_id string, arrival_seq long, timestamp_ms long, m double").repartition(4)
+    got = zscore.history_z(df, 120, 4, ("m",), width=width)
+    assert got.columns == ["service_id", "arrival_seq", "timestamp_ms", "m", "n", "z_m"]
+    want = plain_history(given, 120, 4)
+    for x in got.collect():
+        n, z = want[x.arrival_seq]
+        assert x.n == n and ((x.z_m is None) == (z is None)) and (z is None or abs(x.z_m - z) < 2e-4)
+
+
+def test_watermark_goes_on_from_a_carried_maximum(spark):
+    df = spark.createDataFrame([(0, 50), (1, 120), (2, 90)], "arrival_seq long, timestamp_ms long")
+    got = watermark.with_watermark(df, lag_ms=10, top_ms=100).orderBy("arrival_seq").collect()
+    assert [x.watermark_ms for x in got] == [90, 110, 110]
+
+
+def test_closed_windows_leave_out_rows_of_the_open_one(spark):
+    df = spark.createDataFrame([("a", k, k * 10, 1.0, 1.0, 1.0, 1.0) for k in range(8)], "service_id string, arrival_seq long, timestamp_ms long, cpu_percent double, latency_p99 double, error_rate double, request_rate double")
+    marked = chain.greedy_chain(df, "service_id", "arrival_seq", "timestamp_ms", 30, out="closes")
+    assert [(x.window_start_ms, x.window_end_ms, x.span_count) for x in tumbling.closed(marked).orderBy("window_start_ms").collect()] == [(0, 30, 4), (30, 60, 3)]
+    assert marked.where(F.col("closes_no") > 1).count() == 1

@@ -42,3 +42,13 @@ def blocks(rows: DataFrame, key: str, length: int, ahead: bool = False, width: i
     both = F.when(lent, F.array(own, own - 1 if ahead else own + 1)).otherwise(F.array(own))
     dealt = rows.withColumn("_block", F.explode(both)).withColumn("_own", F.col("_block") == own)
     return dealt, Window.partitionBy(key, "_block").orderBy("_rn").rowsBetween(0, length - 1) if ahead else Window.partitionBy(key, "_block").orderBy("_rn").rowsBetween(1 - length, 0)
+
+
+def running_max(df: DataFrame, key: str, order: str, value: str, out: str, width: int = WIDTH) -> DataFrame:
+    """df with `out`: the maximum of `value` over the key's rows up to and with this in `order`, a
+    number.  A task sorts the rows of one key in a range of `width` of it."""
+    rows = df.withColumn("_g", F.struct(F.col(key).alias("k"), F.floor(F.col(order).cast("double") / width).alias("b")))
+    ahead = Window.partitionBy(F.col("_g.k")).orderBy(F.col("_g.b")).rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy("_g").agg(F.max(value).alias("_top")).select("_g", F.max("_top").over(ahead).alias("_before"))
+    inside = Window.partitionBy("_g").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_run", F.max(value).over(inside)).join(tops, "_g").withColumn(out, F.greatest("_run", "_before")).drop("_g", "_run", "_before")

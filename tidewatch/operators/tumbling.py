@@ -32,8 +32,17 @@ def anchored(events: DataFrame, size_ms: int = 60_000, order: str = "arrival_seq
     """Aggregates per service and chained window: the first event anchors it; the event at
     anchor + size or later closes it, belongs to it, and anchors the next.  A window that no
     event closed is not given out."""
-    rows = greedy_chain(events, "service_id", order, "timestamp_ms", size_ms, out="closes")
-    closing = F.when(F.col("closes") & F.col("closes_anchor").isNotNull(), F.col("timestamp_ms"))
+    return closed(greedy_chain(events, "service_id", order, "timestamp_ms", size_ms, out="closes"))
+
+
+def is_closing() -> Column:
+    """Of rows of the chain `closes`: does the row close a window?"""
+    return F.col("closes") & F.col("closes_anchor").isNotNull()
+
+
+def closed(rows: DataFrame) -> DataFrame:
+    """Aggregates of the windows that rows of the chain `closes` have closed."""
+    closing = F.when(is_closing(), F.col("timestamp_ms"))
     # All rows of a closed window were tested against its anchor; the anchoring first row was not.
     out = rows.groupBy("service_id", "closes_no").agg(F.max("closes_anchor").alias("window_start_ms"), F.max(closing).alias("window_end_ms"), *metric_aggregates()).where("window_end_ms is not null")
     return out.select("service_id", "window_start_ms", "window_end_ms", "cpu_mean", "cpu_max", "latency_p99", "latency_mean", "error_rate_mean", "request_rate_mean", "span_count")

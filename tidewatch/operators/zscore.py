@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import ANOMALY_TYPES, METRICS, UNKNOWN_TYPE
 from .chain import greedy_chain
+from .numbering import WIDTH, running_max
 
 
 def trailing_z(events: DataFrame, window_ms: int = 300_000, least: int = 10, metrics: tuple[str, ...] = METRICS, by_prefix: bool = True, key: str = "service_id") -> DataFrame:
@@ -18,6 +19,23 @@ def trailing_z(events: DataFrame, window_ms: int = 300_000, least: int = 10, met
     rows of the bucket before, and running sums with an expiry marker for each row do it in one
     pass: a hot key is split over its buckets, and no sum runs over more than two windows."""
     out = _by_prefix(events, window_ms, metrics, key) if by_prefix else _by_range(events, window_ms, metrics, key)
+    return _scored(out, least, metrics)
+
+
+def history_z(events: DataFrame, window_ms: int = 300_000, least: int = 10, metrics: tuple[str, ...] = METRICS, order: str = "arrival_seq", key: str = "service_id", width: int = WIDTH) -> DataFrame:
+    """events with n and z_<metric> over the history as a service keeps it in arrival order: a row
+    is appended, then rows leave from the head only, while the head is older than the window, so
+    an out-of-order head shelters older rows behind it.
+
+    The head after a row is the first row whose running maximum of time is within the window of
+    this row's running maximum: older ones have all left at the row that set it, and no later row
+    moves the head beyond.  So histories are trailing windows over that running maximum, which
+    never falls, and the same prefix sums and buckets do for them, rows in arrival order."""
+    timed = running_max(events.withColumn("_order", F.col(order)), key, order, "timestamp_ms", "_top", width)
+    return _scored(_by_prefix(timed, window_ms, metrics, key, "_top", "_order"), least, metrics).drop("_top", "_order")
+
+
+def _scored(out: DataFrame, least: int, metrics: tuple[str, ...]) -> DataFrame:
     z = lambda m: F.round((F.col(m) - F.col(f"_mean_{m}")) / (F.col(f"_std_{m}") + 1e-9), 4)
     out = out.withColumns({f"z_{m}": F.when(F.col("n") >= least, z(m)) for m in metrics})
     return out.drop(*[f"_mean_{m}" for m in metrics], *[f"_std_{m}" for m in metrics])
@@ -31,17 +49,19 @@ def _by_range(events: DataFrame, window_ms: int, metrics: tuple[str, ...], key:
     return events.withColumns(stats)
 
 
-def _by_prefix(events: DataFrame, window_ms: int, metrics: tuple[str, ...], key: str) -> DataFrame:
+def _by_prefix(events: DataFrame, window_ms: int, metrics: tuple[str, ...], key: str, t: str = "timestamp_ms", order: str | None = None) -> DataFrame:
     # Sums of squares cancel where the mean is large: values are centred on their key's mean first.
     centre = events.groupBy(key).agg(*[F.avg(m).alias(f"_c_{m}") for m in metrics])
     rows = events.join(centre, key).withColumns({f"_x_{m}": F.col(m) - F.col(f"_c_{m}") for m in metrics})
-    bucket = F.floor(F.col("timestamp_ms") / window_ms).cast("long")
-    live = rows.withColumns({"_bucket": bucket, "_t": F.col("timestamp_ms"), "_kind": F.lit(0), "_sign": F.lit(1)})
+    bucket = F.floor(F.col(t) / window_ms).cast("long")
+    live = rows.withColumns({"_bucket": bucket, "_t": F.col(t), "_kind": F.lit(0), "_sign": F.lit(1)})
     # In the next bucket a row counts from the start until it expires.
     bare = [F.col(c) if c == key or c.startswith("_x_") else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
     before = rows.select(*bare, (bucket + 1).alias("_bucket"), ((bucket + 1) * window_ms - 1).alias("_t"), F.lit(1).alias("_kind"), F.lit(1).alias("_sign"))
-    gone = rows.select(*bare, (bucket + 1).alias("_bucket"), (F.col("timestamp_ms") + window_ms).alias("_t"), F.lit(1).alias("_kind"), F.lit(-1).alias("_sign"))
+    gone = rows.select(*bare, (bucket + 1).alias("_bucket"), (F.col(t) + window_ms).alias("_t"), F.lit(1).alias("_kind"), F.lit(-1).alias("_sign"))
     w = Window.partitionBy(key, "_bucket").orderBy("_t", "_kind").rangeBetween(Window.unboundedPreceding, 0)
+    if order is not None:  # rows of one time count those before them alone
+        w = Window.partitionBy(key, "_bucket").orderBy("_t", "_kind", order).rowsBetween(Window.unboundedPreceding, 0)
     sums = {"n": F.sum("_sign").over(w).cast("long")}
     for m in metrics:
         sums |= {f"_s_{m}": F.sum(F.col("_sign") * F.col(f"_x_{m}")).over(w), f"_q_{m}": F.sum(F.col("_sign") * F.col(f"_x_{m}") * F.col(f"_x_{m}")).over(w)}
@@ -86,6 +106,13 @@ def anomalies(scored: DataFrame, threshold: float = 3.0, metrics: tuple[str, ...
     return rows.select("service_id", "span_id", "trace_id", "anomaly_type", "z_score", score.alias("anomaly_score"), severity(score).alias("severity"), F.lit("ZSCORE").alias("model_used"), F.col("timestamp_ms").alias("detected_at"))
 
 
+def identified(found: DataFrame) -> DataFrame:
+    """Anomalies with an id and both times: detected_at is the event's, processed_at the clock's.
+    The id depends on service, span and time alone, so a repeated run gives the same one."""
+    key = F.sha2(F.concat_ws("\x1f", F.coalesce("service_id", F.lit("")), F.coalesce("span_id", F.lit("")), F.col("detected_at").cast("string"), "model_used"), 256)
+    return found.withColumns({"id": F.substring(key, 1, 32), "processed_at": F.current_timestamp()})
+
+
 def detect(events: DataFrame, window_ms: int = 300_000, slide_ms: int = 30_000, least: int = 10, threshold: float = 3.0, order: str = "arrival_seq") -> DataFrame:
     """The whole detector: trailing z-scores of all rows, anomalies of the evaluated ones."""
     return anomalies(throttled(trailing_z(events, window_ms, least), slide_ms, order), threshold)

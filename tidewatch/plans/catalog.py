@@ -108,6 +108,11 @@ def sliding_zscore(spark, sf_dir):
     return out.select("arrival_seq", F.col("n").cast("long").alias("n"), *[f"z_{m}" for m in SERVICE_METRICS])
 
 
+def sliding_history(spark, sf_dir):
+    out = zscore.history_z(_disordered(_events(spark, sf_dir)), DAY, metrics=SERVICE_METRICS)
+    return out.select("arrival_seq", F.col("n").cast("long").alias("n"), *[f"z_{m}" for m in SERVICE_METRICS])
+
+
 def zscore_anomalies(spark, sf_dir, window_ms=DAY):
     scored = zscore.trailing_z(_events(spark, sf_dir), window_ms, metrics=SERVICE_METRICS)
     out = zscore.anomalies(scored, metrics=SERVICE_METRICS)
@@ -312,12 +317,26 @@ def _z(m: str) -> str:
     return f"CASE WHEN count(*) OVER w >= 10 THEN round(({m} - avg({m}) OVER w) / (stddev_pop({m}) OVER w + 1e-9), 4) END AS z_{m}"
 
 
+def _head_z(m: str) -> str:
+    return f"CASE WHEN count(*) >= 10 THEN round((any_value(r.{m}) - avg(o.{m})) / (stddev_pop(o.{m}) + 1e-9), 4) END AS z_{m}"
+
+
 Z_SQL = f"{EVENTS_SQL}, z AS (SELECT *, count(*) OVER w AS n, {_z('cpu_percent')}, {_z('latency_p99')} FROM ev WINDOW w AS (PARTITION BY service_id ORDER BY timestamp_ms RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW))"
 A_SQL = f"""{Z_SQL}, a AS (SELECT *, CASE WHEN abs(z_cpu_percent) >= abs(z_latency_p99) THEN 'CPU_SPIKE' ELSE 'LATENCY_BURST' END AS anomaly_type,
   CASE WHEN abs(z_cpu_percent) >= abs(z_latency_p99) THEN z_cpu_percent ELSE z_latency_p99 END AS z_score FROM z WHERE greatest(abs(z_cpu_percent), abs(z_latency_p99)) > 3.0),
 s AS (SELECT *, least(1.0, abs(z_score) / 10) AS anomaly_score FROM a),
 an AS (SELECT *, CASE WHEN anomaly_score >= 0.9 THEN 5 WHEN anomaly_score >= 0.75 THEN 4 WHEN anomaly_score >= 0.55 THEN 3 WHEN anomaly_score >= 0.35 THEN 2 ELSE 1 END AS severity FROM s)"""
 DIS_SQL = f"{EVENTS_SQL}, d AS (SELECT arrival_seq, timestamp_ms - (arrival_seq * 7919 % 13) * 1000000 AS timestamp_ms FROM ev)"
+# The head of each row's history moves from the head before it, row by row.
+HISTORY_SQL = f"""WITH RECURSIVE {EVENTS_SQL}, ev2 AS (SELECT * REPLACE (timestamp_ms - (arrival_seq * 7919 % 13) * 1000000 AS timestamp_ms) FROM ev),
+r AS (SELECT *, row_number() OVER (PARTITION BY service_id ORDER BY arrival_seq) AS rn FROM ev2),
+l AS (SELECT service_id, list(timestamp_ms ORDER BY rn) AS ts FROM r GROUP BY service_id),
+h AS (SELECT service_id, 1 AS rn, CAST(1 AS BIGINT) AS head FROM l
+  UNION ALL
+  SELECT h.service_id, h.rn + 1, h.head - 1 + list_position(list_transform(l.ts[h.head : h.rn + 1], lambda t: t >= l.ts[h.rn + 1] - {DAY}), true)
+  FROM h JOIN l USING (service_id) WHERE h.rn < len(l.ts)),
+w AS (SELECT r.arrival_seq, count(*) AS n, {_head_z("cpu_percent")}, {_head_z("latency_p99")} FROM r JOIN h USING (service_id, rn) JOIN r o ON o.service_id = r.service_id AND o.rn BETWEEN h.head AND r.rn GROUP BY r.arrival_seq)
+SELECT arrival_seq, n, z_cpu_percent, z_latency_p99 FROM w"""
 SUMMARY_SQL = """SELECT {by}, round(avg(x), 6) AS f_mean, round(stddev_pop(x), 6) AS f_std, round(quantile_cont(x, 0.95), 6) AS f_p95, round(quantile_cont(x, 0.99), 6) AS f_p99,
   round(max(x), 6) AS f_max, round(avg(error_rate), 6) AS f_error, round(avg(request_rate), 6) AS f_request
 FROM (SELECT {by}, cpu_percent AS x, error_rate, request_rate FROM b UNION ALL SELECT {by}, latency_p99, error_rate, request_rate FROM b) GROUP BY {by}"""
@@ -339,6 +358,7 @@ REGISTRY: dict[str, tuple] = {
     "sliding_hop": (sliding_hop, f"WITH {EVENTS_SQL}, h AS (SELECT *, timestamp_ms // {HOUR} * {HOUR} - i * {HOUR} AS s FROM ev, range(6) t(i)) SELECT service_id, s AS window_start_ms, s + {6 * HOUR} AS window_end_ms, {AGG_SQL} FROM h GROUP BY 1, 2, 3"),
     "metrics_unpivot": (metrics_unpivot, f"WITH {EVENTS_SQL}, g AS (SELECT service_id, timestamp_ms // {DAY} * {DAY} + {DAY} AS time, avg(cpu_percent) AS a, quantile_cont(latency_p99, 0.99) AS b, avg(error_rate) AS c, avg(request_rate) AS d FROM ev GROUP BY 1, 2) " + " UNION ALL ".join(f"SELECT time, service_id, '{m}' AS metric_name, round({c} + 1e-9, 6) AS value, false AS is_anomaly FROM g" for m, c in (("cpu_percent", "a"), ("latency_p99", "b"), ("error_rate", "c"), ("request_rate", "d")))),
     "sliding_zscore": (sliding_zscore, f"WITH {Z_SQL} SELECT arrival_seq, n, z_cpu_percent, z_latency_p99 FROM z"),
+    "sliding_history": (sliding_history, HISTORY_SQL),
     "zscore_anomalies": (zscore_anomalies, f"WITH {A_SQL} SELECT service_id, span_id, anomaly_type, z_score, round(anomaly_score, 6) AS anomaly_score, severity, 'ZSCORE' AS model_used, timestamp_ms AS detected_at FROM an"),
     "slide_throttle": (slide_throttle, _chain("SELECT *, service_id AS k FROM ev", ">=", 2 * HOUR) + " SELECT k AS service_id, arrival_seq, timestamp_ms FROM c WHERE fired"),
     "detect_full": (detect_full, f"WITH RECURSIVE {A_SQL}, src AS (SELECT *, service_id AS k FROM ev), {_CHAIN.format(op='>=', gap=HOUR)} SELECT service_id, span_id, anomaly_type, z_score, severity FROM an WHERE arrival_seq IN (SELECT arrival_seq FROM c WHERE fired)"),

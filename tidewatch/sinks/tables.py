@@ -8,28 +8,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def parquet_batches(path: str) -> Callable[[DataFrame, int], None]:
+def batch_folder(path: str, batch_id: int, query: str | None = None) -> str:
+    """Where a micro-batch's rows lie: queries that share a table have folders of their own."""
+    return f"{path}/{'' if query is None else f'query={query}/'}batch_id={batch_id}"
+
+
+def parquet_batches(path: str, query: str | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: each micro-batch replaces its own partition, so a batch that is
-    run again leaves its rows once."""
+    run again leaves its rows once.  Queries that write to one table need names."""
 
     def write(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        df.write.mode("overwrite").parquet(batch_folder(path, batch_id, query))
 
     return write
 
 
-def _stored(rows: DataFrame, path: str, batch_id: int | None, by: list[str]) -> None:
+def _stored(rows: DataFrame, path: str, batch_id: int | None, by: list[str], query: str | None = None) -> None:
     """Append rows, or as a micro-batch: replace the batch's own partitions."""
     if batch_id is None:
         rows.write.mode("append").partitionBy(*by).parquet(path)
     else:
-        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/batch_id={batch_id}")
+        rows.write.mode("overwrite").partitionBy(*by).parquet(batch_folder(path, batch_id, query))
 
 
-def metrics_table(rows: DataFrame, path: str, batch_id: int | None = None) -> None:
+def metrics_table(rows: DataFrame, path: str, batch_id: int | None = None, query: str | None = None) -> None:
     """Long metric rows (see operators.tumbling.unpivoted), partitioned by date.  With a
     batch_id a repeated micro-batch replaces its rows; without, rows are appended."""
-    _stored(rows.withColumn("date", F.to_date("time")), path, batch_id, ["date"])
+    _stored(rows.withColumn("date", F.to_date("time")), path, batch_id, ["date"], query)
 
 
 def anomaly_table(rows: DataFrame, path: str, batch_id: int | None = None) -> None:
@@ -57,10 +62,6 @@ def kafka_rows(df: DataFrame, key: str = "service_id") -> DataFrame:
 # Options of the ingest producer.
 KAFKA_OPTIONS = {"kafka.acks": "all", "kafka.enable.idempotence": "true", "kafka.compression.type": "snappy", "kafka.linger.ms": "5", "kafka.batch.size": "65536"}
 
-# The topics and their partitions.
-TOPICS = {"raw-telemetry": 16, "aggregated-metrics": 8, "anomaly-events": 4, "incident-alerts": 2}
-
-
 def to_kafka(df: DataFrame, servers: str, topic: str) -> None:
     """Needs Spark's Kafka connector on the class path."""
     kafka_rows(df).write.format("kafka").options(**KAFKA_OPTIONS).option("kafka.bootstrap.servers", servers).option("topic", topic).save()
