@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, METRICS
 from .numbering import WIDTH, blocks, numbered
+from .quantiles import quantiles
 
 
 def features(metrics: tuple[str, ...] = METRICS) -> Column:
@@ -49,12 +50,23 @@ def numbered_blocks(df: DataFrame, key: str, order: str, length: int = DEFAULTS.
     return rows.where(F.col("block") * length < F.col("_n") - length).drop("_rn", "_n")
 
 
-def summary(df: DataFrame, by: list[str], first: str = "cpu_percent", second: str = "latency_p99", error: str = "error_rate", request: str = "request_rate") -> DataFrame:
+def summary(df: DataFrame, by: list[str], first: str = "cpu_percent", second: str = "latency_p99", error: str = "error_rate", request: str = "request_rate", bounded: bool = True) -> DataFrame:
     """Seven features of a group: mean, population std, p95, p99 and maximum over both first
-    metrics together, then mean error and mean request rate."""
+    metrics together, then mean error and mean request rate.
+
+    Groups are windows (`bounded`), whose values fit one buffer; for groups of any size the
+    percentiles are taken by ranks over ranges (see quantiles)."""
     rows = df.select(*by, error, request, F.posexplode(F.array(first, second)).alias("_at", "_x"))
     mean = lambda c: F.avg(F.when(F.col("_at") == 0, F.col(c)))
-    return rows.groupBy(*by).agg(F.avg("_x").alias("f_mean"), F.stddev_pop("_x").alias("f_std"), F.percentile("_x", 0.95).alias("f_p95"), F.percentile("_x", 0.99).alias("f_p99"), F.max("_x").alias("f_max"), mean(error).alias("f_error"), mean(request).alias("f_request"))
+    plain = {"f_mean": F.avg("_x"), "f_std": F.stddev_pop("_x"), "f_max": F.max("_x"), "f_error": mean(error), "f_request": mean(request)}
+    shares = {"f_p95": 0.95, "f_p99": 0.99}
+    names = ["f_mean", "f_std", "f_p95", "f_p99", "f_max", "f_error", "f_request"]
+    if bounded:
+        return rows.groupBy(*by).agg(*[({n: F.percentile("_x", q) for n, q in shares.items()} | plain)[n].alias(n) for n in names])
+    group = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(by)])
+    ranks = quantiles(rows, by, "_x", shares).select(group.alias("_g"), *shares)
+    sums = rows.groupBy(group.alias("_g")).agg(*[c.alias(n) for n, c in plain.items()])
+    return sums.join(ranks, "_g").select(*[F.col(f"_g.g{i}").alias(c) for i, c in enumerate(by)], *names)
 
 
 def normalised(df: DataFrame, train: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..models import autoencoders, evaluation, forest, gateway
-from ..operators import chain, dedup, granger, graph, sequence, tumbling, watermark, zscore
+from ..operators import chain, dedup, granger, graph, incidents as incident, sequence, tumbling, watermark, zscore
 from ..sources import generator, normalize
 
 HOUR, DAY = 3_600_000, 86_400_000
@@ -137,7 +137,7 @@ FEATURES = ["f_mean", "f_std", "f_p95", "f_p99", "f_max", "f_error", "f_request"
 
 
 def feature_summary(spark, sf_dir):
-    return _round(sequence.summary(_events(spark, sf_dir), ["service_id"]), *FEATURES)
+    return _round(sequence.summary(_events(spark, sf_dir), ["service_id"], bounded=False), *FEATURES)
 
 
 def iforest_windows(spark, sf_dir):
@@ -224,6 +224,25 @@ def topk_scores(spark, sf_dir):
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("service_id", "rank", "anomaly_score")
 
 
+def _type_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event type depends on the next one by name."""
+    kinds = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("src")).distinct()
+    return kinds.withColumn("dst", F.lead("src").over(Window.partitionBy(F.lit(0)).orderBy("src"))).where("dst is not null")
+
+
+def _correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = zscore_anomalies(spark, sf_dir).withColumn("event", F.col("span_id").cast("long"))
+    return incident.correlated(found, _type_edges(spark, sf_dir), 2 * HOUR, hops=1, event="event")
+
+
+def incidents(spark, sf_dir):
+    return _correlated(spark, sf_dir).select("span_id", "service_id", "detected_at", "severity", "correlated_incident_id")
+
+
+def incident_summary(spark, sf_dir):
+    return incident.summary(_correlated(spark, sf_dir))
+
+
 def ar1_filter(spark, sf_dir):
     rows = _events(spark, sf_dir).select("service_id", "arrival_seq", "cpu_percent")
     return generator.ar1_by_key(rows, "service_id", "arrival_seq", "cpu_percent").select("arrival_seq", F.round(F.col("x") + TIE, 6).alias("x"))
@@ -345,7 +364,18 @@ ROWS60 = "(PARTITION BY service_id ORDER BY arrival_seq ROWS BETWEEN 59 PRECEDIN
 AHEAD60 = "(PARTITION BY service_id ORDER BY arrival_seq ROWS BETWEEN CURRENT ROW AND 59 FOLLOWING)"
 NUMBERED = "row_number() OVER (PARTITION BY service_id ORDER BY arrival_seq) - 1 AS start, count(*) OVER (PARTITION BY service_id) AS cnt"
 
+INCIDENT_SQL = f"""WITH RECURSIVE {A_SQL}, k AS (SELECT event_type AS src, lead(event_type) OVER (ORDER BY event_type) AS dst FROM (SELECT DISTINCT event_type FROM events)),
+x AS (SELECT CAST(span_id AS BIGINT) AS id, span_id, service_id, timestamp_ms AS detected_at, severity FROM an),
+l AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON abs(a.detected_at - b.detected_at) <= {2 * HOUR}
+      AND (a.service_id = b.service_id OR EXISTS (SELECT 1 FROM k WHERE (k.src = a.service_id AND k.dst = b.service_id) OR (k.src = b.service_id AND k.dst = a.service_id)))),
+c AS (SELECT id AS a, id AS b FROM x UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a),
+i AS (SELECT x.span_id, x.service_id, x.detected_at, x.severity, arg_min(o.id, (o.detected_at, o.id)) AS correlated_incident_id
+      FROM c JOIN x ON x.id = c.a JOIN x o ON o.id = c.b GROUP BY x.id, x.span_id, x.service_id, x.detected_at, x.severity)"""
+
 REGISTRY: dict[str, tuple] = {
+    "incidents": (incidents, f"{INCIDENT_SQL} SELECT * FROM i"),
+    "incident_summary": (incident_summary, f"""{INCIDENT_SQL} SELECT correlated_incident_id, min(detected_at) AS started_at, max(detected_at) AS ended_at, count(*) AS n_events,
+      count(DISTINCT service_id) AS n_services, arg_min(service_id, (detected_at, service_id)) AS first_service FROM i GROUP BY correlated_incident_id"""),
     "span_normalize": (span_normalize, f"WITH {EVENTS_SQL} SELECT span_id, service_id, timestamp_ms, cpu_percent, latency_p99, round(error_rate, 6) AS error_rate, round(request_rate, 6) AS request_rate, arrival_seq FROM ev"),
     "metric_array_pivot": (metric_array_pivot, "SELECT event_id, coalesce(value, 0.0) AS cpu_percent, CAST(event_id % 7 AS DOUBLE) AS latency_p99, CAST(0.0 AS DOUBLE) AS error_rate, CASE WHEN event_id % 3 <> 0 THEN event_type END AS anomaly_type FROM events"),
     "dlq_split": (dlq_split, "SELECT CASE WHEN event_id % 17 = 0 THEN 'malformed' WHEN event_id % 11 = 0 THEN 'no service_id' WHEN event_id % 13 = 0 THEN 'no timestamp' ELSE 'ok' END AS reason, count(*) AS n FROM events GROUP BY 1"),
