@@ -22,7 +22,7 @@ def numbered(df: DataFrame, key: str, order: str, width: int = WIDTH) -> DataFra
     null orders come first, and ties are numbered in any order."""
     if not isinstance(df.schema[order].dataType, NumericType):
         raise ValueError(f"{order} must be a number")
-    rows = df.withColumn("_g", F.struct(F.col(key).alias("k"), F.floor(F.col(order).cast("double") / width).alias("b")))
+    rows = _ranged(df, key, order, width)
     every = Window.partitionBy(F.col("_g.k"))
     sizes = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_c"))
     before = F.coalesce(F.sum("_c").over(every.orderBy(F.col("_g.b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -47,8 +47,32 @@ def blocks(rows: DataFrame, key: str, length: int, ahead: bool = False, width: i
 def running_max(df: DataFrame, key: str, order: str, value: str, out: str, width: int = WIDTH) -> DataFrame:
     """df with `out`: the maximum of `value` over the key's rows up to and with this in `order`, a
     number.  A task sorts the rows of one key in a range of `width` of it."""
-    rows = df.withColumn("_g", F.struct(F.col(key).alias("k"), F.floor(F.col(order).cast("double") / width).alias("b")))
+    rows = _ranged(df, key, order, width)
     ahead = Window.partitionBy(F.col("_g.k")).orderBy(F.col("_g.b")).rowsBetween(Window.unboundedPreceding, -1)
     tops = rows.groupBy("_g").agg(F.max(value).alias("_top")).select("_g", F.max("_top").over(ahead).alias("_before"))
     inside = Window.partitionBy("_g").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("_run", F.max(value).over(inside)).join(tops, "_g").withColumn(out, F.greatest("_run", "_before")).drop("_g", "_run", "_before")
+
+
+def running_sum(df: DataFrame, key: str, order: str, value: str, out: str, width: int = WIDTH) -> DataFrame:
+    """df with `out`: the sum of `value` over the key's rows up to and with this in `order`."""
+    rows = _ranged(df, key, order, width)
+    ahead = Window.partitionBy(F.col("_g.k")).orderBy(F.col("_g.b")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_g").agg(F.sum(value).alias("_sum")).select("_g", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_g").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_run", F.sum(value).over(inside)).join(sums, "_g").withColumn(out, F.col("_run") + F.col("_before")).drop("_g", "_run", "_before")
+
+
+def previous(df: DataFrame, key: str, order: str, value: str, out: str, width: int = WIDTH) -> DataFrame:
+    """df with `out`: `value` of the key's row before this in `order`; null for the first."""
+    rows = _ranged(df, key, order, width)
+    ranges = Window.partitionBy(F.col("_g.k")).orderBy(F.col("_g.b"))
+    last = rows.groupBy("_g").agg(F.max(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))).alias("_last")).select("_g", F.lag("_last").over(ranges).alias("_edge"))
+    inside = Window.partitionBy("_g").orderBy(order)
+    rows = rows.withColumns({"_at": F.row_number().over(inside), "_lag": F.lag(value).over(inside)}).join(last, "_g")
+    return rows.withColumn(out, F.when(F.col("_at") == 1, F.col("_edge.v")).otherwise(F.col("_lag"))).drop("_g", "_at", "_lag", "_edge")
+
+
+def _ranged(df: DataFrame, key: str, order: str, width: int) -> DataFrame:
+    """df with _g: the key and the range of `order`."""
+    return df.withColumn("_g", F.struct(F.col(key).alias("k"), F.floor(F.col(order).cast("double") / width).alias("b")))

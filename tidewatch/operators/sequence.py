@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, METRICS
-from .numbering import WIDTH, blocks, numbered
+from .numbering import WIDTH, blocks, numbered, previous, running_sum
 from .quantiles import quantiles
 
 
@@ -96,12 +96,13 @@ def debounced(df: DataFrame, key: str, order: str, error: str, limit: Column | f
     return rows.where("_own").select(*[c for c in df.columns if c != out], out)
 
 
-def sessions(df: DataFrame, key: str, order: str, t: str, gap_ms: int) -> DataFrame:
+def sessions(df: DataFrame, key: str, order: str, t: str, gap_ms: int, width: int = WIDTH) -> DataFrame:
     """df with `session`: a gap of more than gap_ms starts a new one, which resets a debouncer
-    that is partitioned by it."""
-    w = Window.partitionBy(key).orderBy(order)
-    new = (F.col(t) - F.lag(t).over(w) > gap_ms).cast("int")
-    return df.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("session", F.sum("_new").over(w)).drop("_new")
+    that is partitioned by it.  The first row of a range of `order` looks at the last of the
+    range before, and sessions begun in earlier ranges are added up."""
+    rows = previous(df, key, order, t, "_last", width)
+    new = F.coalesce((F.col(t) - F.col("_last") > gap_ms).cast("int"), F.lit(0))
+    return running_sum(rows.withColumn("_new", new), key, order, "_new", "session", width).select(*[c for c in df.columns if c != "session"], "session")
 
 
 def sigmoid_score(decision: Column) -> Column:
