@@ -24,6 +24,8 @@ _PLAIN = re.compile(r"(\0?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 _LINES = re.compile(r"\S+(?:\n\S+)+\Z")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
+# A remembered cut takes about ENTRY_BYTES besides its own characters and ids.
+LONGEST, ENTRY_BYTES, MEMO_BYTES = 64, 160, 200 << 20
 _LOADED: dict[tuple[str, int], "MemoTokenizer"] = {}
 
 
@@ -57,6 +59,7 @@ class _Memo(dict):
         self.ends = {"": b""}
         self.newline = self.piece("\n") if spaced else b""
         self.strict = True
+        self.held = 0
         self._begin()
 
     def _begin(self) -> None:
@@ -65,6 +68,7 @@ class _Memo(dict):
 
     def clear(self) -> None:
         super().clear()
+        self.held = 0
         self._begin()
 
     def piece(self, piece: str) -> bytes:
@@ -80,15 +84,17 @@ class _Memo(dict):
 
     def __missing__(self, cut: str) -> bytes:
         if cut.isascii() and cut.isalpha():  # the usual word, spelled as the model spells it
-            self[cut] = ids = self.ids_of(self.space + cut if self.spaced else cut.lower())
-            return ids
+            return self._kept(cut, self.ids_of(self.space + cut if self.spaced else cut.lower()))
         m = _PLAIN.match(cut)
         if m:
             bare, word, end = m.groups()
             if end:
-                if end not in self.ends:
-                    self.ends[end] = self.piece(end)
-                ids = self[bare + word] + self.ends[end]
+                last = self.ends.get(end)
+                if last is None:
+                    last = self.piece(end)
+                    if len(end) <= LONGEST and len(self.ends) < 1 << 16:
+                        self.ends[end] = last
+                ids = self[bare + word] + last
             else:
                 ids = self.piece((word if bare else " " + word) if self.spaced else word.lower())
         elif self.spaced and (not cut or cut == "\0" or cut[-1].isspace() or (cut[0] == "\0" and cut[1].isspace())):
@@ -100,7 +106,12 @@ class _Memo(dict):
             ids = self.newline.join([self[first], *[self["\0" + x] for x in rest]])
         else:
             ids = self.whole(cut)
-        self[cut] = ids
+        return self._kept(cut, ids)
+
+    def _kept(self, cut: str, ids: bytes) -> bytes:
+        if len(cut) <= LONGEST:
+            self[cut] = ids
+            self.held += len(cut) + len(ids) + ENTRY_BYTES
         return ids
 
     def whole(self, cut: str) -> bytes:
@@ -115,7 +126,8 @@ class _Loose(Exception):
 class MemoTokenizer:
     """encode(texts) -> one numpy id array per text, equal to the library's ids.
 
-    `memo` bounds the number of remembered cuts; when it is reached, the memo starts anew.
+    `memo` bounds the number of remembered cuts and MEMO_BYTES their size; when either is reached,
+    the memo starts anew.  Cuts of over LONGEST characters are never remembered.
     Plain words go straight to the library's model, other cuts through its whole pipeline.  A
     text that holds one of the file's own special tokens is left to the library as a whole,
     which gives that token its id.
@@ -157,7 +169,7 @@ class MemoTokenizer:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out, memo = [], self.memo
         for t in texts:
-            if len(memo) > self.most:
+            if len(memo) > self.most or memo.held > MEMO_BYTES:
                 memo.clear()
             if not t:
                 out.append(np.zeros(0, self.dtype))

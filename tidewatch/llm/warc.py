@@ -96,29 +96,48 @@ def parse(raw: bytes) -> tuple[dict, int]:
 
 
 class _Window:
-    """A forward buffer over a stream: bytes before `at` are gone."""
+    """A forward buffer over a stream: bytes before `at` are gone.  Read bytes are appended and
+    passed ones cut off only when they are most of the buffer, so each is moved a few times at
+    most, however long a record is."""
 
     def __init__(self, stream):
-        self.stream, self.at, self.buffer, self.ended = stream, 0, b"", False
+        self.stream, self.at, self.ended = stream, 0, False
+        self.data, self.start = bytearray(), 0
+
+    def __len__(self) -> int:
+        return len(self.data) - self.start
 
     def fill(self, least: int) -> bool:
-        while len(self.buffer) < least and not self.ended:
+        while len(self) < least and not self.ended:
             more = self.stream.read(READ_BYTES)
             self.ended = not more
-            self.buffer += more
-        return len(self.buffer) >= least
+            self.data += more
+        return len(self) >= least
 
     def skip(self, n: int) -> None:
-        self.buffer, self.at = self.buffer[n:], self.at + n
+        n = min(n, len(self))
+        self.start, self.at = self.start + n, self.at + n
+        if self.start > READ_BYTES and self.start > len(self):
+            del self.data[: self.start]
+            self.start = 0
+
+    def find(self, what: bytes, begin: int = 0) -> int:
+        return max(-1, self.data.find(what, self.start + begin) - self.start)
+
+    def starts(self, what: bytes) -> bool:
+        return self.data.startswith(what, self.start)
+
+    def take(self, lo: int, hi: int) -> bytes:
+        return bytes(memoryview(self.data)[self.start + lo : self.start + hi])
 
 
 def _member(w: _Window) -> tuple[bytes, int]:
     """(content, length) of the gzip member at the window's start."""
     z, out, used = zlib.decompressobj(31), [], 0
     while not z.eof:
-        if used == len(w.buffer) and not w.fill(used + READ_BYTES) and used == len(w.buffer):
+        if used == len(w) and not w.fill(used + READ_BYTES) and used == len(w):
             raise ValueError("truncated member")
-        part = w.buffer[used : used + READ_BYTES]
+        part = w.take(used, used + READ_BYTES)
         used += len(part)
         try:
             out.append(z.decompress(part))
@@ -129,19 +148,19 @@ def _member(w: _Window) -> tuple[bytes, int]:
 
 def _plain(w: _Window) -> tuple[bytes, int]:
     """The plain record at the window's start, as far as its Content-Length says."""
-    need = 1 << 12
+    need, seen = 1 << 12, 0
     while True:
         w.fill(need)
-        cut = w.buffer.find(b"\r\n\r\n")
+        cut = w.find(b"\r\n\r\n", seen)
         if cut >= 0 or w.ended:
             break
-        need *= 2
-    head = w.buffer[: max(cut, 0)].lower()
+        need, seen = need * 2, max(0, len(w) - 3)
+    head = w.take(0, max(cut, 0)).lower()
     size = head.rpartition(b"\r\ncontent-length:")[2].split(b"\r\n")[0].strip()
     if cut < 0 or not size.isdigit():
         raise ValueError("malformed header")
     w.fill(cut + 8 + int(size))
-    return w.buffer[: cut + 8 + int(size)], cut + 8 + int(size)
+    return w.take(0, cut + 8 + int(size)), cut + 8 + int(size)
 
 
 def salvage(stream) -> Iterator[dict]:
@@ -150,12 +169,12 @@ def salvage(stream) -> Iterator[dict]:
     while w.fill(1):
         w.fill(len(_LINE))
         try:
-            if w.buffer.startswith(_MEMBER):
+            if w.starts(_MEMBER):
                 raw, size = _member(w)
                 found, end = parse(raw)
                 if end != len(raw):
                     raise ValueError("bytes after the record")
-            elif w.buffer.startswith(_LINE):
+            elif w.starts(_LINE):
                 raw, size = _plain(w)
                 found, _ = parse(raw)
             else:
@@ -164,13 +183,13 @@ def salvage(stream) -> Iterator[dict]:
             gap = gap or (w.at, str(e))
             w.skip(1)
             while True:  # to the next place where a member or a version line may begin
-                hits = [h for h in (w.buffer.find(_MEMBER), w.buffer.find(_LINE)) if h >= 0]
+                hits = [h for h in (w.find(_MEMBER), w.find(_LINE)) if h >= 0]
                 if hits:
                     w.skip(min(hits))
                     break
-                w.skip(max(0, len(w.buffer) - len(_LINE) + 1))
-                if not w.fill(len(w.buffer) + 1):
-                    w.skip(len(w.buffer))
+                w.skip(max(0, len(w) - len(_LINE) + 1))
+                if not w.fill(len(w) + 1):
+                    w.skip(len(w))
                     break
             continue
         if gap:
