@@ -264,6 +264,49 @@ def test_mixing_against_brute_force(docs, empty):
     assert mixing.taken_words(*mixing.mixture(empty)).count() == 0
 
 
+def test_output_shards_follow_the_draw(spark, docs, monkeypatch):
+    documents, pieces, slots = mixing.mixture(docs, shard_slots=50, block=16)
+    held = mixing.output_shards(pieces, slots).collect()
+    dealt = mixing.taken_words(documents, pieces, slots, mixing.output_shards(pieces, slots)).collect()
+    by = {}
+    for r in held:
+        by.setdefault(r.shard, []).append(r)
+    for shard in by.values():  # words numbered without gaps, slots whole
+        at = 0
+        for r in sorted(shard, key=lambda r: r.offset):
+            assert r.offset == at and r.words > 0
+            at += r.words
+    for r in dealt:
+        own = [h for h in held if h.row == r.row]
+        assert (r.taken, r.shards) == (sum(h.words for h in own), len({h.shard for h in own}))
+        assert r.first_shard == min((h.shard for h in own), default=None)
+    # Every source's counts by shard are its multinomial draw's.
+    quota, n_shards = {}, max(8, -(-len({(s.source_no, s.slot) for s in slots.collect()}) // 50))
+    for s in slots.collect():
+        quota.setdefault(s.source_no, []).append(s.shard)
+    for no, drawn in quota.items():
+        rng = np.random.default_rng([11, no])
+        want = np.bincount(rng.integers(n_shards, size=len(drawn)), minlength=n_shards) if len(drawn) < n_shards else rng.multinomial(len(drawn), np.full(n_shards, 1 / n_shards))
+        assert np.bincount(drawn, minlength=n_shards).tolist() == want.tolist()
+    one = lambda quotas, shards, seed: quotas.where("quota > 0").selectExpr("0L shard", "source_no", "0L first", "quota n")
+    monkeypatch.setattr(mixing, "dealt_slots", one)
+    flat = mixing.taken_words(*mixing.mixture(docs, shard_slots=50, block=16)).collect()
+    assert {r.shards for r in flat} <= {0, 1} and max(r.shards for r in dealt) > 1
+
+
+def test_resampled_shares_what_is_taken_among_repeated_rows(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(10)), "a", 0) for i in range(300)]
+    rows += [(7000 + i % 3, " ".join(["copy"] * 20), "a", i) for i in range(240)]
+    rows += [(i, " ".join(["other"] * 30), "b", 0) for i in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k int").repartition(3)
+    target = {r.source: r.target for r in mixing.mixture(docs)[0].select("source", "target").distinct().collect()}
+    out = mixing.resampled(docs).collect()
+    for source, want in target.items():
+        assert abs(sum(len(words(r.text)) for r in out if r.source == source) - want) < 0.06 * want
+    again = mixing.resampled(docs).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+
+
 def test_resampled_keeps_columns_of_any_name(docs, empty):
     clash = docs.withColumnsRenamed({"size": "_id", "row": "taken", "lang": "times", "n_chars": "_tie"})
     got = mixing.resampled(clash.withColumn("a.b", F.lit(1)))

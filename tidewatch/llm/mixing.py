@@ -6,7 +6,9 @@ of which takes one block of one source: a source's slots are as many as its targ
 fill, and its last slot takes the words that are left, so a source gives the whole part of its
 target exactly.  Output shards get multinomial counts of each source's slots.  Slot q of a
 source takes the block that a pseudorandom permutation of the source's full blocks (one for
-each epoch, the short block last) gives for q, and slots are joined with blocks by that index.
+each epoch, the short block last) gives for q, and slots are joined with blocks by that index:
+the draw decides which shard has a block, and the slots of a shard stand in hashed order.  What
+a document gives to the mixture is counted in these shards.
 
 Defined results: null text has size 0; a null source is a source of its own, ordered last
 and shown as null; documents of size 0 are never taken; repeated rows are mixed each, and
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import guarded, named, running_offsets, stage, table
@@ -102,7 +104,7 @@ def permuted(df: DataFrame, q: Column, n: Column, salts: list[Column], out: str)
     return df.withColumn(out, F.when(F.col("_x2") < n, F.col("_x2")).otherwise(walked)).drop("_root", "_x0", "_x1", "_x2")
 
 
-def mixture(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, total: float = 1.5, most: float = 2.0, block: int = 128, shard_slots: int = 1 << 16, seed: int = 11) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mixture(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, total: float = 1.5, most: float = 2.0, block: int = 128, shard_slots: int = 1 << 16, least_shards: int = 8, seed: int = 11) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, pieces, slots), staged in part.
 
     documents: row, doc_id, source, size, tie (the text's hash), source_no, source_size, target.
@@ -124,7 +126,7 @@ def mixture(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, total: float = 1.
     targets = stage(targets, "mix-targets")
 
     slots_ = targets.agg(F.sum("quota")).first()[0] or 0
-    runs = dealt_slots(targets, max(1, -(-int(slots_) // shard_slots)), seed)
+    runs = dealt_slots(targets, max(least_shards, -(-int(slots_) // shard_slots)), seed)
     chunk = 1 << 14
     runs = runs.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {chunk}"))))
     # By number, as the few rows here become many slots: about 2**17 a task.
@@ -147,32 +149,57 @@ def mixture(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, total: float = 1.
     return known, pieces, slots
 
 
-def taken_words(documents: DataFrame, pieces: DataFrame, slots: DataFrame) -> DataFrame:
-    """documents with `taken`: the words of it that the slots take, repeats counted."""
-    uses = slots.groupBy("source_no", "block_no").agg(F.count_if(F.col("words").isNull()).alias("uses"), F.max("words").alias("first_words"))  # one slot of a source at most is short
-    some = F.greatest(F.lit(0), F.least("words", F.coalesce("first_words", F.lit(0)) - F.col("at")))
-    taken = pieces.join(uses, ["source_no", "block_no"]).groupBy("row").agg(F.sum(F.col("words") * F.col("uses") + some).cast("long").alias("taken"))
-    return documents.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+def shard_pieces(pieces: DataFrame, slots: DataFrame) -> DataFrame:
+    """(shard, source_no, slot, row, start, words, at): blocks joined to slots by index, as the
+    pieces of documents that every slot takes.  A block has `block` pieces at most, and one
+    slot in each epoch."""
+    taken = F.when(F.col("upto").isNull(), F.col("words")).otherwise(F.least("words", F.col("upto") - F.col("at")))
+    held = pieces.join(slots.withColumnRenamed("words", "upto"), ["source_no", "block_no"])
+    return held.select("shard", "source_no", "slot", "row", "start", taken.alias("words"), "at").where("words > 0")
+
+
+def output_shards(pieces: DataFrame, slots: DataFrame, seed: int = 11) -> DataFrame:
+    """(shard, offset, source_no, slot, row, start, words): the mixture as its shards hold it.
+    A shard's slots follow each other in hashed order and its words are numbered from 0; a
+    shard has about `shard_slots` slots at most, whatever the corpus holds, and is ordered in a task."""
+    order = [F.xxhash64("source_no", "slot", F.lit(seed)), "source_no", "slot", "at"]
+    before = F.sum("words").over(Window.partitionBy("shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    held = shard_pieces(pieces, slots).withColumn("offset", F.coalesce(before, F.lit(0)).cast("long"))
+    return held.select("shard", "offset", "source_no", "slot", "row", "start", "words")
+
+
+def taken_words(documents: DataFrame, pieces: DataFrame, slots: DataFrame, shards: DataFrame | None = None) -> DataFrame:
+    """documents with `taken`: the words of it that the slots take, repeats counted; `shards`:
+    the number of output shards that have any of them; `first_shard`: the least of these (null
+    if none).  With `shards` (see output_shards) they are counted there."""
+    held = shard_pieces(pieces, slots) if shards is None else shards
+    by = held.groupBy("row", "shard").agg(F.sum("words").alias("words"))
+    taken = by.groupBy("row").agg(F.sum("words").cast("long").alias("taken"), F.count("*").alias("shards"), F.min("shard").alias("first_shard"))
+    zero = F.lit(0).cast("long")
+    return documents.join(taken, "row", "left").withColumns({"taken": F.coalesce("taken", zero), "shards": F.coalesce("shards", zero)})
 
 
 def resampled(docs: DataFrame, **how) -> DataFrame:
     """docs as whole documents in the mixture's proportions: a document of which the slots take
     `taken` of its `size` words appears floor(taken / size) times, and once more with the chance
-    of the remainder, drawn from a hash of its id and text."""
+    of the remainder, drawn from a hash of its id and text.  Rows equal in id, text and source
+    share what is taken of them evenly, and draw each for itself by their place in docs."""
     given = docs.columns
     docs, names = guarded(docs, ("doc_id", "text", "source"))
     documents, pieces, slots = mixture(docs, **how)
-    counted = taken_words(documents, pieces, slots).where("taken > 0")
-    share = F.col("taken") / F.col("size")
-    draw = F.pmod(F.xxhash64("doc_id", "tie", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
-    times = (F.floor(share) + F.when(draw < share - F.floor(share), 1).otherwise(0)).cast("int")
-    counted = counted.withColumn("times", times).where("times > 0").groupBy("doc_id", "tie").agg(F.max("times").alias("times"))
-    counted = counted.withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
-    out = docs.join(counted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tie")))
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    counted = taken_words(documents, pieces, slots).groupBy("doc_id", "tie", "source")
+    counted = counted.agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.count("*").alias("copies")).where("taken > 0")
+    counted = counted.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("source").alias("_source"), (F.col("taken") / F.col("size")).alias("_share"), (F.col("copies") > 1).alias("_repeated"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("_tie"))
+    out = docs.withColumn("_at", F.monotonically_increasing_id()).join(counted, same)
+    draw = F.pmod(F.xxhash64("doc_id", "_tie", F.lit(23), F.when(F.col("_repeated"), F.col("_at"))), F.lit(1 << 30)) / float(1 << 30)
+    times = F.floor("_share") + F.when(draw < F.col("_share") - F.floor("_share"), 1).otherwise(0)
+    out = out.withColumn("_times", times.cast("int")).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return out.select("doc_id", "text", "source", *[F.col(k).alias(c) for k, c in names.items()]).select(*[named(c) for c in given])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = taken_words(*mixture(table(spark, sf_dir, "documents")))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    documents, pieces, slots = mixture(table(spark, sf_dir, "documents"))
+    shards = stage(output_shards(pieces, slots), "mix-shards")
+    mixed = taken_words(documents, pieces, slots, shards)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "shards", "first_shard")
