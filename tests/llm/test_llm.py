@@ -315,6 +315,31 @@ def test_resampled_keeps_columns_of_any_name(docs, empty):
     assert mixing.resampled(empty).count() == 0
 
 
+def test_toxicity_learns_from_no_held_out_label(spark, tmp_path):
+    docs = [(i, f"text {i} " + ("foul vile" if i % 3 == 0 else "calm kind")) for i in range(120)]
+    held = {i for i in range(120) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert 10 < len(held) < 50
+    tables = lambda flip: [(i, 1, int(i % 3 == 0) ^ int(flip and i in held)) for i in range(120)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    marked = [spark.createDataFrame(tables(flip), "doc_id long, quality int, toxic int") for flip in (False, True)]
+    given, flipped = (toxicity.training_sample(d, x) for x in marked)
+    assert given == flipped
+    assert sorted(given) == sorted((t, int(i % 3 == 0)) for i, t in docs if i not in held)
+    # A null label, one out of range and a null id teach nothing; a repeated label no more than its rows.
+    odd = spark.createDataFrame([(1, 1, None), (2, 1, 7), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.training_sample(d, odd) == []
+    d.withColumns({"lang": F.lit("en"), "source": F.lit("s")}).write.parquet(f"{tmp_path}/documents.parquet")
+    marked[0].write.parquet(f"{tmp_path}/labels.parquet")
+    seen = []
+    net = toxicity.Network.__new__(toxicity.Network)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "train", lambda sample: seen.append(sample) or net)
+        m.setattr(toxicity, "scored", lambda x, _: x.withColumn("score", F.col("doc_id") / 200))
+        out = {r.doc_id: r for r in toxicity.op9_toxicity(spark, str(tmp_path)).collect()}
+    assert seen == [given] and set(out) == set(range(120))
+    assert all(r.held_out == (i in held) and r.predicted == int(r.score >= 0.5) for i, r in out.items())
+
+
 def test_targets_by_water_filling(spark):
     rows = [("a", 100), ("b", 100), ("c", 1000), ("d", 10)]
     got = {r.source_key: r.target for r in mixing.source_targets(spark.createDataFrame(rows, "source_key string, source_size long")).collect()}
@@ -603,6 +628,31 @@ def test_toxicity_reads_long_words_whole():
     assert len(set(got.tolist())) == 5 and toxicity.words_of("a " * 70) == [b"a"] * 70
 
 
+def test_licence_passages_against_every_window(spark):
+    """The best coefficient over all windows, those before a template's first bigram too."""
+    rng = random.Random(5)
+    plain = lambda x: re.sub(r"[^a-z0-9]+", " ", re.sub("[0-9]+", "0", x.lower())).split()
+    header = licences.TEMPLATES["GPL-3.0-header"].split()
+    texts = ["z " * 40 + " ".join(header[:n]) + " some other words follow here" for n in (13, 14, 15, 16, 18)]
+    for _ in range(20):
+        wording = rng.choice(sorted(licences.TEMPLATES.values())).split()
+        cut = rng.randrange(len(wording))
+        texts.append(" ".join(rng.choices(["a", "b", "the"], k=30) + wording[cut // 3 :] + rng.choices(["a", "z z z", "of the"], k=20)))
+    got = licences.passages(spark.createDataFrame(list(enumerate(texts)), "row long, text string"), 0.6, licences.TEMPLATES)
+    got = {(r.row, r.licence): r.dice for r in got.collect()}
+    want = {}
+    for row, text in enumerate(texts):
+        w = plain(text)
+        g = list(zip(w, w[1:]))
+        for name, wording in licences.TEMPLATES.items():
+            x = plain(wording)
+            t, n = set(zip(x, x[1:])), len(x) - 1
+            best = max(2 * len(set(g[k : k + n]) & t) / (len(set(g[k : k + n])) + len(t)) for k in range(len(g)))
+            if best >= 0.6:
+                want[row, name] = best
+    assert got == pytest.approx(want) and (0, "GPL-3.0-header") in got
+
+
 def test_licences_ties_long_texts_and_clashing_columns(spark):
     filler = " ".join(f"q{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(20_000))
     rows = [(1, f"{filler}\nReleased under the MIT License.\n{filler}"), (2, "Released under the BSD License.\nReleased under the MIT License."), (2, "Released under the BSD License.\nReleased under the MIT License."), (3, f"{filler} Licensed under CC BY-SA 4.0. {filler}"), (None, "Licensed under CC BY-NC 4.0.\n" * 3)]

@@ -9,8 +9,8 @@ compared, and lines that no template's size allows are left out before bigrams a
 without any of the words that every match must have (see telling_words) are left out first.
 
 Notices inside longer lines, wrapped over lines or in texts without line breaks are passages of
-the whole normalised text: windows of a template's number of bigrams that begin with one of its
-bigrams are compared with it in the same way.
+the whole normalised text: windows of a template's number of bigrams are compared with it in the
+same way, but for those that the next window is sure to equal (see passages).
 
 The templates are a fixed table in this module: it is broadcast, and doesn't grow with data.
 
@@ -127,8 +127,10 @@ def passages(rows: DataFrame, least: float, known: dict[str, str]) -> DataFrame:
     grams = words.select("row", F.when(n == 1, F.col("w")).otherwise(pairs).alias("g")).withColumn("own", F.array_distinct("g"))
     # Broadcast: the template table is fixed in this module.
     near = grams.join(F.broadcast(wanted), F.size(F.array_intersect("own", "t_grams")) >= F.col("t_size") * low)
-    # A window that begins elsewhere has no more of the template than the next that begins so.
-    starts = F.filter(F.sequence(F.lit(1), F.size("g")), lambda k: F.array_contains(F.col("t_grams"), F.element_at("g", k)))
+    # A window whose first bigram is neither the template's nor met again inside it loses one
+    # bigram and no hit by moving on, and gains one at most: the next one's coefficient is no less.
+    again = lambda k: F.array_contains(F.slice(F.col("g"), k + 1, F.col("t_places") - 1), F.element_at("g", k))
+    starts = F.filter(F.sequence(F.lit(1), F.size("g")), lambda k: F.array_contains(F.col("t_grams"), F.element_at("g", k)) | again(k))
 
     def dice(k: Column) -> Column:
         window = F.array_distinct(F.slice(F.col("g"), k, F.col("t_places")))
