@@ -7,7 +7,7 @@ from tidewatch.operators import chain, dedup, graph, numbering, sequence, tumbli
 from tidewatch.plans import catalog
 from tidewatch.sinks import tables
 from tidewatch.sources import generator, kafka, normalize, simulator
-from tidewatch.streaming import stateful
+from tidewatch.streaming import appended, stateful
 
 
 def frame(spark, rows, schema):
@@ -254,3 +254,17 @@ def test_simulated_spans(spark):
     changed = sum(r.metrics != plain[r.service_id, r.timestamp] for r in late) / len(late)
     assert 0.6 < changed < 0.95
     assert all(0 <= r.metrics.cpu_percent <= 100 and 0 <= r.metrics.error_rate <= 1 for r in rows)
+
+
+def test_appended_windows_equal_batch(spark, stream, tmp_path):
+    make, source = stream
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = drained(appended.anchored_windows(make(), catalog.DAY), "appended", tmp_path)
+    finally:
+        spark.conf.set(provider, before)
+    key = lambda r: (r.service_id, r.window_start_ms, r.window_end_ms, r.span_count, round(r.latency_p99, 6), round(r.cpu_mean, 6))
+    want = sorted(map(key, tumbling.anchored(source, catalog.DAY).collect()))
+    assert want and sorted(map(key, got.collect())) == want
