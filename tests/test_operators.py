@@ -268,3 +268,18 @@ def test_appended_windows_equal_batch(spark, stream, tmp_path):
     key = lambda r: (r.service_id, r.window_start_ms, r.window_end_ms, r.span_count, round(r.latency_p99, 6), round(r.cpu_mean, 6))
     want = sorted(map(key, tumbling.anchored(source, catalog.DAY).collect()))
     assert want and sorted(map(key, got.collect())) == want
+
+
+def test_appended_windows_with_null_metrics_and_further_columns(spark, tmp_path):
+    shape = "service_id string, timestamp_ms long, arrival_seq long, cpu_percent double, latency_p99 double, error_rate double, request_rate double, held int"
+    spark.createDataFrame([("s", t, t, None if t == 1 else 2.0, 3.0, 0.5, 1.0, 9) for t in range(12)], shape).coalesce(1).write.parquet(f"{tmp_path}/in")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = drained(appended.anchored_windows(spark.readStream.schema(shape).parquet(f"{tmp_path}/in"), 5), "nulls", tmp_path).collect()
+    finally:
+        spark.conf.set(provider, before)
+    got = sorted((r.window_start_ms, r.window_end_ms, r.span_count, r.latency_p99, r.cpu_mean) for r in got)
+    assert [g[:4] for g in got] == [(0, 5, 6, 3.0), (5, 10, 5, 3.0)]
+    assert (got[0][4] is None or got[0][4] != got[0][4]) and got[1][4] == 2.0
