@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -218,6 +219,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, b
 WIDE_SHINGLE, BITMAP, LEAST = 5, 4, 0.8
 BLOCK, BLOCK_BYTES = 1_000, 32 << 20
 PART = 1_000_000
+HOT_SHARE, HOT_MOST = 64, 1 << 20
 FOUR = ["f0", "f1", "f2", "f3"]
 PREFIX = "token long, node long, size long, place long, f0 long, f1 long, f2 long, f3 long"
 
@@ -314,22 +316,43 @@ def _joined(group: pa.Table, column: str) -> np.ndarray:
     return np.frombuffer(b"".join(group.column(column).to_pylist()), np.int64)
 
 
-def prefixes(rows: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+def frequent(rows: DataFrame) -> np.ndarray:
+    """The shingles, ascending, that about PART rows or more have, judged by a hashed 1/HOT_SHARE
+    of the rows; at most the HOT_MOST most frequent.  This only decides which way a shingle is
+    counted (see prefixes): either way the count is exact and of all rows."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 8_000_000):
+            token, number = np.unique(np.concatenate([shingle_set(t.encode()) for t in b.column("text").to_pylist()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(number.astype(np.int64))], names=["token", "number"])
+
+    part = rows.where(F.pmod(F.xxhash64("row"), F.lit(HOT_SHARE)) == 0).select("text")
+    counts = part.mapInArrow(tokens, "token long, number long").groupBy("token").agg(F.sum("number").alias("number"))
+    top = counts.where(F.col("number") >= max(1, PART // HOT_SHARE)).orderBy(F.desc("number"), "token").limit(HOT_MOST)
+    return np.sort(top.toArrow().column("token").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def prefixes(rows: DataFrame, distinct: DataFrame, least: float, hot: np.ndarray) -> DataFrame:
     """(token, node, size, place, f0..f3): the shingles of each set that another set has too and
     that lie among its first size - ceil(least * size) + 1, rarest first (then by hash).
 
     Sets of Jaccard `least` or more share one of these, as each has ceil(least * size) of its
     shingles in common with the other and all sets are put in the same order.  Shingles are
     dealt by hash in parts of about PART, counted there, and those of two sets or more dealt by
-    node; both ways as bytes, a row for a part."""
+    node; both ways as bytes, a row for a part.  Those of `hot` are not dealt: a set carries
+    them with it (column `hot` of distinct), they are counted by a grouping that adds up before
+    it shuffles, and their counts, HOT_MOST at most, go to every task."""
     parts = 1 + int(distinct.agg(F.sum("size")).first()[0] or 0) // PART
+    totals = distinct.select(F.explode("hot").alias("token")).groupBy("token").agg(F.count("*").alias("number"))
+    totals = totals.orderBy("token").toArrow() if len(hot) else pa.table({"token": pa.array([], pa.int64()), "number": pa.array([], pa.int64())})
+    hot_token, hot_number = (totals.column(c).to_numpy() for c in ("token", "number"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 8_000_000):
             found = {}
             for t in b.column("text").to_pylist():
                 h = shingle_set(t.encode())
-                found[set_node(h)] = h
+                found[set_node(h)] = h[~np.isin(h, hot)] if len(hot) else h
             token = np.concatenate(list(found.values()))
             node = np.repeat(np.array(list(found), np.int64), [len(h) for h in found.values()])
             yield _grouped((token % np.uint64(parts)).astype(np.int64), [token.view(np.int64), node], ["part", "token", "node"])
@@ -348,10 +371,14 @@ def prefixes(rows: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
         return pa.Table.from_batches([_grouped(node[at] % parts, [token[at], node[at], number[at]], ["bucket", "token", "node", "number"])])
 
     def choose(known: pa.Table, shared: pa.Table) -> pa.Table:
-        token, node, number = (_joined(shared, c) for c in ("token", "node", "number"))
+        ids = known.column("node").to_numpy()
+        carried = pc.list_flatten(known.column("hot")).to_numpy()
+        common = hot_number[np.searchsorted(hot_token, carried)]
+        of = np.repeat(ids, pc.list_value_length(known.column("hot")).to_numpy())
+        extra = [carried[common > 1], of[common > 1], common[common > 1]]
+        token, node, number = (np.concatenate([_joined(shared, c), x]) for c, x in zip(("token", "node", "number"), extra))
         order = np.lexsort((token, number, node))
         token, node = token[order], node[order]
-        ids = known.column("node").to_numpy()
         rank = np.argsort(ids)
         at = rank[np.searchsorted(ids, node, sorter=rank)]
         size = known.column("size").to_numpy()[at]
@@ -364,7 +391,7 @@ def prefixes(rows: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
 
     dealt = rows.select("text").mapInArrow(deal, "part long, token binary, node binary")
     shared = dealt.groupBy("part").applyInArrow(count, "bucket long, token binary, node binary, number binary")
-    known = distinct.select("node", "size", *FOUR).withColumn("bucket", F.pmod("node", F.lit(parts)))
+    known = distinct.select("node", "size", "hot", *FOUR).withColumn("bucket", F.pmod("node", F.lit(parts)))
     return known.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(choose, PREFIX)
 
 
@@ -380,16 +407,21 @@ def similar_rows(rows: DataFrame, least: float = LEAST) -> DataFrame:
     BLOCK nodes or BLOCK_BYTES of shingles, are cut into blocks of which any two meet in a task,
     so no task holds a whole group."""
     large, block = LARGE, BLOCK
+    hot_shingles = frequent(rows)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets_ = [shingle_set(t.encode()) for t in b.column("text").to_pylist()]
             f = np.stack([parity_bitmap(h) for h in sets_]).view(np.int64)
             node, size = [set_node(h) for h in sets_], [len(h) for h in sets_]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), *[pa.array(np.ascontiguousarray(f[:, k])) for k in range(BITMAP)]], names=["row", "doc_id", "node", "size", *FOUR])
+            own = [h[np.isin(h, hot_shingles)].view(np.int64) for h in sets_] if len(hot_shingles) else [[]] * len(sets_)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("row"), b.column("doc_id"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), *[pa.array(np.ascontiguousarray(f[:, k])) for k in range(BITMAP)], pa.array(own, pa.list_(pa.int64()))],
+                names=["row", "doc_id", "node", "size", *FOUR, "hot"],
+            )
 
-    fps = stage(rows.select("row", "doc_id", "text").mapInArrow(sketch, "row long, doc_id long, node long, size long, f0 long, f1 long, f2 long, f3 long"), "similar-fps")
-    distinct = stage(fps.groupBy("node", "size", *FOUR).agg(F.min("row").alias("first")), "similar-distinct")
+    fps = stage(rows.select("row", "doc_id", "text").mapInArrow(sketch, "row long, doc_id long, node long, size long, f0 long, f1 long, f2 long, f3 long, hot array<long>"), "similar-fps")
+    distinct = stage(fps.groupBy("node", "size", *FOUR, "hot").agg(F.min("row").alias("first")), "similar-distinct")
 
     def near(i: np.ndarray, j: np.ndarray, size: np.ndarray, place: np.ndarray, f: np.ndarray) -> np.ndarray:
         # At the first shingle that both have, no more than the rest of either can be common.
@@ -482,7 +514,7 @@ def similar_rows(rows: DataFrame, least: float = LEAST) -> DataFrame:
         if held is not None and len(held[0]):
             yield out(*linked(*held))
 
-    dealt = prefixes(rows, distinct, least).repartition("token").sortWithinPartitions("token", "node")
+    dealt = prefixes(rows, distinct, least, hot_shingles).repartition("token").sortWithinPartitions("token", "node")
     found = stage(dealt.mapInArrow(compare, "a long, b long, token long, size long, place long, f0 long, f1 long, f2 long, f3 long"), "similar-found")
     edges = found.where("token is null").select("a", "b")
 
@@ -496,7 +528,7 @@ def similar_rows(rows: DataFrame, least: float = LEAST) -> DataFrame:
     apart = _dealt_pairs(crowd.join(crowds, "token"), "token", "blocks")
     edges = edges.union(apart.groupBy("token", "i", "j").applyInArrow(across, "a long, b long"))
     trees = components(edges.distinct(), "similar-trees").withColumnRenamed("root", "tree")
-    members = stage(distinct.join(trees, "node"), "similar-members")
+    members = stage(distinct.drop("hot").join(trees, "node"), "similar-members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
