@@ -65,10 +65,11 @@ def test_dedup(spark, rocks, written):
 
 
 def test_dedup_with_null_ids(spark, rocks, tmp_path):
-    rows = [("s", None if k % 2 else "x", 1_000 * k, k, 1.0, 1.0, 2.0, 3.0, k) for k in range(8)]
+    # Not at time 0: the watermark begins there, and what is not after it is late.
+    rows = [("s", None if k % 2 else "x", 1_000 * k + 1_000, k, 1.0, 1.0, 2.0, 3.0, k) for k in range(8)]
     spark.createDataFrame(rows, SHAPE).coalesce(1).write.parquet(f"{tmp_path}/in")
     got = _run(appended.dedup_ttl(_read(spark, f"{tmp_path}/in"), ttl_ms=3_000), "appended_null_ids")
-    assert sorted((r.timestamp_ms, r.span_id, r.held) for r in got) == [(0, "x", 0), (1_000, None, 1), (4_000, "x", 4), (5_000, None, 5)]
+    assert sorted((r.timestamp_ms, r.span_id, r.held) for r in got) == [(1_000, "x", 0), (2_000, None, 1), (5_000, "x", 4), (6_000, None, 5)]
 
 
 def test_sliding_detector_with_null_metrics_and_no_rows(spark, rocks, tmp_path):
