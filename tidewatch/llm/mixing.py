@@ -127,13 +127,15 @@ def mixture(docs: DataFrame, cycle: tuple[float, ...] = CYCLE, total: float = 1.
 
     slots_ = targets.agg(F.sum("quota")).first()[0] or 0
     runs = dealt_slots(targets, max(least_shards, -(-int(slots_) // shard_slots)), seed)
+    # Joined while they are few, and merged here and below: the planner sizes slots and pieces as the
+    # rows that they are exploded from, and would send all of them through the driver.
+    runs = runs.hint("merge").join(targets.select("source_no", "blocks", "full", "quota", "last"), "source_no")
     chunk = 1 << 14
     runs = runs.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {chunk}"))))
     # By number, as the few rows here become many slots: about 2**17 a task.
     runs = runs.repartition(max(1, min(50_000, int(slots_) >> 17)), "shard", "source_no", "c")
     lo = F.col("first") + F.col("c") * chunk
-    runs = runs.select("shard", "source_no", F.explode(F.sequence(lo, F.least(lo + chunk, F.col("first") + F.col("n")) - 1)).alias("slot"))
-    runs = runs.join(targets.select("source_no", "blocks", "full", "quota", "last"), "source_no")
+    runs = runs.select("shard", "source_no", "blocks", "full", "quota", "last", F.explode(F.sequence(lo, F.least(lo + chunk, F.col("first") + F.col("n")) - 1)).alias("slot"))
     epoch = F.expr("slot div blocks")
     runs = runs.withColumn("k", F.col("slot") % F.col("blocks"))
     runs = permuted(runs, F.least(F.col("k"), F.greatest(F.col("full") - 1, F.lit(0))), F.greatest(F.col("full"), F.lit(1)), [F.col("source_no"), epoch, F.lit(seed)], "place")
@@ -154,7 +156,7 @@ def shard_pieces(pieces: DataFrame, slots: DataFrame) -> DataFrame:
     pieces of documents that every slot takes.  A block has `block` pieces at most, and one
     slot in each epoch."""
     taken = F.when(F.col("upto").isNull(), F.col("words")).otherwise(F.least("words", F.col("upto") - F.col("at")))
-    held = pieces.join(slots.withColumnRenamed("words", "upto"), ["source_no", "block_no"])
+    held = pieces.join(slots.withColumnRenamed("words", "upto").hint("merge"), ["source_no", "block_no"])
     return held.select("shard", "source_no", "slot", "row", "start", taken.alias("words"), "at").where("words > 0")
 
 
