@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..config import ANOMALY_TYPES, METRICS, UNKNOWN_TYPE
 from .chain import greedy_chain
-from .numbering import WIDTH, running_max
+from .numbering import WIDTH, running_max, spread
+
+RANGE = 1 << 15  # rows for each range that a window's length is cut into
 
 
 def trailing_z(events: DataFrame, window_ms: int = 300_000, least: int = 10, metrics: tuple[str, ...] = METRICS, by_prefix: bool = True, key: str = "service_id") -> DataFrame:
@@ -15,9 +17,10 @@ def trailing_z(events: DataFrame, window_ms: int = 300_000, least: int = 10, met
     (its lower bound included, the row included), rounded to 4 places; null where n < least.
 
     A moving range frame (by_prefix=False) costs rows times window, a task for each key.  With
-    `by_prefix`, a key's rows are dealt to time buckets of the window's length, each with the
-    rows of the bucket before, and running sums with an expiry marker for each row do it in one
-    pass: a hot key is split over its buckets, and no sum runs over more than two windows."""
+    `by_prefix`, a key's rows are dealt to time buckets of the window's length, each with the sum
+    of the bucket before, and running sums with an expiry marker for each row do it in one pass.
+    Buckets are cut into ranges of time that start from the sums of those before, so a hot key is
+    split however dense it is, and no sum runs over more than two windows."""
     out = _by_prefix(events, window_ms, metrics, key) if by_prefix else _by_range(events, window_ms, metrics, key)
     return _scored(out, least, metrics)
 
@@ -53,19 +56,30 @@ def _by_prefix(events: DataFrame, window_ms: int, metrics: tuple[str, ...], key:
     # Sums of squares cancel where the mean is large: values are centred on their key's mean first.
     centre = events.groupBy(key).agg(*[F.avg(m).alias(f"_c_{m}") for m in metrics])
     rows = events.join(centre, key).withColumns({f"_x_{m}": F.col(m) - F.col(f"_c_{m}") for m in metrics})
+    # A bucket is cut into ranges of time, more of them the more rows there are.
+    total = events.count()
+    ranges = max(1, min(window_ms, total // RANGE))
     bucket = F.floor(F.col(t) / window_ms).cast("long")
-    live = rows.withColumns({"_bucket": bucket, "_t": F.col(t), "_kind": F.lit(0), "_sign": F.lit(1)})
+    at = F.coalesce(bucket * ranges + F.floor(F.pmod(F.col(t), F.lit(window_ms)) * ranges / window_ms).cast("long"), F.lit(-(1 << 62)))
+    live = rows.withColumns({"_bucket": bucket, "_range": at, "_t": F.col(t), "_kind": F.lit(0), "_sign": F.lit(1)})
     # In the next bucket a row counts from the start until it expires.
     bare = [F.col(c) if c == key or c.startswith("_x_") else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
-    before = rows.select(*bare, (bucket + 1).alias("_bucket"), ((bucket + 1) * window_ms - 1).alias("_t"), F.lit(1).alias("_kind"), F.lit(1).alias("_sign"))
-    gone = rows.select(*bare, (bucket + 1).alias("_bucket"), (F.col(t) + window_ms).alias("_t"), F.lit(1).alias("_kind"), F.lit(-1).alias("_sign"))
-    w = Window.partitionBy(key, "_bucket").orderBy("_t", "_kind").rangeBetween(Window.unboundedPreceding, 0)
-    if order is not None:  # rows of one time count those before them alone
-        w = Window.partitionBy(key, "_bucket").orderBy("_t", "_kind", order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = {"n": F.sum("_sign").over(w).cast("long")}
+    gone = rows.select(*bare, (bucket + 1).alias("_bucket"), (at + ranges).alias("_range"), (F.col(t) + window_ms).alias("_t"), F.lit(1).alias("_kind"), F.lit(-1).alias("_sign"))
+    parts = {"n": F.col("_sign")}
     for m in metrics:
-        sums |= {f"_s_{m}": F.sum(F.col("_sign") * F.col(f"_x_{m}")).over(w), f"_q_{m}": F.sum(F.col("_sign") * F.col(f"_x_{m}") * F.col(f"_x_{m}")).over(w)}
-    out = live.unionByName(before).unionByName(gone).withColumns(sums).where("_kind = 0")
+        parts |= {f"_s_{m}": F.col("_sign") * F.col(f"_x_{m}"), f"_q_{m}": F.col("_sign") * F.col(f"_x_{m}") * F.col(f"_x_{m}")}
+    both = live.unionByName(gone)
+    # What stands before a range: the rows of the bucket before, and all of this one's earlier ranges.
+    sums = both.groupBy(key, "_bucket", "_range").agg(*[F.sum(c).alias(f"_sum_{k}") for k, c in parts.items()])
+    ahead = Window.partitionBy(key, "_bucket").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    last = live.groupBy(key, (F.col("_bucket") + 1).alias("_bucket")).agg(*[F.sum(c).alias(f"_last_{k}") for k, c in parts.items()])
+    base = sums.withColumns({f"_sum_{k}": F.coalesce(F.sum(f"_sum_{k}").over(ahead), F.lit(0)) for k in parts}).join(last, [key, "_bucket"], "left")
+    base = base.select(key, "_range", *[(F.col(f"_sum_{k}") + F.coalesce(f"_last_{k}", F.lit(0))).alias(f"_base_{k}") for k in parts])
+    w = Window.partitionBy(key, "_range").orderBy("_t", "_kind").rangeBetween(Window.unboundedPreceding, 0)
+    if order is not None:  # rows of one time count those before them alone
+        w = Window.partitionBy(key, "_range").orderBy("_t", "_kind", order).rowsBetween(Window.unboundedPreceding, 0)
+    out = spread(both, 2 * total, key, "_range").withColumns({k: F.sum(c).over(w) for k, c in parts.items()}).where("_kind = 0").join(base.hint("merge"), [key, "_range"])
+    out = out.withColumns({k: F.coalesce(k, F.lit(0)) + F.col(f"_base_{k}") for k in parts}).withColumn("n", F.col("n").cast("long"))
     for m in metrics:
         mean = F.col(f"_s_{m}") / F.col("n")
         out = out.withColumns({f"_mean_{m}": mean + F.col(f"_c_{m}"), f"_std_{m}": F.sqrt(F.greatest(F.col(f"_q_{m}") / F.col("n") - mean * mean, F.lit(0.0)))})
