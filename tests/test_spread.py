@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import numbering, zscore
+from tidewatch.operators import chain, numbering, zscore
 
 METRICS = ("m",)
 
@@ -20,3 +20,11 @@ def test_a_dense_window_is_split_over_tasks(spark, monkeypatch):
     assert _most(out.where("n > 0"), "n") < 2000
     got, want = (zscore.trailing_z(rows, w, 10, METRICS, by_prefix=p).orderBy("arrival_seq").select("n", "z_m").collect() for w, p in ((700, True), (700, False)))
     assert got == want
+
+
+def test_a_long_key_of_the_chain_is_split_over_tasks(spark, monkeypatch):
+    rows = spark.range(6000).select(F.lit("k").alias("k"), F.col("id").alias("o"), F.col("id").alias("t"))
+    monkeypatch.setattr(numbering, "ROWS", 500, raising=False)
+    out = chain.greedy_chain(rows, "k", "o", "t", 100, most=1000, width=100, records=100)
+    assert _most(out, "fired") < 2000
+    assert out.where("fired").count() == 60

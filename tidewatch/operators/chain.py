@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .numbering import WIDTH, numbered
+from .numbering import WIDTH, numbered, spread
 from .staged import staged
 
 MOST, RECORDS = 1 << 20, 1 << 18
@@ -73,11 +73,12 @@ def _split(df: DataFrame, key: str, order: str, t: str, gap: int, strict: bool,
     """greedy_chain of keys whose rows no task may hold."""
     side = "right" if strict else "left"
     k, g = F.to_json(F.struct(F.col(key).alias("k"))), F.floor(F.col(order).cast("double") / width).cast("long")
-    times = df.select(k.alias("_k"), g.alias("_g"), F.col(order).alias("_o"), F.col(t).cast("long").alias("_t"))
+    times = staged(df.select(k.alias("_k"), g.alias("_g"), F.col(order).alias("_o"), F.col(t).cast("long").alias("_t")), "chain-times")
+    total = times.count()
     ranges = Window.partitionBy("_k").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("_k", "_g").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
     tops = times.groupBy("_k", "_g").agg(F.max("_t").alias("_top")).select("_k", "_g", F.max("_top").over(ranges).alias("_before"))
-    rising = times.where("_t is not null").withColumn("_run", F.max("_t").over(inside)).join(tops, ["_k", "_g"])
+    rising = spread(times.where("_t is not null"), total, "_k", "_g").withColumn("_run", F.max("_t").over(inside)).join(tops, ["_k", "_g"])
     rising = rising.where(F.col("_t") > F.coalesce(F.greatest("_run", "_before"), F.lit(_NEVER))).select("_k", "_o", "_t")
     cut = numbered(rising, "_k", "_o", width).withColumn("_block", F.floor(F.col("_rn") / records).cast("long"))
     cut = staged(cut.select("_k", "_block", "_o", "_t"), "chain-records")
@@ -127,7 +128,7 @@ def _split(df: DataFrame, key: str, order: str, t: str, gap: int, strict: bool,
     anchors = staged(anchors, "chain-anchors").withColumn("_g", F.floor(F.col("_o").cast("double") / width).cast("long"))
     # Each anchor stands right after its row: rows look back, and a row's own anchor is next.
     rows = df.withColumns({"_k": k, "_g": g, "_o": F.col(order), "_mark": F.lit(0)})
-    both = rows.unionByName(anchors.withColumn("_mark", F.lit(1)), allowMissingColumns=True)
+    both = spread(rows.unionByName(anchors.withColumn("_mark", F.lit(1)), allowMissingColumns=True), total, "_k", "_g")
     line = Window.partitionBy("_k", "_g").orderBy("_o", "_mark")
     back = line.rowsBetween(Window.unboundedPreceding, -1)
     both = both.withColumns({"_near": F.max("_at").over(back), "_near_no": F.max("_no").over(back), "_next": F.lead("_mark").over(line)}).where("_mark = 0")
