@@ -170,3 +170,15 @@ def test_nothing_to_learn_or_score(spark, rows):
     got = lm.scored(docs, lm.train(none, lex), lex, counts).collect()
     assert len(got) == 14 and all(r.base_score == 0 and r.n_known == 0 and math.isfinite(r.score) and r.score < 0 for r in got)
     assert lm.scored(none, lm.train(none, lex), lex, counts).collect() == []
+
+
+def test_every_training_row_is_learned_from_however_large_the_corpus(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"w{k % 7} w{k % 5} w{k % 3}") for k in range(200)], "doc_id long, text string").repartition(2)
+    counts = lm.stage(lm.token_counts(docs), "counts")
+    lex = lm.lexicon(counts)
+    lex.tokens = 10**9
+    seen, stage = [], lm.stage
+    monkeypatch.setattr(lm, "stage", lambda df, label: seen.append((label, stage(df, label))) or seen[-1][1])
+    lm.train(docs, lex)
+    learned = [df for label, df in seen if label == "language-model-learn"]
+    assert [df.count() for df in learned] == [200]

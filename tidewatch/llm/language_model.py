@@ -13,9 +13,7 @@ training propagates back over the `window` steps of one window and passes on the
 
 Training is spread over tasks: `learners` that each go over their own documents from the same
 weights; then weights are averaged by tokens, in a tree of joins by chunk, and the next round
-starts.  Documents to learn from are chosen by a hash from all training rows: LEARN_SHARE of the
-tokens, but LEARN_LEAST tokens if there are so many; so what is gathered grows with the input.
-Each of a round's documents is read whole.
+starts.  Every training row is learned from, whole, in one of the rounds, which a hash deals out.
 
 Counts reach the scoring pass two ways: those of the most frequent words (FREQUENT at most, none
 over WORD_BYTES bytes) by a broadcast, all others by a join of (word, row) pairs.
@@ -46,7 +44,6 @@ VOCABULARY, FREQUENT, WORD_BYTES, TAILS = 1 << 12, 1 << 17, 64, 32
 EMBED, HIDDEN, CLASSES = 12, 16, 48
 ROUNDS, STREAMS, WINDOW, RATE = 4, 64, 16, 0.015
 SLOTS, SPAN, TOKENS = 256, 64, 1 << 22  # of a scoring pass
-LEARN_SHARE, LEARN_LEAST = 1 / 32, 1_000_000
 END = b" "  # no word has a blank
 _FLUSH, _CHUNKS, _FAN = 200_000, 8, 32
 
@@ -357,16 +354,13 @@ def _added(updates: DataFrame) -> DataFrame:
     return grouped.repartition("chunk", "learner").mapInArrow(add, _UPDATE)
 
 
-def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, share: float = LEARN_SHARE, least: int = LEARN_LEAST) -> Network:
-    """Learn from a hashed share of docs (doc_id, text): `share` of the tokens or `least` of them,
-    whichever is more, each text in one of the rounds."""
+def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Network:
+    """Learn from all docs (doc_id, text), each text in one of the rounds, by a hash."""
     net = Network(lex)
     if not lex.tokens:
         return net
-    part = max(share, min(1.0, least / lex.tokens))
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.lit(1 << 20)) / float(1 << 20)
-    chosen = docs.select("doc_id", "text").withColumn("_draw", draw).where(F.col("_draw") < part)
-    learn = stage(chosen.select("text", F.least(F.floor(F.col("_draw") / part * rounds), F.lit(rounds - 1)).cast("int").alias("round")), "language-model-learn")
+    turn = F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.lit(rounds)).cast("int")
+    learn = stage(docs.select("text", turn.alias("round")), "language-model-learn")
     held = docs.sparkSession.sparkContext
     for r in range(rounds):
         start = held.broadcast((net, net.flat()))  # fixed size: the network's parameters
