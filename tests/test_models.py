@@ -241,3 +241,21 @@ def test_evaluation_replay_counts_every_window_for_each_persistence(spark, data)
     assert [r.persistence for r in got] == [1, 2, 3, 4, 5]
     assert all(r.tp + r.fp + r.fn + r.tn == windows > 0 for r in got)
     assert all(a.tp + a.fp >= b.tp + b.fp for a, b in zip(got, got[1:]))
+
+
+@pytest.mark.parametrize("scale", [1, 40])  # 40: scores beyond the exponential's range
+def test_transformer_by_hand_equals_its_graph_and_builds_none(scale, monkeypatch):
+    shape = ae.Shape(length=7, features=4, width=8, heads=2, layers=2, feed=10, decoder=(9, 11))
+    net = ae.Transformer(shape)
+    net.w = {k: v * scale if ".q." in k or ".k." in k else v for k, v in net.w.items()}
+    x = np.random.default_rng(3).standard_normal((5, 7, 4))
+    loss, grads = ae._Network.loss(net, x)
+    errors = ae._Network.errors(net, x)
+
+    def none(*_):
+        raise AssertionError("a graph was built")
+
+    monkeypatch.setattr(ae.ad, "softmax", none)
+    got, mine = net.loss(x)
+    assert got == pytest.approx(loss) and np.allclose(net.errors(x, batch=2), errors)
+    assert mine.keys() == grads.keys() and all(np.allclose(mine[k], grads[k], atol=1e-9) for k in grads)
