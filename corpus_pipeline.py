@@ -28,13 +28,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group that similar five-word shingles link: that of smallest doc_id (null
-    ones last), then of smallest SHA-256 of its text, then the first.  So a text without a like
-    stays, whatever its doc_id, and of repeated rows one stays; all wordless texts are one group."""
+    """One row of each group that SimHash fingerprints (op2's, by its anchors) or similar five-word
+    shingles link: that of smallest doc_id (null ones last), then of smallest SHA-256 of its text,
+    then the first.  So a text without a like stays, whatever its doc_id, and of repeated rows one
+    stays; all wordless texts are one group."""
     guarded, names = common.guarded(docs, ("doc_id", "text"))
     rows = simhash.numbered(guarded)
     text = common.text_or_empty()
-    found = simhash.similar_rows(rows.select("row", F.col("doc_id").cast("long"), text.alias("text")))
+    found = simhash.linked_rows(rows.select("row", F.col("doc_id").cast("long"), text.alias("text")))
     digests = rows.select("row", F.sha2(text, 256).alias("digest"))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "row")
     first = found.join(digests, "row").groupBy("top").agg(F.min(order).alias("least")).select("least.row")

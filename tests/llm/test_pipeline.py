@@ -3,6 +3,7 @@
 import hashlib
 
 import corpus_pipeline
+from tidewatch.llm import simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -83,3 +84,26 @@ def test_stages_keep_columns_of_any_name_and_odd_rows(spark, tmp_path):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert pieces.where("start = 0").count() == len(rows)
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_go_by_fingerprints_and_by_shingles(spark):
+    """Fingerprints count repeats, sets of shingles don't; groups take the links of both."""
+    make = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    often = "one two three " * 300
+    texts = [often + make(1, 8), often + make(2, 8), make(3), make(3) + " tail", make(4), often + make(2, 8) + " end", "", make(5), "four five six " * 300 + make(1, 8), None]
+    prints = [simhash.fingerprint((t or "").encode()) for t in texts]
+    sets = [shingles(t) for t in texts]
+    by = {"fingerprint": 0, "shingles": 0}
+    top = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            near = (prints[i] ^ prints[j]).bit_count() <= 2
+            like = sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0
+            by["fingerprint"] += near and not like
+            by["shingles"] += like and not near
+            if near or like:
+                top = [min(top[i], top[j]) if x in (top[i], top[j]) else x for x in top]
+    assert min(by.values()) > 0
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert got == set(top) and 1 not in got

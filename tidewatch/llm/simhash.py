@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, slices, stage, table, text_or_empty
@@ -61,15 +61,16 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(row, doc_id, fp) with fp as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, row: Column | None = None) -> DataFrame:
+    """(row, doc_id, fp) with fp as a signed long; rows are numbered anew unless `row` numbers them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             fp = np.array([fingerprint(t.encode(), shingle, seed) for t in b.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(fp.view(np.int64))], names=["row", "doc_id", "fp"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    number = F.monotonically_increasing_id() if row is None else row
+    rows = docs.select(number.alias("row"), F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, "row long, doc_id long, fp long")
 
 
@@ -204,13 +205,19 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     return edges.unionByName(more)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, bits: int = BITS) -> DataFrame:
-    """(row, doc_id, fp, component_id) for every row of docs."""
-    fps = stage(fingerprints(docs, shingle, seed), "simhash-fps")
+def fingerprint_roots(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """(fp, first, root) of each distinct fingerprint: its least doc_id, and the least fingerprint
+    that links at `bits` or fewer reach."""
     least = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     linked = components(links(least, bits), "simhash")
     roots = least.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    roots = stage(roots, "simhash-roots")
+    return stage(roots, "simhash-roots")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, bits: int = BITS) -> DataFrame:
+    """(row, doc_id, fp, component_id) for every row of docs."""
+    fps = stage(fingerprints(docs, shingle, seed), "simhash-fps")
+    roots = fingerprint_roots(fps, bits)
     smallest = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = stage(roots.join(smallest, "root").select("fp", "component_id"), "simhash-classes")
     return fps.join(classes, "fp")
@@ -553,6 +560,20 @@ def similar_rows(rows: DataFrame, least: float = LEAST) -> DataFrame:
     return fps.select("row", "doc_id", "node").join(tops, "node").select("row", "doc_id", "node", "top")
 
 
+def linked_rows(rows: DataFrame, least: float = LEAST) -> DataFrame:
+    """(row, doc_id, top) of every row of `rows` (as of similar_rows): rows of one top are linked by
+    fingerprints at BITS or fewer differing bits, found by the anchors as in near_duplicates, or by
+    an exact similarity of `least` or more, which fingerprints can't promise to find."""
+    fps = stage(fingerprints(rows, row=F.col("row")), "simhash-fps")
+    found = stage(similar_rows(rows, least).select("row", "doc_id", "top"), "similar-classes")
+    near = fps.join(fingerprint_roots(fps).select("fp", "root"), "fp").select("row", "root")
+    pairs = stage(found.join(near, "row").select("root", "top").distinct(), "similar-pairs")
+    first = pairs.groupBy("root").agg(F.min("top").alias("b"), F.max("top").alias("last")).where("b <> last").select("root", "b")
+    edges = pairs.join(first, "root").where("top <> b").select(F.col("top").alias("a"), "b").distinct()
+    both = components(edges, "similar-both").withColumnRenamed("node", "top")
+    return found.join(both, "top", "left").select("row", "doc_id", F.coalesce("root", "top").alias("top"))
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with a number `row`, staged so that rows keep it."""
     return stage(docs.withColumn("row", F.monotonically_increasing_id()), "similar-rows")
