@@ -182,3 +182,33 @@ def test_every_training_row_is_learned_from_however_large_the_corpus(spark, monk
     lm.train(docs, lex)
     learned = [df for label, df in seen if label == "language-model-learn"]
     assert [df.count() for df in learned] == [200]
+
+
+def test_learner_reads_every_symbol_once(monkeypatch):
+    """Texts of very unlike lengths: all symbols are targets, and few are read a second time."""
+    net = lm.Network(lexicon([b"w%d" % k for k in range(20)]))
+    r = np.random.default_rng(5)
+    texts = [r.integers(2, net.symbols, n).astype(np.int32) for n in (3000, 5, 40, 1, 900, 17, 64, 333)]
+    learner, seen, gradients = lm.Learner(net, streams=4, window=8), [], net.gradients
+    monkeypatch.setattr(net, "gradients", lambda i, t, h: seen.append((i.copy(), t.copy())) or gradients(i, t, h))
+    for t in texts:
+        learner.read(t)
+    learner.finish()
+    assert learner.tokens == sum(map(len, texts))
+    pairs = lambda i, t: zip(i.ravel().tolist(), t.ravel().tolist())
+    got = Counter(p for i, t in seen for p in pairs(i, t))
+    want = Counter(p for t in texts for p in pairs(np.concatenate([[0], t[:-1]]), t))
+    assert not want - got and (got - want).total() < 0.1 * want.total()
+
+
+def test_pieces_of_a_long_text_start_from_a_state_of_their_own(monkeypatch):
+    net = lm.Network(lexicon([b"a", b"b", b"c"]))
+    text = np.random.default_rng(6).integers(1, 5, 2000).astype(np.int32)
+    learner, starts = lm.Learner(net, streams=4, window=8, rate=0.0), []
+    monkeypatch.setattr(learner, "_learn", lambda slots, n, window: starts.append(learner.h.copy()) or learner.length.fill(0))
+    learner.read(text)
+    learner.finish()
+    inputs = np.concatenate([[0], text[:-1]])[:, None]
+    size = -(-2000 // 32) * 8
+    for k, h in enumerate(starts[0]):
+        assert np.allclose(h, net.state_after(inputs[: k * size], np.zeros((1, lm.HIDDEN), np.float32))[0], atol=1e-3)

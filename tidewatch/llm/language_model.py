@@ -42,7 +42,7 @@ from .common import slices, stage, table, text_or_empty
 
 VOCABULARY, FREQUENT, WORD_BYTES, TAILS = 1 << 12, 1 << 17, 64, 32
 EMBED, HIDDEN, CLASSES = 12, 16, 48
-ROUNDS, STREAMS, WINDOW, RATE = 4, 64, 16, 0.015
+ROUNDS, STREAMS, WINDOW, RATE, WARM = 4, 256, 16, 0.015, 64
 SLOTS, SPAN, TOKENS = 256, 64, 1 << 22  # of a scoring pass
 END = b" "  # no word has a blank
 _FLUSH, _CHUNKS, _FAN = 200_000, 8, 32
@@ -185,6 +185,13 @@ class Network:
         c = np.tanh(x[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
         return h + z * (c - h), (h, z, r, c, a[:, 2 * HIDDEN :])
 
+    def state_after(self, inputs: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The state after inputs (steps, streams) that start from states h."""
+        x = self.p["embed"][inputs] @ self.p["in"] + self.p["bias"]
+        for t in range(len(inputs)):
+            h, _ = self.step(x[t], h * (inputs[t] != 0)[:, None])
+        return h
+
     def output(self, h: np.ndarray, target: np.ndarray, grads: Weights | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each target after state h; with `grads`, those of the mean
         of its negative are added there, and the gradient by h is the second result."""
@@ -225,7 +232,7 @@ class Network:
             e -= e.max(axis=1, keepdims=True)
         picked = e[rows, at]
         np.exp(e, out=e)
-        return picked, e.sum(axis=1)
+        return picked, e @ np.ones(e.shape[1], e.dtype)
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[float, Weights, np.ndarray]:
         """(mean loss, gradients, last state) of one window: (steps, streams) of symbols; a text
@@ -254,7 +261,9 @@ class Network:
         ids = inputs.ravel()
         g["in"] = p["embed"][ids].T @ flat
         g["bias"] = flat.sum(axis=0)
-        np.add.at(g["embed"], ids, flat @ p["in"].T)
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        g["embed"][ids[order[first]]] = np.add.reduceat((flat @ p["in"].T)[order], first, axis=0)
         return -float(scores.mean()), g, h
 
     def flat(self) -> np.ndarray:
@@ -277,6 +286,7 @@ class Learner:
         self.h = np.zeros((streams, HIDDEN), np.float32)
         self.waiting: list[list[np.ndarray]] = [[] for _ in range(streams)]
         self.length = np.zeros(streams, np.int64)
+        self.heads: list[np.ndarray] = [np.zeros((2, 0), np.int32)] * streams  # of a slot's last text
         self.moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
 
     def read(self, symbols: np.ndarray) -> None:
@@ -284,33 +294,49 @@ class Learner:
         slot = int(self.length.argmin())
         pair = np.stack([np.concatenate([[0], symbols[:-1]]), symbols])
         self.waiting[slot].append(pair)
+        self.heads[slot] = pair[:, : self.window]
         self.length[slot] += len(symbols)
         if self.length.min() >= 16 * self.window:
-            self._learn(int(self.length.min()) // self.window)
+            n = int(self.length.min()) // self.window * self.window
+            self._learn(np.arange(len(self.waiting)), n, self.window)
 
     def finish(self) -> None:
-        """What is left: slots are as long as the longest by then, read again from their start."""
-        if not self.length.max():
-            return
-        whole = max(1, -(-int(self.length.max()) // self.window)) * self.window
-        filled = [k for k in range(len(self.waiting)) if self.length[k]]
-        for k, parts in enumerate(self.waiting):
-            row = np.concatenate(self.waiting[filled[k % len(filled)]] if not parts else parts, axis=1)
-            self.waiting[k] = [np.tile(row, -(-whole // row.shape[1]))[:, :whole]]
-        self.tokens += int(self.length.sum())
-        self.length[:] = whole
-        self._learn(whole // self.window, False)
-
-    def _learn(self, windows: int, counted: bool = True) -> None:
-        n = windows * self.window
-        rows = [np.concatenate(parts, axis=1) for parts in self.waiting]
-        self.waiting = [[r[:, n:]] if r.shape[1] > n else [] for r in rows]
-        self.length -= n
+        """What is left, once.  It is cut into pieces of like length, read side by side: a piece
+        that doesn't start its slot's rest has the state that the WARM symbols before it lead to.
+        A piece's last window is filled up from its slot's last text, uncounted."""
+        rest = {k: np.concatenate(self.waiting[k], axis=1) for k in np.flatnonzero(self.length)}
+        size = max(16, -(-WARM // self.window), -(-sum(r.shape[1] for r in rest.values()) // (len(self.waiting) * self.window))) * self.window
+        cuts = [(k, at) for k, r in rest.items() for at in range(0, r.shape[1], size)]
+        states = np.stack([self.h[k] * (at == 0) for k, at in cuts]) if cuts else self.h
+        warm = [i for i, (_, at) in enumerate(cuts) if at]
+        if warm:
+            before = np.stack([rest[cuts[i][0]][0, max(0, cuts[i][1] - WARM) : cuts[i][1]] for i in warm], axis=1)
+            states[warm] = self.net.state_after(before, states[warm])
+        pieces = [rest[k][:, at : at + size] for k, at in cuts]
+        self.waiting, self.length, self.h = [[p] for p in pieces], np.array([p.shape[1] for p in pieces], np.int64), states
+        while len(live := np.flatnonzero(self.length)):
+            for i in live:
+                more = self.window - int(self.length[i])
+                if more > 0:
+                    head = self.heads[cuts[i][0]]
+                    self.waiting[i].append(np.tile(head, -(-self.window // head.shape[1]))[:, :more])
+                    self.tokens -= more
+                    self.length[i] = self.window
+            self._learn(live, int(self.length[live].min()) // self.window * self.window, self.window)
+
+    def _learn(self, slots: np.ndarray, n: int, window: int) -> None:
+        """The next n symbols of each of the slots."""
+        rows = [np.concatenate(self.waiting[k], axis=1) for k in slots]
+        for k, r in zip(slots, rows):
+            self.waiting[k] = [r[:, n:]] if r.shape[1] > n else []
+        self.length[slots] -= n
         block = np.stack([r[:, :n] for r in rows], axis=2)
-        self.tokens += n * len(rows) if counted else 0
-        for k in range(0, n, self.window):
-            _, g, self.h = self.net.gradients(block[0, k : k + self.window], block[1, k : k + self.window], self.h)
+        self.tokens += n * len(rows)
+        h = self.h[slots]
+        for k in range(0, n, window):
+            _, g, h = self.net.gradients(block[0, k : k + window], block[1, k : k + window], h)
             self._move(g)
+        self.h[slots] = h
 
     def _move(self, g: Weights) -> None:
         """Adam with a clipped norm; rows of a table that no gradient reached stay."""
