@@ -212,3 +212,68 @@ def test_pieces_of_a_long_text_start_from_a_state_of_their_own(monkeypatch):
     size = -(-2000 // 32) * 8
     for k, h in enumerate(starts[0]):
         assert np.allclose(h, net.state_after(inputs[: k * size], np.zeros((1, lm.HIDDEN), np.float32))[0], atol=1e-3)
+
+
+def test_arrow_symbols_equal_plain_ones(rows):
+    net = lm.Network(lexicon([b"ba", b"ca", b"da", b"word", b"\xc3\xa9a"]))
+    texts = [r[1] or "" for r in rows] + [" a", "\ta  ba\x0b\x0c", "\x00 \x1f ba"]
+    for given in (texts, texts[-1:], ["", ""], []):
+        got = net.symbols_in(pa.array(["zz", *given]).slice(1).cast(pa.string())).to_pylist()
+        assert [np.frombuffer(g, np.uint16).tolist() for g in got] == [net.symbols_of(words(t)).tolist() for t in given]
+
+
+def test_rounds_read_symbols_not_texts(spark, rows, monkeypatch):
+    """Words are looked up once: what the rounds read has two bytes a token and no text."""
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("doc_id", "text")
+    counts = lm.stage(lm.token_counts(docs.selectExpr("coalesce(text, '') text")), "counts")
+    seen, stage = {}, lm.stage
+    monkeypatch.setattr(lm, "stage", lambda df, label: seen.setdefault(label, stage(df, label)))
+    lm.train(docs, lm.lexicon(counts))
+    got = seen["language-model-learn"]
+    assert got.columns == ["round", "symbols"]
+    tokens = sum(len(words(r[1])) + 1 for r in rows)
+    assert got.selectExpr("sum(length(symbols))", "count(*)", "count(distinct round)").first()[:] == (2 * tokens, len(rows), lm.ROUNDS)
+    assert sum(r.tokens for k in range(lm.ROUNDS) for r in seen[f"language-model-{k}"].where("chunk = 0").collect()) == tokens
+
+
+def test_unrolled_states_equal_single_steps():
+    net, r = lm.Network(lexicon([b"a", b"b", b"c"])), np.random.default_rng(8)
+    inputs = r.integers(0, 5, (9, 6)).astype(np.uint16)
+    h = first = r.uniform(-1, 1, (6, lm.HIDDEN)).astype(np.float32)
+    states, last, _ = net.unroll(inputs, first)
+    for t in range(9):
+        h, _ = net.step(net.p["embed"][inputs[t]] @ net.p["in"] + net.p["bias"], h * (inputs[t] != 0)[:, None])
+        assert np.allclose(states[t], h, atol=1e-6)
+    assert np.allclose(last, h, atol=1e-6)
+
+
+@pytest.mark.parametrize("raised", [0, 30, 200])
+def test_output_holds_for_weights_of_any_size(raised):
+    """Probabilities and gradients are those of plain double precision, exponentials out of range or not."""
+    net, r = lm.Network(lexicon([b"w%d" % k for k in range(39)])), np.random.default_rng(9)
+    for k in ("class", "word"):
+        net.p[k][:, -1] += raised * r.choice([-1, 1], len(net.p[k]))
+    h, target = r.uniform(-1, 1, (500, lm.HIDDEN)).astype(np.float32), r.integers(1, net.symbols, 500)
+    grads = {k: np.zeros_like(v) for k, v in net.p.items()}
+    got, dh = net.output(h, target, grads)
+    assert net.large() == (raised > 30) and np.allclose(got, net.output(h, target)[0], atol=1e-4)
+    own = np.column_stack([h, np.ones(500)])
+    want, by = np.zeros(500), np.zeros((500, lm.HIDDEN))
+    total = {k: np.zeros(net.p[k].shape) for k in ("class", "word")}
+
+    def softmax(name, lo, hi, i, at):
+        e = net.p[name][lo:hi].astype(float) @ own[i]
+        e -= e.max()
+        want[i] += e[at - lo] - np.log(np.exp(e).sum())
+        e = np.exp(e) / np.exp(e).sum()
+        e[at - lo] -= 1
+        by[i] += e @ net.p[name][lo:hi, :-1] / 500
+        total[name][lo:hi] += np.outer(e, own[i]) / 500
+
+    for i, s in enumerate(target.tolist()):
+        k = int(net.class_of[s])
+        softmax("class", 0, net.classes, i, k)
+        if k < net.inner:
+            softmax("word", int(net.first[k]), int(net.first[k + 1]), i, s)
+    assert np.allclose(got, want, atol=1e-3, rtol=1e-5) and np.allclose(dh, by, atol=1e-5)
+    assert all(np.allclose(grads[k], v, atol=1e-5) for k, v in total.items())

@@ -13,7 +13,8 @@ training propagates back over the `window` steps of one window and passes on the
 
 Training is spread over tasks: `learners` that each go over their own documents from the same
 weights; then weights are averaged by tokens, in a tree of joins by chunk, and the next round
-starts.  Every training row is learned from, whole, in one of the rounds, which a hash deals out.
+starts.  Every training row is learned from, whole, in one of the rounds, which a hash deals out;
+its words are looked up once, and the rounds read symbols.
 
 Counts reach the scoring pass two ways: those of the most frequent words (FREQUENT at most, none
 over WORD_BYTES bytes) by a broadcast, all others by a join of (word, row) pairs.
@@ -65,6 +66,14 @@ def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, size
 
 
+def last_bytes(words: pa.Array) -> np.ndarray:
+    """The last byte of each word (binary, none empty or null)."""
+    if not len(words):
+        return np.zeros(0, np.int32)
+    _, ends, data = words.buffers()
+    return np.frombuffer(data, np.uint8)[np.frombuffer(ends, np.int32)[words.offset + 1 : words.offset + len(words) + 1] - 1].astype(np.int32)
+
+
 def tail_of(word: bytes) -> int:
     return word[-1] % TAILS
 
@@ -165,11 +174,11 @@ class Network:
             "in": f(EMBED, 3 * HIDDEN, by=0.3),
             "bias": np.zeros(3 * HIDDEN, np.float32),
             "state": f(HIDDEN, 3 * HIDDEN, by=0.2),
-            "class": f(HIDDEN, self.classes, by=0.02),
-            "class_bias": np.log(mass / mass.sum()).astype(np.float32),
-            "word": f(v + 1, HIDDEN, by=0.02),
-            "word_bias": np.log(count[: v + 1]).astype(np.float32),
+            # Factors of the output, a class or word a row; the last column is its bias.
+            "class": np.column_stack([f(HIDDEN, self.classes, by=0.02).T, np.log(mass / mass.sum())]).astype(np.float32),
+            "word": np.column_stack([f(v + 1, HIDDEN, by=0.02), np.log(count[: v + 1])]).astype(np.float32),
         }
+        self.lone = np.concatenate([[0], self.first[:-1][np.diff(self.first) == 1]])  # words alone in their class
 
     def symbols_of(self, words: list[bytes]) -> np.ndarray:
         """Symbols of a text's words and its end."""
@@ -177,6 +186,21 @@ class Network:
         get = self.place.get
         return np.array([get(w) or v + w[-1] % TAILS for w in words] + [1], np.int32)
 
+    def symbols_in(self, texts: pa.Array) -> pa.Array:
+        """symbols_of each text as binary, two bytes a symbol, found by Arrow."""
+        flat, size = words_in(texts)
+        place = pc.index_in(flat, pa.array(self.place, pa.binary()))
+        far = place.is_null().to_numpy(zero_copy_only=False)
+        found = pc.fill_null(place, 0).to_numpy(zero_copy_only=False) + 1
+        found[far] = self.symbols - TAILS + last_bytes(flat)[far] % TAILS
+        ends = np.cumsum(size + 1)
+        out = np.ones(len(flat) + len(size), np.uint16)
+        inner = np.ones(len(out), bool)
+        inner[ends - 1] = False
+        out[inner] = found
+        at = np.concatenate([[0], 2 * ends]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(out)])
+
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple:
         """New state from projected inputs x and state h, and what its gradient needs."""
         a = h @ self.p["state"]
@@ -185,85 +209,153 @@ class Network:
         c = np.tanh(x[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
         return h + z * (c - h), (h, z, r, c, a[:, 2 * HIDDEN :])
 
+    def unroll(self, inputs: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple:
+        """(states after each step, last state, and with `keep` what their gradients need) of
+        inputs (steps, streams) that start from states h (streams, HIDDEN); an input of 0 begins a
+        text, with a state of zero.  Same as step by step; within a step, values lie unit by unit,
+        each unit's streams side by side."""
+        p, (n, streams) = self.p, inputs.shape
+        kind = p["state"].dtype
+        half = np.repeat(np.array([0.5, 0.5, 1], kind), HIDDEN)  # a gate is (1 + tanh(a / 2)) / 2
+        seen = np.column_stack([p["embed"], np.ones(self.symbols, kind)]).take(inputs, axis=0).transpose(0, 2, 1)
+        x = np.matmul((np.vstack([p["in"], p["bias"]]) * half).T, seen)
+        turn = np.ascontiguousarray((p["state"] * half).T)
+        live = (inputs != 0).astype(kind)
+        own = n if keep else 1
+        before, c, a = (np.empty((own, HIDDEN, streams), kind) for _ in range(3))
+        zr, states = np.empty((own, 2 * HIDDEN, streams), kind), np.empty((n, streams, HIDDEN), kind)
+        h = np.ascontiguousarray(h.T, kind)
+        for t in range(n):
+            i = t if keep else 0
+            was, gate, new = before[i], zr[i], c[i]
+            np.multiply(h, live[t], out=was)
+            y = turn @ was
+            np.add(x[t, : 2 * HIDDEN], y[: 2 * HIDDEN], out=gate)
+            np.tanh(gate, out=gate)
+            gate *= kind.type(0.5)
+            gate += kind.type(0.5)
+            a[i] = y[2 * HIDDEN :]
+            np.multiply(gate[HIDDEN:], a[i], out=new)
+            new += x[t, 2 * HIDDEN :]
+            np.tanh(new, out=new)
+            h = new - was
+            h *= gate[:HIDDEN]
+            h += was
+            states[t] = h.T
+        return states, h.T, (seen, live, before, zr, c, a)
+
     def state_after(self, inputs: np.ndarray, h: np.ndarray) -> np.ndarray:
         """The state after inputs (steps, streams) that start from states h."""
-        x = self.p["embed"][inputs] @ self.p["in"] + self.p["bias"]
-        for t in range(len(inputs)):
-            h, _ = self.step(x[t], h * (inputs[t] != 0)[:, None])
-        return h
+        return self.unroll(inputs, h)[1]
+
+    def large(self) -> bool:
+        """May an exponential of the output, or a sum of these, be out of range?"""
+        return max(float(np.abs(self.p[k]).sum(axis=1).max()) for k in ("class", "word")) > 60
 
     def output(self, h: np.ndarray, target: np.ndarray, grads: Weights | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each target after state h; with `grads`, those of the mean
-        of its negative are added there, and the gradient by h is the second result."""
-        p, n = self.p, len(target)
-        rows, kind = np.arange(n), self.class_of[target]
-        e = h @ p["class"] + p["class_bias"]
-        picked, total = self._parts(e, rows, kind)
-        out, dh = picked - np.log(total), None
-        if grads is not None:
-            e /= total[:, None] * n
-            e[rows, kind] -= np.float32(1 / n)
-            dh = e @ p["class"].T
-            grads["class"] += h.T @ e
-            grads["class_bias"] += e.sum(axis=0)
-        order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(self.inner + 1))
-        for k in np.flatnonzero(np.diff(ends)).tolist():
-            lo, hi = self.first[k], self.first[k + 1]
-            if hi - lo == 1:
-                continue
-            at = order[ends[k] : ends[k + 1]]
-            own, place, inner = h[at], target[at] - lo, rows[: len(at)]
-            e = own @ p["word"][lo:hi].T + p["word_bias"][lo:hi]
-            picked, total = self._parts(e, inner, place)
-            out[at] += picked - np.log(total)
+        of its negative are put there, and the gradient by h is the second result.
+
+        All is done in order of target, in which each class's rows lie side by side.  No
+        exponential is divided by its row's sum: what it is multiplied with is, being narrower."""
+        p, n, large = self.p, len(target), self.large()
+        order = np.argsort(target.astype(np.uint16), kind="stable")
+        target = target.take(order).astype(np.int32)
+        kind, first = self.class_of.take(target), self.first
+        own = np.empty((n, HIDDEN + 1), np.result_type(h, p["word"]))
+        own[:, :HIDDEN], own[:, HIDDEN] = h.take(order, axis=0), 1
+        ends = np.searchsorted(target, first).tolist()
+        share = own / own.dtype.type(n) if grads is not None else own
+        out, dh = np.zeros(n, own.dtype), np.zeros((n, HIDDEN), own.dtype)
+
+        def factor(weights: np.ndarray, sums: np.ndarray, lo: int, hi: int, picked: np.ndarray, grad: np.ndarray | None) -> np.ndarray:
+            """Of a softmax over `weights` of rows lo .. hi: its sums and, before these, its mean weights times them."""
+            e = own[lo:hi] @ weights.T
+            if large:
+                most = e.max(axis=1)
+                e -= most[:, None]
+                picked[lo:hi] -= most
+            np.exp(e, out=e)
+            got = e @ sums
+            if grad is not None:
+                np.matmul(e.T, share[lo:hi] / got[:, -1:], out=grad)
+            return got
+
+        def add(rows: np.ndarray, got: np.ndarray, picked: np.ndarray) -> None:
+            m = len(got)
+            out[:m] += picked - np.log(got[:, -1])
             if grads is not None:
-                e /= total[:, None] * n
-                e[inner, place] -= np.float32(1 / n)
-                dh[at] += e @ p["word"][lo:hi]
-                grads["word"][lo:hi] += e.T @ own
-                grads["word_bias"][lo:hi] += e.sum(axis=0)
-        return out, dh
-
-    @staticmethod
-    def _parts(e: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(e at the targets, sum of exponentials) of rows of e, which then holds these."""
-        if e.max() > 80:
-            e -= e.max(axis=1, keepdims=True)
-        picked = e[rows, at]
-        np.exp(e, out=e)
-        return picked, e @ np.ones(e.shape[1], e.dtype)
+                got[:, :-1] /= got[:, -1:]
+                got[:, :-1] -= rows[:, :-1]
+                dh[:m] += got[:, :-1]
+
+        def sums_of(weights: np.ndarray) -> np.ndarray:
+            """Columns that a row of exponentials is summed by."""
+            if grads is None:
+                return np.ones((len(weights), 1), weights.dtype)
+            return np.column_stack([weights[:, :-1], np.ones(len(weights), weights.dtype)])
+
+        rows = p["class"].take(kind, axis=0)
+        picked = np.einsum("ij,ij->i", own, rows)
+        add(rows, factor(p["class"], sums_of(p["class"]), 0, n, picked, None if grads is None else grads["class"]), picked)
+        rows = p["word"].take(target[: ends[-1]], axis=0)
+        picked = np.einsum("ij,ij->i", own[: ends[-1]], rows)
+        sums = sums_of(p["word"])
+        got = np.ones((ends[-1], sums.shape[1]), own.dtype)
+        for lo, hi, a, b in zip(ends, ends[1:], first.tolist(), first[1:].tolist()):
+            if lo == hi:
+                continue
+            if b - a == 1:  # sure within its class
+                picked[lo:hi], rows[lo:hi], got[lo:hi, :-1] = 0, 0, 0
+            else:
+                got[lo:hi] = factor(p["word"][a:b], sums[a:b], lo, hi, picked, None if grads is None else grads["word"][a:b])
+        add(rows, got, picked)
+        if grads is not None:
+            at = np.flatnonzero(np.diff(kind, prepend=-1))
+            grads["class"][kind[at]] -= np.add.reduceat(share, at, axis=0)
+            at = np.flatnonzero(np.diff(target, prepend=-1))
+            at = at[: np.searchsorted(target[at], first[-1])]
+            if len(at):
+                grads["word"][target[at]] -= np.add.reduceat(share[: ends[-1]], at, axis=0)
+            grads["word"][self.lone] = 0
+            dh /= own.dtype.type(n)
+        back = np.empty_like(order)
+        back[order] = np.arange(n)
+        return out.take(back), dh.take(back, axis=0) if grads is not None else None
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[float, Weights, np.ndarray]:
         """(mean loss, gradients, last state) of one window: (steps, streams) of symbols; a text
         starts where the input is 0, with a state of zero."""
-        p, steps, g = self.p, [], {k: np.zeros_like(v) for k, v in self.p.items()}
-        x = p["embed"][inputs] @ p["in"] + p["bias"]
-        states = np.empty((*inputs.shape, HIDDEN), np.float32)
-        for t in range(len(inputs)):
-            h = h * (inputs[t] != 0)[:, None]
-            h, kept = self.step(x[t], h)
-            steps.append(kept)
-            states[t] = h
+        p, n, g = self.p, len(inputs), {k: np.zeros_like(v) for k, v in self.p.items()}
+        states, h, (seen, live, before, zr, c, a) = self.unroll(inputs, h, keep=True)
         scores, ds = self.output(states.reshape(-1, HIDDEN), targets.ravel(), g)
-        ds = ds.reshape(states.shape)
-        dx, back = np.empty_like(x), np.zeros_like(h)
-        for t in range(len(inputs) - 1, -1, -1):
-            before, z, r, c, a = steps[t]
-            d = ds[t] + back
-            dc = d * z * (1 - c * c)
-            gate = np.concatenate([d * (c - before) * z * (1 - z), dc * a * r * (1 - r)], axis=1)
-            dx[t] = np.concatenate([gate, dc], axis=1)
-            da = np.concatenate([gate, dc * r], axis=1)
-            g["state"] += before.T @ da
-            back = (d * (1 - z) + da @ p["state"].T) * (inputs[t] != 0)[:, None]
-        flat = dx.reshape(-1, 3 * HIDDEN)
+        ds = np.ascontiguousarray(ds.reshape(states.shape).transpose(0, 2, 1))
+        # Of all steps at once: what a gradient by the new state is multiplied with.
+        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
+        stay = 1 - z
+        by_z, by_c, by_r = (c - before) * z * stay, z * (1 - c * c), a * r * (1 - r)
+        dx, da, back = *np.empty((2, n, 3 * HIDDEN, inputs.shape[1]), c.dtype), np.zeros_like(c[0])
+        for t in range(n - 1, -1, -1):
+            d = ds[t]
+            d += back
+            np.multiply(d, by_z[t], out=dx[t, :HIDDEN])
+            dc = np.multiply(d, by_c[t], out=dx[t, 2 * HIDDEN :])
+            np.multiply(dc, by_r[t], out=dx[t, HIDDEN : 2 * HIDDEN])
+            da[t, : 2 * HIDDEN] = dx[t, : 2 * HIDDEN]
+            np.multiply(dc, r[t], out=da[t, 2 * HIDDEN :])
+            back = p["state"] @ da[t]
+            d *= stay[t]
+            back += d
+            back *= live[t]
+        g["state"] = np.matmul(before, da.transpose(0, 2, 1)).sum(axis=0)
+        both = np.matmul(seen, dx.transpose(0, 2, 1)).sum(axis=0)
+        g["in"], g["bias"] = both[:-1], both[-1]
+        by = np.matmul(dx.transpose(0, 2, 1), p["in"].T).reshape(-1, EMBED)
         ids = inputs.ravel()
-        g["in"] = p["embed"][ids].T @ flat
-        g["bias"] = flat.sum(axis=0)
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        g["embed"][ids[order[first]]] = np.add.reduceat((flat @ p["in"].T)[order], first, axis=0)
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
+        ids = ids.take(order)
+        first = np.flatnonzero(np.diff(ids, prepend=-1))
+        g["embed"][ids[first]] = np.add.reduceat(by.take(order, axis=0), first, axis=0)
         return -float(scores.mean()), g, h
 
     def flat(self) -> np.ndarray:
@@ -292,7 +384,8 @@ class Learner:
     def read(self, symbols: np.ndarray) -> None:
         """Give the shortest slot a text; windows that all slots have whole are learned."""
         slot = int(self.length.argmin())
-        pair = np.stack([np.concatenate([[0], symbols[:-1]]), symbols])
+        pair = np.zeros((2, len(symbols)), np.int32)
+        pair[0, 1:], pair[1] = symbols[:-1], symbols
         self.waiting[slot].append(pair)
         self.heads[slot] = pair[:, : self.window]
         self.length[slot] += len(symbols)
@@ -345,15 +438,28 @@ class Learner:
         scale = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
         rate, one, two = np.float32(self.rate), np.float32(1 - 0.9**self.steps), np.float32(1 - 0.99**self.steps)
         for k, v in g.items():
-            at = np.flatnonzero(v.any(axis=1)) if k == "embed" else slice(None)
-            (m, q), d = self.moment[k], v[at] * scale
-            m[at] += np.float32(0.1) * (d - m[at])
+            m, q, at = *self.moment[k], None
+            if k == "embed":
+                at = np.flatnonzero(np.abs(v) @ np.ones(EMBED, v.dtype))
+                v, m, q = (x.take(at, axis=0) for x in (v, m, q))
+            d = v * scale
+            s = d - m
+            s *= np.float32(0.1)
+            m += s
             d *= d
-            q[at] += np.float32(0.01) * (d - q[at])
-            down = np.sqrt(q[at] / two)
-            down += np.float32(1e-6)
-            np.divide(m[at], down, out=down)
-            self.net.p[k][at] -= rate / one * down
+            d -= q
+            d *= np.float32(0.01)
+            q += d
+            np.sqrt(q, out=d)
+            d *= 1 / np.sqrt(two)
+            d += np.float32(1e-6)
+            np.divide(m, d, out=d)
+            d *= rate / one
+            if at is None:
+                self.net.p[k] -= d
+            else:
+                self.net.p[k][at] -= d
+                self.moment[k][0][at], self.moment[k][1][at] = m, q
 
 
 _UPDATE = "chunk int, learner long, tokens double, total binary"
@@ -386,8 +492,15 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Network:
     if not lex.tokens:
         return net
     turn = F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.lit(rounds)).cast("int")
-    learn = stage(docs.select("text", turn.alias("round")), "language-model-learn")
     held = docs.sparkSession.sparkContext
+    known = held.broadcast(net)  # fixed size
+
+    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column(0), known.value.symbols_in(b.column(1))], names=["round", "symbols"])
+
+    learn = docs.select(turn.alias("round"), text_or_empty().alias("text")).mapInArrow(symbols, "round int, symbols binary")
+    learn = stage(learn, "language-model-learn")  # words are looked up once, not in each round
     for r in range(rounds):
         start = held.broadcast((net, net.flat()))  # fixed size: the network's parameters
 
@@ -397,16 +510,16 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Network:
             own, flat = start.value
             own.load(flat.copy())
             learner = Learner(own, rate=rate)
-            for b in slices(batches, "text"):
-                for text in b.column(0).to_pylist():
-                    learner.read(own.symbols_of(words_of(text)))
+            for b in slices(batches, "symbols"):
+                for found in b.column(0).to_pylist():
+                    learner.read(np.frombuffer(found, np.uint16))
             learner.finish()
             if learner.tokens:
                 number = TaskContext.get().partitionId()
                 for k, piece in enumerate(np.array_split(own.flat().astype(float), _CHUNKS)):
                     yield _update([(k, number, float(learner.tokens), piece * learner.tokens)])
 
-        updates = learn.where(F.col("round") == r).select("text").mapInArrow(run, _UPDATE)
+        updates = learn.where(F.col("round") == r).select("symbols").mapInArrow(run, _UPDATE)
         width = updates.rdd.getNumPartitions()
         updates = stage(updates, f"language-model-{r}")
         while width > 1:
@@ -422,12 +535,6 @@ class Scorer:
 
     def __init__(self, net: Network, lex: Lexicon):
         self.net, self.v = net, net.symbols - TAILS
-        self.x = net.p["embed"] @ net.p["in"] + net.p["bias"]
-        # Factors of the output with their biases as one more row, for states with a last 1.
-        p, first = net.p, net.first
-        self.classes = np.vstack([p["class"], p["class_bias"]])
-        self.words = [np.vstack([p["word"][a:b].T, p["word_bias"][a:b]]) for a, b in zip(first, first[1:])]
-        self.large = max(float(np.abs(m).sum(axis=0).max()) for m in [self.classes, *self.words]) > 80
         self.tail = np.log10(lex.tail_tokens + 0.5 * (lex.tail_distinct + 1))
         # Places of known words: the end, the others, and one after all for any other word.
         self.set = pa.array(lex.words, pa.binary())
@@ -435,26 +542,6 @@ class Scorer:
         self.half = np.log10(np.array([*(c + 0.5 for c in lex.words.values()), 1.0]))
         self.end_known = lex.words[END] > 0
 
-    def _picked(self, h: np.ndarray, factor: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log probability of column `at` of each row's softmax over h @ factor."""
-        e = h @ factor
-        if self.large:
-            e -= e.max(axis=1, keepdims=True)
-        picked = e[np.arange(len(at)), at]
-        np.exp(e, out=e)
-        return picked - np.log(e @ np.ones(e.shape[1], np.float32))
-
-    def _output(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        kind = self.net.class_of[target]
-        out = self._picked(h, self.classes, kind)
-        order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(self.net.inner + 1)).tolist()
-        for k, factor in enumerate(self.words):
-            if ends[k] < ends[k + 1] and factor.shape[1] > 1:
-                at = order[ends[k] : ends[k + 1]]
-                out[at] += self._picked(h[at], factor, target[at] - self.net.first[k])
-        return out
-
     def logs(self, texts: list[np.ndarray]) -> np.ndarray:
         """Log10 probability of each text's symbols."""
         length = np.array([len(t) for t in texts])
@@ -467,30 +554,25 @@ class Scorer:
         size = np.array([sum(int(length[i]) for i in s) for s in slots])
         slots = [slots[k] for k in np.argsort(-size, kind="stable")]
         size = -np.sort(-size)
-        # One slot a column, longest first: the slots that still read at a step are the first ones.
-        target = np.zeros((int(size[0]), len(slots)), np.int32)
-        owner = np.zeros_like(target)
-        begins = np.zeros(target.shape, bool)
+        # Longest first: the slots that still read at a step are the first ones.
+        target = np.zeros((len(slots), int(size[0])), np.uint16)
+        owner = np.zeros(target.shape, np.int32)
+        inputs = np.zeros_like(target)
         for k, s in enumerate(slots):
-            target[: size[k], k] = np.concatenate([texts[i] for i in s])
-            owner[: size[k], k] = np.repeat(s, length[s])
-            begins[np.cumsum([0, *length[s[:-1]]]), k] = True
+            target[k, : size[k]] = np.concatenate([texts[i] for i in s])
+            owner[k, : size[k]] = np.repeat(s, length[s])
+            inputs[k, 1 : size[k]] = target[k, : size[k] - 1]
+            inputs[k, np.cumsum([0, *length[s[:-1]]])] = 0
         out, h = np.zeros(len(texts)), np.zeros((len(slots), HIDDEN), np.float32)
-        last = np.zeros(len(slots), np.int32)
-        live = np.searchsorted(-size, -np.arange(len(target)), side="left").tolist()
+        live = np.searchsorted(-size, -np.arange(target.shape[1]), side="left")
         lo = 0
-        while lo < len(target):  # a span has about as many tokens, however few slots still read
-            hi = min(len(target), lo + max(SPAN, SPAN * SLOTS // (2 * live[lo])))
-            at, states = 0, np.ones((sum(live[lo:hi]), HIDDEN + 1), np.float32)
-            for t in range(lo, hi):
-                n = live[t]
-                ids = np.where(begins[t, :n], 0, last[:n])
-                h = h[:n] * (ids != 0)[:, None]
-                h, _ = self.net.step(self.x[ids], h)
-                states[at : at + n, :HIDDEN] = h
-                at, last = at + n, target[t]
-            take = lambda a: np.concatenate([a[t, : live[t]] for t in range(lo, hi)])  # noqa: B023, E731
-            out += np.bincount(take(owner), self._output(states, take(target)), len(texts))
+        while lo < len(live):  # a span has about as many tokens, however few slots still read
+            n = int(live[lo])
+            hi = min(len(live), lo + max(SPAN, SPAN * SLOTS // (2 * n)))
+            states, h, _ = self.net.unroll(inputs[:n, lo:hi].T, h[:n])
+            reads = np.arange(n) < live[lo:hi, None]
+            found, _ = self.net.output(states[reads], target[:n, lo:hi].T[reads])
+            out += np.bincount(owner[:n, lo:hi].T[reads], found, len(texts))
             lo = hi
         return out / math.log(10)
 
@@ -504,8 +586,7 @@ class Scorer:
         symbols = self.symbol[place]
         missing = np.flatnonzero(place == other)
         rest = flat.take(pa.array(missing))
-        last = pc.binary_slice(rest, -1).to_pylist()
-        symbols[missing] = [self.v + w[0] % TAILS for w in last]
+        symbols[missing] = self.v + last_bytes(rest) % TAILS
         half = self.half[place]
         far = symbols >= self.v
         tails = np.zeros(len(place))
